@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import sharding, url_filter
+from lumenfold.llm import decontaminate, mixing, sharding, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_sharding": sharding.op2_sharding,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_mix": mixing.op10_mix,
 }
 
 ORACLES = {
     "op1_url_filter": url_filter.SQL,
+    "op9_decontaminate": decontaminate.SQL,
+    "op10_mix": mixing.SQL,
 }
