@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -48,6 +49,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def inline_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small table of constants as a DataFrame without an RDD. ddl: ``name type, ...``."""
+    names = [part.split()[0] for part in ddl.split(",")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    kind = ", ".join(":".join(part.split()) for part in ddl.split(","))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only; every other character stays as it is."""
     return F.translate(c, UPPER, UPPER.lower())

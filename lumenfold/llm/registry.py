@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import decontaminate, mixing, pii, sharding, toxicity, url_filter
+from lumenfold.llm import decontaminate, licenses, mixing, pii, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_sharding": sharding.op2_sharding,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_licenses": licenses.op5_licenses,
     "op6_pii": pii.op6_pii,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_mix": mixing.op10_mix,

@@ -25,10 +25,10 @@ from __future__ import annotations
 from bisect import bisect_right
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import stored, table
+from lumenfold.llm.common import inline_rows, stored, table
 
 KEY_BITS = 60
 FIRST_BITS = 12
@@ -152,9 +152,7 @@ def assign_shards(rows: DataFrame, n_shards: int) -> DataFrame:
         offsets[(s, p)] = last.get(s, 0)
         last[s] = last.get(s, 0) + c
     spark = rows.sparkSession
-    base = spark.createDataFrame([(s, p, o) for (s, p), o in offsets.items()], "shard int, _part int, _base long")
-    from pyspark.sql import Window
-
+    base = inline_rows(spark, [(s, p, o) for (s, p), o in offsets.items()], "shard int, _part int, _base long")
     order = Window.partitionBy("shard", "_part").orderBy(F.col("doc_id").asc_nulls_last(), "key", "size")
     return (
         placed.withColumn("_row", F.row_number().over(order))
