@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import ann, decontaminate, licenses, mixing, pii, sharding, toxicity, url_filter
+from lumenfold.llm import ann, decontaminate, jaccard_join, licenses, mixing, pii, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_sharding": sharding.op2_sharding,
+    "op3_jaccard": jaccard_join.op3_jaccard,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_licenses": licenses.op5_licenses,
     "op6_pii": pii.op6_pii,
