@@ -348,5 +348,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The rows of ``docs`` that stand for their class of near copies, one a class."""
+    found = stored(near_duplicates(docs, id_col, text_col, count_links=False, **kw).filter("first").groupBy("doc_id", "key").agg(F.count("*").alias("n")), "jaccard-kept")
+    n = found.count()
+    hint = F.broadcast if n <= MAX_BROADCAST_KEYS else (lambda df: df)
+    kept = found.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "n")
+    same = (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_d"))
+    rows = docs.join(hint(kept), same)
+    if found.filter("n > 1").isEmpty():
+        return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    # rows with the same id and text: one of each stays
+    once = rows.filter("n = 1").union(rows.filter("n > 1").dropDuplicates(["_d", "_k"]))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op3_jaccard(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")

@@ -98,11 +98,25 @@ def word_count(text):
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **kw) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies of every document."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    """doc_id, source, size, key (hash of the text), source_size, target and copies of every document."""
+    text = F.col(text_col)
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"))
     return mix_counts(stored(rows, "mix-rows"), **kw)
 
 
+#: A list of so many row keys is broadcast when texts are repeated; beyond it texts are shuffled.
+MAX_BROADCAST_KEYS = 2_000_000
+
+
+def resample(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **kw) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it. Identical rows are each taken as often as the first of them."""
+    counts = mix_documents(docs, id_col, source_col, text_col, **kw).filter("copies > 0").groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("source").alias("_s")).agg(F.max("copies").alias("_n"))
+    counts = stored(counts, "mix-copies")
+    hint = F.broadcast if counts.count() <= MAX_BROADCAST_KEYS else (lambda df: df)
+    same = (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_d")) & F.col(source_col).eqNullSafe(F.col("_s"))
+    return docs.join(hint(counts), same).withColumn("_n", F.explode(F.sequence(F.lit(1), "_n"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op10_mix(spark, sf_dir):
     mixed = mix_documents(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
