@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import ann, decontaminate, jaccard_join, licenses, mixing, pii, sharding, toxicity, url_filter
+from lumenfold.llm import ann, decontaminate, jaccard_join, licenses, mixing, pii, sharding, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_licenses": licenses.op5_licenses,
     "op6_pii": pii.op6_pii,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_ann": ann.op8_ann,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_mix": mixing.op10_mix,
