@@ -6,7 +6,7 @@ import importlib
 
 from lumenfold.plans.catalog import ORACLES, QUERIES
 
-MODULES = ("signal", "hist")
+MODULES = ("signal", "hist", "colors", "ledger")
 
 for _name in MODULES:
     importlib.import_module(f"lumenfold.plans.{_name}")
