@@ -254,11 +254,11 @@ def quartet_displacement(spark, d):
     return t.withColumn("rank", F.row_number().over(Window.partitionBy("quartet").orderBy("disp", "slot")) - 1)
 
 
-@query("cell_outer_sums", f"{P} SELECT frame, sum(l * (idx % 4))::BIGINT AS lx, sum(l * (idx // 4 % 4))::BIGINT AS ly, sum(a * (idx % 4))::BIGINT AS ax, sum(a * (idx // 4 % 4))::BIGINT AS ay, sum(b * (idx % 4))::BIGINT AS bx, sum(b * (idx // 4 % 4))::BIGINT AS by FROM pixels GROUP BY frame")
+@query("cell_outer_sums", f"{P} SELECT frame, sum(l * (idx % 4))::BIGINT AS l_x, sum(l * (idx // 4 % 4))::BIGINT AS l_y, sum(a * (idx % 4))::BIGINT AS a_x, sum(a * (idx // 4 % 4))::BIGINT AS a_y, sum(b * (idx % 4))::BIGINT AS b_x, sum(b * (idx // 4 % 4))::BIGINT AS b_y FROM pixels GROUP BY frame")
 def cell_outer_sums(spark, d):
     """Sums of colour times place: an outer product as six aggregates."""
     x, y = F.col("idx") % 4, arith.trunc_div("idx", 4) % 4
-    return pixels(spark, d).groupBy("frame").agg(*[F.sum(F.col(c) * s).alias(f"{c}{n}") for c in "lab" for n, s in (("x", x), ("y", y))])
+    return pixels(spark, d).groupBy("frame").agg(*[F.sum(F.col(c) * s).alias(f"{c}_{n}") for c in "lab" for n, s in (("x", x), ("y", y))])
 
 
 @query("variance_hinge", f"{P} SELECT frame, round(greatest(0, 0.2 - sqrt(var_pop(l / 65536.0) + 1e-4)) + greatest(0, 0.2 - sqrt(var_pop(a / 65536.0) + 1e-4)) + greatest(0, 0.2 - sqrt(var_pop(b / 65536.0) + 1e-4)), 6) AS hinge, round(pow(coalesce(corr(l, a), 0), 2) + pow(coalesce(corr(l, b), 0), 2) + pow(coalesce(corr(a, b), 0), 2), 6) AS redundancy FROM pixels GROUP BY frame")

@@ -135,9 +135,9 @@ def guild_components(spark, d):
     return _guilds(spark, d)
 
 
-@query("oversize_guilds", f"WITH RECURSIVE {GUILDS} SELECT label, count(*) AS size FROM lab GROUP BY label HAVING count(*) > 3")
+@query("oversize_guilds", f"WITH RECURSIVE {GUILDS} SELECT label, count(*) AS size FROM lab GROUP BY label HAVING count(*) > 1")
 def oversize_guilds(spark, d):
-    return _guilds(spark, d).groupBy("label").agg(F.count("*").alias("size")).filter("size > 3")
+    return _guilds(spark, d).groupBy("label").agg(F.count("*").alias("size")).filter("size > 1")
 
 
 def _ranked(spark, d, *order):

@@ -1,0 +1 @@
+"""Readers and writers: binary codecs, capture corpora, carriers and GIF."""
