@@ -7,9 +7,9 @@ probability. Nodes meet in buckets by a shuffle on band hashes.
 
 No bucket is ever expanded into all its pairs. A bucket's first node is
 compared with each other one; verified pairs join components. Buckets whose
-nodes then lie in several components are looked at again: once with one node
-of each component, then with every pair between different components that has
-not been compared. A pair inside one component needs no comparison to know its
+nodes then lie in several components are looked at again: every pair between
+different components that has not been compared is compared now; in buckets of more than ``CROWD`` nodes these comparisons
+are matrix products inside the tasks, of which only links come out. A pair inside one component needs no comparison to know its
 class, so no link between different texts is lost to this saving.
 
 ``n_links`` is exact: inside each component, nodes are dealt into blocks of
@@ -44,6 +44,8 @@ RECALL = 0.9999
 #: Largest chance of comparing a pair of half the threshold's similarity.
 FALSE_SHARE = 0.25
 BLOCK = 256
+#: Buckets of more nodes than this are compared inside tasks, block by block.
+CROWD = 32
 BITS = 48
 #: A list of so many row keys is broadcast when texts are fetched; beyond it texts are shuffled.
 MAX_BROADCAST_KEYS = 2_000_000
@@ -227,13 +229,7 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder, which cuts the lineage.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "jaccard-edges")
-    print_of = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
-    before = None
-    while True:
-        mark = print_of(now)
-        if mark == before:
-            break
-        before = mark
+    while not now.isEmpty():
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -241,6 +237,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(moved.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "jaccard-small-star")
+        # done when each node has one parent that has none itself: then every star is a component
+        shape = now.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if shape.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up = 1 AND down = 1)").isEmpty():
+            break
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
@@ -251,35 +251,46 @@ def _fetch(rows: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
     return rows.join(hint(wanted), (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
 
 
+def near_matrix(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs (left, right) of sets reach the threshold: one matrix product per slab of n-grams."""
+    size = np.array([len(s) for s in sets])
+    grams, col = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    both = np.zeros((len(left), len(right)))
+    places = []
+    for side in (left, right):
+        back = np.full(len(sets), -1)
+        back[side] = np.arange(len(side))
+        places.append(back)
+    for at in range(0, len(grams), 8192):  # a slab at a time bounds the memory
+        inside = (col >= at) & (col < at + 8192)
+        dense = []
+        for side, back in zip((left, right), places):
+            r, c = back[row[inside]], col[inside] - at
+            m = np.zeros((len(side), 8192), np.float32)
+            m[r[r >= 0], c[r >= 0]] = 1
+            dense.append(m)
+        both += dense[0] @ dense[1].T
+    return both >= threshold * (size[left][:, None] + size[right][None, :] - both)
+
+
+def _blocks(nodes: DataFrame, group: str) -> DataFrame:
+    """Deal each group's nodes into blocks, and each block to its pairs of blocks: columns i, j, block."""
+    sizes = nodes.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = nodes.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
+
+
 def link_counts(labels: DataFrame, sets: DataFrame, copies: DataFrame, threshold: float) -> DataFrame:
     """node, links: documents of other nodes of its component at or above the threshold."""
-    sizes = labels.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = labels.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    own = own.join(copies, "node").join(sets, "node")
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "ngrams")
+    spread = _blocks(labels.join(copies, "node").join(sets, "node"), "comp")
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sets_ = [unpack(s) for s in pdf["ngrams"]]
-        size = np.array([len(s) for s in sets_])
-        grams, col = np.unique(np.concatenate(sets_), return_inverse=True)
-        row = np.repeat(np.arange(len(sets_)), size)
         left, right = (np.flatnonzero(pdf["block"].to_numpy() == b) for b in key[1:])
-        both = np.zeros((len(left), len(right)))
-        back_l, back_r = np.full(len(sets_), -1), np.full(len(sets_), -1)
-        back_l[left], back_r[right] = np.arange(len(left)), np.arange(len(right))
-        for at in range(0, len(grams), 8192):  # a slab of n-grams at a time bounds the memory
-            inside = (col >= at) & (col < at + 8192)
-            r, c = row[inside], col[inside] - at
-            x, y = np.zeros((len(left), 8192), np.float32), np.zeros((len(right), 8192), np.float32)
-            l_ = back_l[r] >= 0
-            x[back_l[r[l_]], c[l_]] = 1
-            r_ = back_r[r] >= 0
-            y[back_r[r[r_]], c[r_]] = 1
-            both += x @ y.T
-        near = both >= threshold * (size[left][:, None] + size[right][None, :] - both)
+        near = near_matrix([unpack(s) for s in pdf["ngrams"]], left, right, threshold)
         weight = pdf["copies"].to_numpy()
-        total = np.zeros(len(sets_), np.int64)
+        total = np.zeros(len(pdf), np.int64)
         if key[1] == key[2]:
             np.fill_diagonal(near, False)
             total[left] += near @ weight[right]
@@ -292,6 +303,27 @@ def link_counts(labels: DataFrame, sets: DataFrame, copies: DataFrame, threshold
     return counted.groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def links_across(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """open_: bucket, node, comp. Of each bucket one link (a, b) for any two components that have one.
+
+    Pairs are compared inside the tasks, block by block, and only links leave them.
+    """
+    spread = _blocks(open_.join(sets, "node"), "bucket")
+
+    def find(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = (np.flatnonzero(pdf["block"].to_numpy() == b) for b in key[1:])
+        comp = pd.factorize(pdf["comp"])[0]
+        near = near_matrix([unpack(s) for s in pdf["ngrams"]], left, right, threshold)
+        x, y = np.nonzero(near & (comp[left][:, None] != comp[right][None, :]))
+        x, y = left[x], right[y]
+        low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+        one = np.unique(low * len(pdf) + high, return_index=True)[1]
+        node = pdf["node"].to_numpy()
+        return pd.DataFrame({"a": node[x[one]], "b": node[y[one]]})
+
+    return spread.groupBy("bucket", "i", "j").applyInPandas(find, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, count_links: bool = True) -> DataFrame:
     """doc_id, key (hash of the text), class_id, n_links, first (bool: the row's text stands for its class)."""
     bands, per_band = plan(threshold, recall)
@@ -310,26 +342,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = stored(members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-pairs")
     edges = stored(verify(tested, sets, threshold), "jaccard-links")
     labels = stored(components(edges), "jaccard-labels")
-    for every in (False, True):
-        there = members.select("bucket", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        several = there.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-        open_ = stored(there.join(several, "bucket"), "jaccard-open")
-        if every:
-            left, right = (open_.select("bucket", F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
-            pairs = left.join(right, "bucket").filter("comp_a < comp_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        else:
-            speak = open_.groupBy("bucket", "comp", "low").agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node"))["node"].alias("node"))
-            center = speak.filter("comp = low").select("bucket", F.col("node").alias("center"))
-            pairs = speak.filter("comp <> low").join(center, "bucket").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
-        pairs = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-more")
-        if pairs.isEmpty():
-            if every:
-                break
-            continue
-        fresh = stored(verify(pairs, sets, threshold), "jaccard-more-links")
-        tested = tested.union(pairs)
-        if not fresh.isEmpty():
-            labels = stored(components(labels.select(F.col("comp").alias("a"), F.col("node").alias("b")).union(fresh)), "jaccard-labels")
+    there = members.select("bucket", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = there.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low <> high").select("bucket", "n")
+    open_ = stored(there.join(several, "bucket").select("bucket", "node", "comp", "n"), "jaccard-open")
+    crowded = links_across(open_.filter(F.col("n") > CROWD).drop("n"), sets, threshold)
+    left, right = (open_.filter(F.col("n") <= CROWD).select("bucket", F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
+    pairs = left.join(right, "bucket").filter("comp_a < comp_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    fresh = stored(verify(pairs.distinct().join(tested, ["a", "b"], "left_anti"), sets, threshold).union(crowded), "jaccard-more-links")
+    if not fresh.isEmpty():
+        labels = stored(components(labels.select(F.col("comp").alias("a"), F.col("node").alias("b")).union(fresh)), "jaccard-labels")
     reps = nodes.select("node", "copies", "rep")
     of_class = labels.join(reps, "node")
     heads = of_class.groupBy("comp").agg(F.min("rep").alias("head"))
