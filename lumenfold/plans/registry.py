@@ -6,7 +6,7 @@ import importlib
 
 from lumenfold.plans.catalog import ORACLES, QUERIES
 
-MODULES = ("signal", "hist", "colors", "ledger", "frames", "volumes")
+MODULES = ("signal", "hist", "colors", "ledger", "frames", "volumes", "models")
 
 for _name in MODULES:
     importlib.import_module(f"lumenfold.plans.{_name}")

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenfold.functions import arith, color, kernels, lift
-from lumenfold.operators import graph, ledger
+from lumenfold.operators import games, graph, ledger, models
 from lumenfold.sources import codecs, readers
 
 
@@ -182,3 +182,39 @@ def test_graph_on_cycles(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     label = {r["node"]: r["label"] for r in graph.components(chain).collect()}
     assert set(label.values()) == {0, 100} and label[40] == 0
+
+
+def test_board_keeps_its_ledger():
+    rng = random.Random(8)
+    b, poured = games.Board(), 0
+    for _ in range(400):
+        kind = rng.choice(["pour", "split", "split", "split", "merge", "keep"])
+        refused = b.play(kind, rng.randrange(18))
+        poured += games.POUR * (kind == "pour" and refused is None)
+        assert b.signal + b.spent == poured and all(0 <= d <= games.FINEST for d in b.depth) and b.pours <= games.POURS
+    fresh = games.Board()
+    assert fresh.play("merge", 0) == "already coarsest" and fresh.play("split", 0) == "no signal" and fresh.play("split", 16) == "off board"
+    fresh.play("pour")
+    assert fresh.play("split", 0) is None and fresh.play("split", 0) == "phase locked"
+
+
+def test_loom_folds():
+    assert games.fold_loom(4, [(0, 1)]) == [2, 3, (0, 1)]
+    assert games.fold_loom(4, [(0, 1), (2, 0), (9, 0), (0, 0)]) == [3, (2, (0, 1))]
+
+
+def test_measures():
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=(3, 3))
+    cov = a @ a.T + np.eye(3)
+    assert np.allclose(models.gaussian_barycenter([cov, cov]), cov)
+    assert np.allclose(models.gaussian_barycenter([np.eye(3), 9 * np.eye(3)]), 4 * np.eye(3))
+    palette, wanted = rng.integers(0, 99, (5, 3)), rng.integers(0, 99, (3, 3))
+    got = models.anchors(palette, wanted)
+    assert all((got == w).all(1).any() for w in wanted)
+
+
+def test_linear_fit_finds_the_line(spark):
+    rows = spark.createDataFrame([(0, float(x), 3.0 - 2.0 * x) for x in range(20)], "g int, x double, y double")
+    r = models.linear_fit(rows, ["g"], ["x"], "y", ridge=0.0).first()
+    assert np.allclose(r["weights"], [3, -2]) and r["loss"] < 1e-9
