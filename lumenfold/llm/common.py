@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import tempfile
 import uuid
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words, as a Java and RE2 character class body.
 SEPARATORS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+#: Tables that :func:`stored` wrote and nothing has deleted yet.
+_STORED: set[str] = set()
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _TABLE = bytearray(range(256))
@@ -46,7 +50,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenfold/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    _STORED.add(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    _STORED.discard(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, and let Spark drop the shuffle files behind them."""
+    for df in tables:
+        _delete(df.sparkSession, df.stored_at)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every stored table of this process, once the results that read them are written."""
+    for path in list(_STORED):
+        _delete(spark, path)
 
 
 def inline_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:

@@ -37,17 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import stored, table, text_slices
+from lumenfold.llm.common import discard, stored, table, text_slices
 from lumenfold.llm.jaccard_join import M1, mix
 
 LENGTH = 100
 GRAM = 24
-HOT = 2000
+HOT = 1000
 SHARD_BYTES = 3 << 20
 RANGES = 16
-#: Lists up to so many rows or bytes are broadcast; beyond it texts are shuffled.
-MAX_BROADCAST_ROWS = 2_000_000
-MAX_BROADCAST_BYTES = 48 << 20
+#: The list of texts that occur several times is broadcast up to so many rows; beyond it texts are shuffled.
+MAX_BROADCAST_ROWS = 1_000_000
 LAST_ID = (1 << 63) - 1
 
 
@@ -222,10 +221,6 @@ def merge_range(key: tuple, tab: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(made["doc_id"], pa.int64()), "key": pa.array(made["key"], pa.int64()), "start": pa.array(made["start"], pa.int32()), "stop": pa.array(made["stop"], pa.int32())})
 
 
-def _hint(df: DataFrame, n: int, n_bytes: int = 0):
-    return F.broadcast(df) if n <= MAX_BROADCAST_ROWS and n_bytes <= MAX_BROADCAST_BYTES else df
-
-
 def _raw(batch) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
 
@@ -302,15 +297,14 @@ def strip(rows: DataFrame) -> DataFrame:
 
 def repeated_intervals(firsts: DataFrame) -> DataFrame:
     """firsts: doc_id, key, text, distinct texts only. Byte intervals (INTERVALS) that occur earlier."""
-    spark = firsts.sparkSession
     runs = stored(find_runs(firsts), "suffix-runs")
     often = stored(runs.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor", F.when(F.col("m") > HOT, F.ceil(F.col("m") / (HOT // 2))).otherwise(1).cast("int").alias("pieces")), "suffix-anchors")
-    flagged = runs.join(_hint(often, often.count()), "anchor")
+    flagged = runs.join(often, "anchor")
     by_doc = stored(flagged.groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "start", "n", "pieces")).alias("runs")), "suffix-flags")
-    total = by_doc.agg(F.count("*"), F.sum(F.size("runs"))).first()
-    n_runs = total[1] or 0
+    discard(runs, often)
+    n_runs = by_doc.agg(F.sum(F.size("runs"))).first()[0] or 0
     flags = by_doc.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "runs")
-    with_runs = firsts.join(_hint(flags, total[0], 20 * n_runs), (F.col("key") == F.col("_k")) & (F.col("doc_id") == F.col("_d"))).select("doc_id", "key", "text", "runs")
+    with_runs = firsts.join(flags, (F.col("key") == F.col("_k")) & (F.col("doc_id") == F.col("_d"))).select("doc_id", "key", "text", "runs")
     shards = max(1, n_runs * 140 // SHARD_BYTES)
     # a hot anchor is a shard of its own, in pieces; piece -1 means that it is whole
     hot = F.col("pieces") > 1
@@ -320,6 +314,7 @@ def repeated_intervals(firsts: DataFrame) -> DataFrame:
         F.when(hot, F.pmod(F.xxhash64("doc_id", "key"), F.col("pieces"))).otherwise(-1).cast("long").alias("piece"),
     )
     found = stored(segments.groupBy("shard", "piece").applyInArrow(scan_shard, INTERVALS + ", range long, firsts binary"), "suffix-found")
+    discard(by_doc)
     whole = found.filter("range IS NULL").select("doc_id", "key", "start", "stop")
     merged = found.filter("range IS NOT NULL").select("range", "firsts").groupBy("range").applyInArrow(merge_range, INTERVALS)
     return whole.union(merged)
@@ -330,13 +325,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long").alias("key"), text.alias("text"))
     known = stored(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("head")).filter("m > 1").select(F.col("key").alias("_key"), "head"), "suffix-copies")
-    n_known = known.count()
-    marked = rows.join(_hint(known, n_known), F.col("key") == F.col("_key"), "left").withColumn("copy", F.coalesce(F.col("doc_id") != F.col("head"), F.lit(False))).drop("_key", "head")
+    few = F.broadcast(known) if known.count() <= MAX_BROADCAST_ROWS else known
+    marked = rows.join(few, F.col("key") == F.col("_key"), "left").withColumn("copy", F.coalesce(F.col("doc_id") != F.col("head"), F.lit(False))).drop("_key", "head")
     cuts = repeated_intervals(marked.filter("NOT copy").select("doc_id", "key", "text"))
     by_doc = stored(cuts.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")), "suffix-cuts")
-    total = by_doc.agg(F.count("*"), F.sum(F.size("cuts"))).first()
     renamed = by_doc.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "cuts")
-    ready = marked.join(_hint(renamed, total[0], 8 * (total[1] or 0)), (F.col("key") == F.col("_k")) & (F.col("doc_id") == F.col("_d")) & ~F.col("copy"), "left")
+    ready = marked.join(renamed, (F.col("key") == F.col("_k")) & (F.col("doc_id") == F.col("_d")) & ~F.col("copy"), "left")
     none = F.array().cast("array<struct<start:int,stop:int>>")
     done = strip(ready.select("doc_id", "key", "copy", "text", F.coalesce("cuts", none).alias("cuts")))
     # identical rows: all but one of them are copies
