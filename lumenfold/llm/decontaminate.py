@@ -79,20 +79,22 @@ def match_slice(phrases: PhraseSet, texts, near_terms: int):
         heads = np.cumsum(df) - df
         inside = np.arange(w) < phrases.length[:, None]
         by_rarity = np.argsort(np.where(inside, df[np.maximum(phrases.rows, 0)], np.iinfo(np.int64).max), axis=1, kind="stable")
-        rarest = by_rarity[:, 0]
-        term = phrases.rows[np.arange(len(rarest)), rarest]
+        # the rarest term that the slice holds; windows that lack too many terms can match nothing
+        absent = (inside & (df[np.maximum(phrases.rows, 0)] == 0)).sum(1)
+        able = np.flatnonzero(np.where(phrases.length == w, absent <= max(0, w - near_terms), absent == 0))
+        rarest = by_rarity[able, absent[able]]
+        term = phrases.rows[able, rarest]
         many = df[term]
-        win = np.repeat(np.arange(len(term)), many)
+        win = np.repeat(able, many)
         within = np.arange(len(win)) - np.repeat(np.cumsum(many) - many, many)
         start = positions[np.repeat(heads[term], many) + within] - np.repeat(rarest, many)
         ok = start >= 0
         win, start = win[ok], start[ok]
-        agreed = np.ones(len(win), np.int64)
-        for k in range(1, w):
+        agreed = np.zeros(len(win), np.int64)
+        for k in range(w):
             j = by_rarity[win, k]
             at = start + j
-            there = phrases.rows[win, j]
-            same = (j < phrases.length[win]) & (at < len(tokens)) & (tokens[np.minimum(at, len(tokens) - 1)] == there)
+            same = (j < phrases.length[win]) & (at < len(tokens)) & (tokens[np.minimum(at, len(tokens) - 1)] == phrases.rows[win, j])
             agreed += same
             # a full-length window may still be near; others must agree so far
             alive = (agreed == np.minimum(k + 1, phrases.length[win])) | ((phrases.length[win] == w) & (agreed + w - 1 - k >= near_terms))
@@ -113,20 +115,21 @@ def match_slice(phrases: PhraseSet, texts, near_terms: int):
 OUT = "n_words long, hit_bits binary, items array<string>, near_items array<string>"
 
 
-def _pass(rows: DataFrame, items: list, window: int, near_terms: int) -> DataFrame:
-    """rows: columns _row (struct) and text. Adds the columns of OUT."""
+def _pass(rows: DataFrame, items: list, window: int, near_terms: int, whole: bool) -> DataFrame:
+    """rows: columns _row (struct) and text, which comes back if ``whole``. Adds the columns of OUT."""
     phrases = rows.sparkSession.sparkContext.broadcast(PhraseSet(items, window))
 
     def look(batches):
         for batch in batches:
             for piece in text_slices(batch, "text"):
                 counts, bits, hits, nears = match_slice(phrases.value, piece.column("text").to_pylist(), near_terms)
+                kept = 2 if whole else 1
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns, pa.array(counts), pa.array(bits, pa.binary()), pa.array(hits, pa.list_(pa.string())), pa.array(nears, pa.list_(pa.string()))],
-                    [*piece.schema.names, "n_words", "hit_bits", "items", "near_items"],
+                    [*piece.columns[:kept], pa.array(counts), pa.array(bits, pa.binary()), pa.array(hits, pa.list_(pa.string())), pa.array(nears, pa.list_(pa.string()))],
+                    [*piece.schema.names[:kept], "n_words", "hit_bits", "items", "near_items"],
                 )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: 2 if whole else 1])
     return rows.mapInArrow(look, f"{kinds}, {OUT}")
 
 
@@ -141,9 +144,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n_blocks = max(1, -(-size // block_bytes))
     new = ("n_words", "n_hit", "items", "near_items", "contaminated")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep])
+    whole = text_col in keep  # the text comes back only where it is needed
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep if c != text_col])
     if n_blocks == 1:
-        done = _pass(docs.select(row.alias("_row"), F.col(text_col).alias("text")), [tuple(r) for r in items.collect()], window, near_terms)
+        done = _pass(docs.select(row.alias("_row"), F.col(text_col).alias("text")), [tuple(r) for r in items.collect()], window, near_terms, whole)
     else:
         block = F.pmod(F.xxhash64("text"), F.lit(n_blocks))
         rows, done = docs.select(row.alias("_row"), F.col(text_col).alias("text")), None
@@ -151,7 +155,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             here = [tuple(r) for r in items.filter(block == b).collect()]
             if done is not None:
                 rows = done.select(F.struct("_row", "hit_bits", "items", "near_items").alias("_row"), "text")
-            done = _pass(rows, here, window, near_terms)
+            done = _pass(rows, here, window, near_terms, True)
             if b:
                 old = F.col("_row")
                 joined = F.zip_with(F.split(F.hex(old["hit_bits"]), ""), F.split(F.hex("hit_bits"), ""), lambda x, y: F.conv((F.conv(x, 16, 10).cast("int").bitwiseOR(F.conv(y, 16, 10).cast("int"))).cast("string"), 10, 16))
@@ -162,7 +166,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             done = stored(done, "decontaminate")
         done = done.withColumn("near_items", F.array_sort(F.array_except("near_items", "items")))
     return done.withColumn("n_hit", _ones(F.col("hit_bits")).cast("long")).select(
-        *[F.col(f"_row.`{c}`").alias(c) for c in keep],
+        *[F.col("text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in keep],
         "n_words", "n_hit", "items", "near_items",
         ((F.col("n_hit") > 0) & (F.col("n_hit") * hit_share >= F.col("n_words"))).alias("contaminated"),
     )
