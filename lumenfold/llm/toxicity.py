@@ -234,8 +234,9 @@ def train_lexicon(sample: DataFrame, max_lexicon: int = MAX_LEXICON) -> Lexicon:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train_rows: int = MAX_TRAIN_ROWS) -> Model:
     """docs, labels (doc_id, toxic): both cut to training rows by the caller."""
     marks = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    # at most max_train_rows pairs of an id and a label, so they are broadcast
     marks = marks.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(max_train_rows)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(marks, "doc_id").select("text", "toxic")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "doc_id").select("text", "toxic")
     sample = stored(rows.filter("toxic IN (0, 1)"), "toxicity-sample")
     lexicon = train_lexicon(sample)
     shared = sample.sparkSession.sparkContext.broadcast(lexicon)
@@ -254,17 +255,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Add ``score`` to every document."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(text_col).alias("text"))
+    whole = text_col in keep  # the text comes back only where it is kept
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep if c != text_col]).alias("_row"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             for piece in text_slices(batch, "text"):
                 x = np.array([features(t, shared.value.lexicon) for t in piece.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
-                yield pa.RecordBatch.from_arrays([piece.column("_row"), pa.array(shared.value.score(x))], ["_row", "score"])
-
-    done = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, score double")
-    return done.select(*[F.col(f"_row.`{c}`").alias(c) for c in keep], "score")
+                score = pa.array(shared.value.score(x))
+                if whole:
+                    yield pa.RecordBatch.from_arrays([piece.column("_row"), piece.column("text"), score], ["_row", "text", "score"])
+                else:
+                    yield pa.RecordBatch.from_arrays([piece.column("_row"), score], ["_row", "score"])
+
+    done = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, " + "text string, " * whole + "score double")
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in keep], "score")
 
 
 def fold_of(doc_id):
