@@ -92,7 +92,7 @@ def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     chars = np.frombuffer(data, np.uint8)
     word = np.concatenate([[False], chars != 32, [False]])
     starts, ends = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
-    up, down = _powers(max(1 << 22, 1 << len(chars).bit_length()))
+    up, down = _powers(max(1 << 21, 1 << len(chars).bit_length()))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(chars * up[: len(chars)], dtype=np.uint64)])
     hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * M1)
     begins = np.cumsum([1, *[len(r) + 1 for r in raws]])[:-1]
@@ -172,7 +172,7 @@ def sketches(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in text_slices(batch, "text", 2 << 20):
+            for piece in text_slices(batch, "text", 1 << 20):
                 values, sizes, raws = ngram_sets(piece.column("text").to_pylist())
                 found = band_hashes(values, sizes, bands, per_band)
                 offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32)
@@ -189,7 +189,7 @@ def set_table(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in text_slices(batch, "text", 2 << 20):
+            for piece in text_slices(batch, "text", 1 << 20):
                 values, sizes, _ = ngram_sets(piece.column("text").to_pylist())
                 data, ends = pack(values), np.cumsum(sizes)
                 sets = [data[e - s : e].tobytes() for s, e in zip(sizes, ends)]
