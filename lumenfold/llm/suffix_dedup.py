@@ -93,14 +93,16 @@ def anchor_runs(raws: list[bytes], length: int = LENGTH, gram: int = GRAM):
     return text[new], h[at[new]], inside[new] - (ends - sizes)[text[new]], np.diff(np.append(new, len(at)))
 
 
-def window_classes(data: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def window_classes(data: np.ndarray, windows: np.ndarray, length: int = LENGTH, beyond: np.ndarray | None = None) -> np.ndarray:
     """A class number for each window start, equal exactly for equal ``length``-byte strings.
 
-    The refined suffix array sorts by 64 bytes; length is 64 to 128.
+    The refined suffix array sorts by 64 bytes; length is 64 to 128. beyond:
+    how far each position lies behind the last window start of its segment;
+    ranks that no window asks for are then not refined.
     """
     n = len(data)
     key = packed(data)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = np.empty(n + 128, np.int64)
     rank[n:] = -1
 
@@ -117,9 +119,11 @@ def window_classes(data: np.ndarray, windows: np.ndarray, length: int = LENGTH)
     open_ = settle(place, order, np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
     for step in (8, 16, 32):
         place = place[open_]
+        if beyond is not None:
+            place = place[beyond[order[place]] <= length - 2 * step]
         suffix = order[place]
         both = rank[suffix] * (n + 2) + rank[suffix + step] + 1
-        by = np.argsort(both, kind="stable")
+        by = np.argsort(both)
         suffix, both = suffix[by], both[by]
         order[place] = suffix
         open_ = settle(place, suffix, np.concatenate([[True], both[1:] != both[:-1]]) if len(both) else np.empty(0, bool))
@@ -128,12 +132,13 @@ def window_classes(data: np.ndarray, windows: np.ndarray, length: int = LENGTH)
 
 def later_windows(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which windows have an equal one before them, and the first window of each class."""
-    order = np.argsort(classes, kind="stable")
+    order = np.argsort(classes)
     c = classes[order]
-    first = np.concatenate([[True], c[1:] != c[:-1]]) if len(c) else np.empty(0, bool)
+    starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.empty(0, np.int64)
+    first = np.minimum.reduceat(order, starts) if len(starts) else order
     later = np.ones(len(classes), bool)
-    later[order[first]] = False
-    return later, order[first]
+    later[first] = False
+    return later, first
 
 
 INTERVALS = "doc_id long, key long, start int, stop int"
@@ -170,7 +175,8 @@ def scan_shard(key: tuple, tab: pa.Table) -> pa.Table:
     seg = np.repeat(np.arange(len(n)), n)
     within = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
     where = offset[seg] + within
-    later, first = later_windows(window_classes(data, where))
+    beyond = np.arange(len(data)) - np.repeat(offset + n - 1, sizes)
+    later, first = later_windows(window_classes(data, where, LENGTH, beyond))
     out = _intervals(doc_id, doc_key, start[seg] + within, later, seg)
     rows = pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "key": pa.array(out["key"], pa.int64()), "start": pa.array(out["start"], pa.int32()), "stop": pa.array(out["stop"], pa.int32())})
     none = lambda kind, m: pa.nulls(m, kind)
