@@ -4,17 +4,21 @@ Centroids are found by recursive balanced clustering of a bounded sample
 (``MAX_SAMPLE`` rows, those with the smallest hash of their id), so that no
 list holds much more than its share. Vectors are compared on the unit sphere of
 one more dimension: x / M with a last component sqrt(1 - |x/M|^2), M the
-largest norm, which turns the largest inner product into the smallest
-Euclidean distance. Every row, not only the sample, is indexed: it goes to the
+largest norm; a query becomes [q/|q|, 0], so that the order of distances to it
+is the order of inner products whatever the norms. Every row, not only the sample, is indexed: it goes to the
 list of its nearest centroid and, if it lies near a boundary, also to further
 ones whose distance is within ``BOUNDARY`` of the nearest (``REPLICAS`` at
 most).
 
 Centroids sit in memory with a navigable graph (each one's nearest centroids
 and a few long edges). A search walks it best-first from fixed entries and
-keeps the lists whose distance ratio to the best is within ``PRUNE``,
-``MAX_LISTS`` at most. The walk and the ratio decide what is read; scores are
-inner products of the original vectors in double precision.
+keeps every list whose distance ratio to the best is within a limit, and the
+nearest lists until they hold enough rows. No number of lists caps it. The
+limit is measured, not set: the exact neighbours of ``PROBES`` rows are found
+by one pass over all rows, and the limit is the least ratio that keeps
+``TARGET`` of them; the walk's beam is doubled until walks meet those lists.
+Where distances say little, nearly all lists are read.
+Scores are inner products of the original vectors in double precision.
 
 Lists are cut into pieces of about ``PIECE_ROWS`` rows by a hash of the id, so
 a vector that a third of all rows share does not end in one task: queries go
@@ -45,8 +49,10 @@ LIST_ROWS = 400
 MAX_CENTROIDS = 4096
 BOUNDARY = 1.15
 REPLICAS = 4
-PRUNE = 1.6
-MAX_LISTS = 24
+PROBES = 256
+TARGET = 0.97
+#: What the walk may lose of ``TARGET``.
+WALK_LOSS = 0.01
 GRAPH_EDGES = 16
 BEAM = 64
 PIECE_ROWS = 4000
@@ -60,6 +66,11 @@ def lift(x: np.ndarray, scale: float) -> np.ndarray:
     return np.concatenate([x, rest[:, None]], 1)
 
 
+def aim(q: np.ndarray) -> np.ndarray:
+    """Rows of q as unit vectors of the lifted space: nearer there means a larger inner product."""
+    return np.concatenate([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1))], 1)
+
+
 def balanced_centroids(x: np.ndarray, n: int, seed: int = 7) -> np.ndarray:
     """Centroids of ``n`` parts of nearly equal size: repeated halving along 2-means directions."""
     rng = np.random.default_rng(seed)
@@ -93,36 +104,45 @@ class CentroidGraph:
             d = self.sq[None, :] - 2 * centroids[i : i + 512] @ centroids.T
             near[i : i + 512] = np.argsort(d, 1, kind="stable")[:, : min(edges, n)]
         far = np.random.default_rng(seed).integers(0, n, (n, min(4, n)))
-        self.links = np.concatenate([near, far], 1)
+        ring = (np.arange(n)[:, None] + 1) % n  # every centroid can be reached
+        self.links = np.concatenate([near, far, ring], 1)
         self.entries = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(np.int64))
 
     def distance(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0.0, self.sq[ids] - 2 * self.c[ids] @ q + q @ q))
 
-    def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``beam`` nearest centroids met, and their distances, nearest first."""
+    def search(self, q: np.ndarray, beam: int, ratio: float = 0.0, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """The centroids met, and their distances, nearest first.
+
+        The walk goes on while it meets one of the ``beam`` nearest or one
+        within ``ratio`` of the least distance (of ``floor`` where that is less).
+        """
         seen = np.zeros(len(self.c), bool)
         seen[self.entries] = True
         d = self.distance(q, self.entries)
         open_ = [(float(v), int(i)) for v, i in zip(d, self.entries)]
-        best = [(-v, i) for v, i in open_]
+        found, best, least = list(open_), [(-v, i) for v, i in open_], float(d.min())
         heapq.heapify(open_)
         heapq.heapify(best)
         while open_:
             v, i = heapq.heappop(open_)
-            if len(best) >= beam and v > -best[0][0]:
+            if len(best) >= beam and v > max(-best[0][0], ratio * max(least, floor)):
                 break
             new = np.unique(self.links[i][~seen[self.links[i]]])
             if not len(new):
                 continue
             seen[new] = True
             for w, j in zip(self.distance(q, new).tolist(), new.tolist()):
-                if len(best) < beam or w < -best[0][0]:
+                least = min(least, w)
+                close = len(best) < beam or w < -best[0][0]
+                if close or w <= ratio * max(least, floor):
                     heapq.heappush(open_, (w, j))
+                    found.append((w, j))
+                if close:
                     heapq.heappush(best, (-w, j))
                     if len(best) > beam:
                         heapq.heappop(best)
-        found = sorted((-v, i) for v, i in best)
+        found.sort()
         return np.array([i for _, i in found]), np.array([v for v, _ in found])
 
     def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +159,13 @@ class CentroidGraph:
         return np.concatenate(ids), np.concatenate(dist)
 
 
+def chosen(graph: CentroidGraph, lengths: np.ndarray, q: np.ndarray, k: int, ratio: float, floor: float, beam: int) -> np.ndarray:
+    """The lists to read for one aimed query: those within the ratio, and the nearest until they hold enough rows."""
+    ids, dist = graph.search(q, beam, ratio, floor)
+    before = np.cumsum(lengths[ids]) - lengths[ids]
+    return ids[(dist <= max(dist[0], floor) * ratio + 1e-12) | (before <= k * REPLICAS)]
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """Columns vec_id and v (array<double>) of the rows that take part."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -159,7 +186,8 @@ class Index:
         dim, n_rows, self.scale = stats["n"], stats["rows"], float(stats["norm"])
         rows = self.rows = rows.filter(F.size("v") == dim)
         # distinct vectors by hash order, so that copies of one vector do not fill the sample
-        sample = rows.select("v", F.xxhash64("v").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(MAX_SAMPLE).collect()
+        sample = rows.groupBy(F.xxhash64("v").alias("h")).agg(F.min_by(F.struct("vec_id", "v"), "vec_id").alias("r")).select("r.*", "h").orderBy("h").limit(MAX_SAMPLE).collect()
+        self.probes, self.limits = [(r["vec_id"], r["v"]) for r in sample[:PROBES]], {}
         x = lift(np.array([r["v"] for r in sample], float), self.scale)
         n_lists = int(max(1, min(MAX_CENTROIDS, n_rows // list_rows, len(x) // 2)))
         self.graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(x, n_lists)))
@@ -180,20 +208,72 @@ class Index:
         lengths = self.postings.groupBy("list").count()
         # one row a list, MAX_CENTROIDS at most
         self.pieces = F.broadcast(lengths.select("list", F.ceil(F.col("count") / PIECE_ROWS).cast("int").alias("pieces")))
-
-    def search(self, queries: DataFrame, k: int = TOP, prune: float = PRUNE, max_lists: int = MAX_LISTS) -> DataFrame:
+        self.lengths = np.zeros(len(self.graph.value.c), np.int64)
+        for r in lengths.collect():
+            self.lengths[r["list"]] = r["count"]
+
+    def limit(self, k: int) -> tuple[float, float, int]:
+        """The distance ratio that keeps ``TARGET`` of the probes' true k best, the least distance it is taken of, the beam."""
+        if k not in self.limits:
+            spark, graph = self.rows.sparkSession, self.graph.value
+            own, q = np.array([i for i, _ in self.probes]), np.array([v for _, v in self.probes], float)
+            shared, (n, dim) = spark.sparkContext.broadcast((own, q)), q.shape
+
+            def exact(batches):
+                own, q = shared.value
+                score, ids, x = np.full((n, k), -np.inf), np.zeros((n, k), np.int64), np.zeros((n, k, dim))
+                at = np.arange(n)[:, None]
+                for batch in batches:
+                    every = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
+                    number = batch.column("vec_id").to_numpy()
+                    for b in range(0, batch.num_rows, 4096):
+                        v, i = every[b : b + 4096], number[b : b + 4096]
+                        new = np.where(own[:, None] == i, -np.inf, q @ v.T)
+                        top = np.argpartition(-new, min(k, len(i)) - 1, 1)[:, :k]
+                        score, ids = np.concatenate([score, new[at, top]], 1), np.concatenate([ids, i[top]], 1)
+                        x = np.concatenate([x, v[top]], 1)
+                        top = np.argsort(-score, 1, kind="stable")[:, :k]
+                        score, ids, x = score[at, top], ids[at, top], x[at, top]
+                p, j = np.nonzero(score > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(ids[p, j]), pa.array(score[p, j]), pa.array(list(x[p, j]), pa.list_(pa.float64()))], ["probe", "vec_id", "score", "v"])
+
+            order = Window.partitionBy("probe").orderBy(F.desc("score"), "vec_id")
+            true = self.rows.mapInArrow(exact, "probe long, vec_id long, score double, v array<double>").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("probe", "v").collect()
+            # distances of every probe to all centroids, and the nearest list that holds each neighbour
+            aimed = aim(q)
+            far = np.sqrt(np.maximum(0.0, graph.sq + 1 - 2 * aimed @ graph.c.T))
+            least = far.min(1)
+            floor = float(np.median(least))
+            if not true:
+                self.limits[k] = (np.inf, floor, BEAM)
+            else:
+                lists, dist = graph.nearest(lift(np.array([r["v"] for r in true], float), self.scale), REPLICAS)
+                p = np.array([r["probe"] for r in true])
+                posted = dist <= dist[:, :1] * BOUNDARY + 1e-12
+                held = np.where(posted, far[p[:, None], lists], np.inf).min(1)
+                ratios = held / np.maximum(np.maximum(least, floor)[p], 1e-12)
+                ratio, beam, met = float(np.quantile(ratios, TARGET, method="higher")), BEAM // 2, 0.0
+                while met < TARGET - WALK_LOSS and beam < len(graph.c):
+                    beam *= 2
+                    read = np.zeros(far.shape, bool)
+                    for i in range(n):
+                        read[i, chosen(graph, self.lengths, aimed[i], k, ratio, floor, beam)] = True
+                    met = (read[p[:, None], lists] & posted).any(1).mean()
+                self.limits[k] = (ratio, floor, max(beam, BEAM))
+        return self.limits[k]
+
+    def search(self, queries: DataFrame, k: int = TOP) -> DataFrame:
         """queries: columns query_id and q. The k best of each: query_id, rank, vec_id, score."""
         if self.empty:
             return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-        graph, scale = self.graph, self.scale
+        graph, lengths, limit = self.graph, self.lengths, self.limit(k)
 
         def route(batches):
             for pdf in batches:
                 out = []
                 for query_id, q in zip(pdf["query_id"], pdf["q"]):
-                    ids, dist = graph.value.search(lift(np.asarray(q, float)[None, :], max(scale, float(np.linalg.norm(q))))[0], BEAM)
-                    chosen = ids[dist <= dist[0] * prune + 1e-12][:max_lists]
-                    out += [(query_id, int(i), q) for i in chosen]
+                    lists = chosen(graph.value, lengths, aim(np.asarray(q, float)[None, :])[0], k, *limit)
+                    out += [(query_id, int(i), q) for i in lists]
                 yield pd.DataFrame(out, columns=["query_id", "list", "q"])
 
         routed = queries.repartition(F.col("query_id")).mapInPandas(route, "query_id long, list long, q array<double>")

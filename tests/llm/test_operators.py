@@ -357,6 +357,33 @@ def test_ann(spark):
     assert few.search(few.rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))).count() == 12
 
 
+def ann_recall(spark, x, every, list_rows):
+    """Share of the true 20 best found, for every ``every``-th row: small norms, large norms."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = ann.Index(df, list_rows=list_rows)
+    queries = index.rows.filter(f"vec_id % {every} = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    got = defaultdict(set)
+    for r in index.search(queries).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    norm, hit = np.linalg.norm(x, axis=1), []
+    for i in range(0, len(x), every):
+        score = x @ x[i]
+        score[i] = -np.inf
+        hit.append((norm[i], len(got[i] & set(np.argsort(-score, kind="stable")[:20].tolist())) / 20))
+    hit = np.array(sorted(hit))[:, 1]
+    return len(index.graph.value.c), hit[: len(hit) // 2].mean(), hit[len(hit) // 2 :].mean()
+
+
+def test_ann_mixed_norms(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 12))
+    x *= (np.exp(rng.uniform(-3, 1, 6000)) / np.linalg.norm(x, axis=1))[:, None]
+    x[77] *= 20  # one outlier sets the largest norm
+    n, small, large = ann_recall(spark, x, 30, 15)
+    print("mixed norms:", n, small, large)
+    assert n >= 300 and small >= 0.9 and large >= 0.9
+
+
 # ---------------------------------------------------------- decontamination
 
 
