@@ -384,6 +384,15 @@ def test_ann_mixed_norms(spark):
     assert n >= 300 and small >= 0.9 and large >= 0.9
 
 
+def test_ann_many_lists(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n, low, high = ann_recall(spark, x, 30, 15)
+    print("many lists:", n, low, high)
+    assert n >= 300 and (low + high) / 2 >= 0.9
+
+
 # ---------------------------------------------------------- decontamination
 
 
