@@ -292,6 +292,30 @@ def test_disclosing_terms(spark):
     assert "zorblat" in terms and "badge" not in terms
 
 
+def test_terms_of_whole_documents(spark):
+    far = " ".join(["filler"] * 20)
+    rows = [(i, f"Zorblat {far} mail{i}@x.example.com {far}") for i in range(8)]
+    rows += [(20, f"{far} no address but ZORBLAT, zorblats")]
+    rows += [(30 + i, f"{far} boss@y.example.com {far} Quimby") for i in range(2)]
+    rows += [(40, f"sole@z.example.com {far} Hapley")]
+    rows += [(100 + i, f"{far} plain {i}") for i in range(80)]
+    texts = dict(rows)
+    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {i: [texts[i][s["start"] : s["end"]] for s in r["terms"]] for i, r in got.items()}
+    assert all(found[i] == ["Zorblat"] for i in range(8))  # far from the address
+    assert found[20] == ["ZORBLAT"]  # a document without a span
+    assert found[30] == found[31] == ["Quimby"] and found[40] == ["Hapley"]  # one address, two documents and one
+    assert all(found[100 + i] == [] for i in range(80))
+    assert got[40]["sanitised"] == f"[email] {far} [email]"
+    assert got[20]["sanitised"] == f"{far} no address but [email], zorblats" and got[100]["sanitised"] == texts[100]
+
+
+def test_sanitised_overlap(spark):
+    row = spark.createDataFrame([(1, "call +4111111111111111 or 10.0.0.1 now"), (1, None)], "doc_id long, text string")
+    texts = {r["sanitised"] for r in pii.find_personal_data(row).collect()}
+    assert "" in texts and not any(re.search("[0-9]{4}", t) or "10.0" in t for t in texts)
+
+
 # ------------------------------------------------------ suffix-array dedup
 
 
