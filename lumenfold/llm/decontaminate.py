@@ -3,11 +3,12 @@
 The index is partitioned by document: each slice of documents holds the posting
 lists (term -> sorted positions) of all benchmark terms that its texts contain;
 a term that no benchmark item uses can take part in no match, so its postings
-are not kept. A window is looked up from its rarest term in the slice: that
-posting list, shifted by the term's offset, is intersected with the shifted
-lists of the other terms, rarest first. What survives is an exact phrase match;
-candidates on which at least ``near_terms`` of the terms agree are proximity
-matches. Documents are never shuffled, and the memory of a slice is bounded by
+are not kept. A window is looked up from its rarest places in the slice, one
+more of them than may differ, so that every match agrees with one: those
+posting lists, shifted by the place, are intersected with the shifted lists of
+the other terms, rarest first. What survives is an exact phrase match;
+candidates on which at least ``near_terms`` of the terms agree in place are
+proximity matches (a word put in or left out moves the places after it). Documents are never shuffled, and the memory of a slice is bounded by
 its bytes, whatever the frequency of a word.
 
 The benchmark is the side that every task needs. Its size is checked: items
@@ -79,27 +80,31 @@ def match_slice(phrases: PhraseSet, texts, near_terms: int):
         heads = np.cumsum(df) - df
         inside = np.arange(w) < phrases.length[:, None]
         by_rarity = np.argsort(np.where(inside, df[np.maximum(phrases.rows, 0)], np.iinfo(np.int64).max), axis=1, kind="stable")
-        # the rarest term that the slice holds; windows that lack too many terms can match nothing
+        # windows that lack too many terms can match nothing
         absent = (inside & (df[np.maximum(phrases.rows, 0)] == 0)).sum(1)
         able = np.flatnonzero(np.where(phrases.length == w, absent <= max(0, w - near_terms), absent == 0))
-        rarest = by_rarity[able, absent[able]]
-        term = phrases.rows[able, rarest]
-        many = df[term]
-        win = np.repeat(able, many)
-        within = np.arange(len(win)) - np.repeat(np.cumsum(many) - many, many)
-        start = positions[np.repeat(heads[term], many) + within] - np.repeat(rarest, many)
-        ok = start >= 0
-        win, start = win[ok], start[ok]
-        agreed = np.zeros(len(win), np.int64)
-        for k in range(w):
-            j = by_rarity[win, k]
-            at = start + j
-            same = (j < phrases.length[win]) & (at < len(tokens)) & (tokens[np.minimum(at, len(tokens) - 1)] == phrases.rows[win, j])
-            agreed += same
-            # a full-length window may still be near; others must agree so far
-            alive = (agreed == np.minimum(k + 1, phrases.length[win])) | ((phrases.length[win] == w) & (agreed + w - 1 - k >= near_terms))
-            win, start, agreed = win[alive], start[alive], agreed[alive]
-        doc = np.searchsorted(begins, start, "right") - 1
+        found = []
+        for seed in range(max(1, w - near_terms + 1)):
+            own = able if seed == 0 else able[phrases.length[able] == w]
+            offset = by_rarity[own, seed]
+            term = phrases.rows[own, offset]
+            many = df[term]
+            win = np.repeat(own, many)
+            within = np.arange(len(win)) - np.repeat(np.cumsum(many) - many, many)
+            at = positions[np.repeat(heads[term], many) + within]
+            doc = np.searchsorted(begins, at, "right") - 1
+            start = at - np.repeat(offset, many)  # of a near match also before its text
+            agreed = np.zeros(len(win), np.int64)
+            for k in range(w):
+                j = by_rarity[win, k]
+                at = start + j
+                same = (j < phrases.length[win]) & (at >= 0) & (at < len(tokens)) & (tokens[np.clip(at, 0, len(tokens) - 1)] == phrases.rows[win, j])
+                agreed += same
+                # a full-length window may still be near; others must agree so far
+                alive = (agreed == np.minimum(k + 1, phrases.length[win])) | ((phrases.length[win] == w) & (agreed + w - 1 - k >= near_terms))
+                win, start, doc, agreed = win[alive], start[alive], doc[alive], agreed[alive]
+            found.append(np.stack([win, start, doc, agreed], 1))
+        win, start, doc, agreed = np.unique(np.concatenate(found), axis=0).T
         exact = agreed == phrases.length[win]
         for d, k in np.unique(np.stack([doc[exact], win[exact]], 1), axis=0):
             hits[d].update(phrases.owners[k])

@@ -452,6 +452,16 @@ def test_near_phrases(spark):
     assert out["items"] == [] and out["near_items"] == ["9"]
 
 
+def test_near_phrases_in_one_slice(spark):
+    w = [f"term{i}" for i in range(13)]
+    texts = {1: [*w[:4], "other", *w[5:]], 2: w, 3: w[2:], 4: ["lead", "in", *w[:11]], 5: ["no", "match"], 6: [*w[:3], "x", "y", "z", *w[6:]]}
+    for order in ([1, 2, 3, 4, 5, 6], [3, 5, 2, 6, 1, 4]):  # 3 starts before its text, also as the first one
+        phrases = decontaminate.PhraseSet([(9, " ".join(w))], 13)
+        _, _, items, near = decontaminate.match_slice(phrases, [" ".join(texts[i]) for i in order], 11)
+        assert dict(zip(order, items)) == {1: [], 2: ["9"], 3: [], 4: [], 5: [], 6: []}
+        assert dict(zip(order, near)) == {1: ["9"], 2: [], 3: ["9"], 4: ["9"], 5: [], 6: []}
+
+
 # ------------------------------------------------------------------ mixing
 
 
