@@ -76,19 +76,26 @@ def diffuse(px: np.ndarray, c: np.ndarray, side: int, taps=FLOYD_STEINBERG, serp
     """Error diffusion in scan order over a square frame."""
     if side * side != len(px):
         raise Refused(f"{len(px)} pixels are no square of side {side}")
+    return diffuse_rows(px, c, side, taps, serpentine)
+
+
+def diffuse_rows(px: np.ndarray, c: np.ndarray, width: int, taps=FLOYD_STEINBERG, serpentine: bool = True) -> np.ndarray:
+    """Error diffusion in scan order over as many rows as the pixels fill; the last may be short."""
     work, out = px.astype(np.int64).copy(), np.empty(len(px), np.int64)
-    for y in range(side):
+    for y in range(-(-len(px) // width)):
         forth = not serpentine or y % 2 == 0
-        for step in range(side):
-            x = step if forth else side - 1 - step
-            at = y * side + x
+        for step in range(width):
+            x = step if forth else width - 1 - step
+            at = y * width + x
+            if at >= len(px):
+                continue
             slot = int(((c - work[at]) ** 2).sum(1).argmin())
             out[at] = slot
             error = work[at] - c[slot]
             for dx, dy, num, den in taps:
                 nx, ny = x + (dx if forth else -dx), y + dy
-                if 0 <= nx < side and ny < side:
-                    work[ny * side + nx] += trunc(error * num, den)
+                if 0 <= nx < width and ny * width + nx < len(px):
+                    work[ny * width + nx] += trunc(error * num, den)
     return out
 
 

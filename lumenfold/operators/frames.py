@@ -39,19 +39,17 @@ def quantize_frames(pixels: DataFrame, k: int, lloyd: int = 0, least: int = 0, k
 
 
 def dither_frames(pixels: DataFrame, k: int, side: int, mode: str = "floyd-steinberg", key: str = "frame") -> DataFrame:
-    """frame, idx, slot of the first side * side pixels of each frame; smaller frames are refused (no rows)."""
+    """frame, idx, slot of every pixel; a frame has rows of ``side`` pixels, as many as it needs, the last may be short."""
 
     def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", ignore_index=True).head(side * side)
+        pdf = pdf.sort_values("idx", ignore_index=True)
         px = _points(pdf)
-        if len(px) < side * side:
-            return pdf.head(0)[[key, "idx"]].assign(slot=pd.Series(dtype="int32"))
         c, _ = kernels.quantize(px, min(k, len(px)))
         if mode == "threshold":
             mask = (kernels.splitmix64(11, len(px)) >> np.uint64(56)).astype(np.int64)
             slot = kernels.threshold_dither(px, c, mask)
         else:
-            slot = kernels.diffuse(px, c, side, kernels.FLOYD_STEINBERG if mode == "floyd-steinberg" else kernels.ATKINSON)
+            slot = kernels.diffuse_rows(px, c, side, kernels.FLOYD_STEINBERG if mode == "floyd-steinberg" else kernels.ATKINSON)
         return pdf[[key, "idx"]].assign(slot=slot.astype(np.int32))
 
     return pixels.groupBy(key).applyInPandas(run, f"{key} {pixels.schema[key].dataType.simpleString()}, idx long, slot int")

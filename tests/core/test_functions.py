@@ -218,3 +218,15 @@ def test_linear_fit_finds_the_line(spark):
     rows = spark.createDataFrame([(0, float(x), 3.0 - 2.0 * x) for x in range(20)], "g int, x double, y double")
     r = models.linear_fit(rows, ["g"], ["x"], "y", ridge=0.0).first()
     assert np.allclose(r["weights"], [3, -2]) and r["loss"] < 1e-9
+
+
+def test_dither_every_pixel(spark):
+    from lumenfold.operators import frames
+
+    rng = np.random.default_rng(3)
+    rows = [(f, i, *map(int, rng.integers(-60000, 60000, 3))) for f, n in ((0, 50), (1, 20)) for i in range(n)]
+    pixels = spark.createDataFrame(rows, "frame int, idx long, l long, a long, b long")
+    for mode in ("floyd-steinberg", "atkinson", "threshold"):
+        got = frames.dither_frames(pixels, 8, 6, mode).collect()
+        assert sorted((r["frame"], r["idx"]) for r in got) == [r[:2] for r in rows]
+        assert len({r["slot"] for r in got if r["idx"] >= 36}) > 1
