@@ -138,9 +138,10 @@ def synthetic_burst(spark, seed: int, frames: int, side: int, parallelism: int =
 
 
 def two_nn_dimension(points: DataFrame, keys, idx: str, vector: str, limit: int = 1000) -> DataFrame:
-    """TwoNN intrinsic dimension per group from the first ``limit`` points by id: the estimator's own subsample."""
-    w = Window.partitionBy(*keys).orderBy(idx)
-    p = points.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit)
+    """TwoNN intrinsic dimension per group from every (n div ``limit``)-th point by id: the reference's subsample over the whole group."""
+    every = Window.partitionBy(*keys)
+    step = F.greatest(F.lit(1), F.expr(f"_n div {limit}"))
+    p = points.withColumn("_r", F.row_number().over(every.orderBy(idx)) - 1).withColumn("_n", F.count("*").over(every)).filter(F.col("_r") % step == 0)
     groups = p.groupBy(*keys).agg(F.collect_list(vector).alias("_v"))
 
     @F.pandas_udf("double")

@@ -230,3 +230,17 @@ def test_dither_every_pixel(spark):
         got = frames.dither_frames(pixels, 8, 6, mode).collect()
         assert sorted((r["frame"], r["idx"]) for r in got) == [r[:2] for r in rows]
         assert len({r["slot"] for r in got if r["idx"] >= 36}) > 1
+
+
+def test_two_nn_reads_the_whole_group(spark):
+    from lumenfold.operators import frames
+
+    rng = np.random.default_rng(4)
+    line, cloud = np.zeros((1000, 5)), rng.normal(size=(3000, 5))
+    line[:, 0] = rng.normal(size=1000)
+    x = np.concatenate([line, cloud])  # the first 1,000 points have dimension one
+    df = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "label int, vec_id long, v array<double>")
+    y = x[::4]
+    d = np.sort(np.sqrt(((y[:, None] - y[None]) ** 2).sum(2)), 1)[:, 1:3]
+    want = len(y) / np.log(d[:, 1] / d[:, 0]).sum()
+    assert abs(frames.two_nn_dimension(df, ["label"], "vec_id", "v").first()["dimension"] - want) < 1e-6
