@@ -100,11 +100,11 @@ def covariance(df: DataFrame, keys, weight=None) -> DataFrame:
     return g.select(*keys, "w", *means, *covs)
 
 
-def grid_layout(colors: DataFrame, x, y, side: int) -> DataFrame:
-    """Place side * side colours: chunks by x (ties: idx), each ordered by y (ties: idx). Adds col and row."""
-    by_x = Window.orderBy(x, "idx")
+def grid_layout(colors: DataFrame, x, y, side: int, keys=()) -> DataFrame:
+    """Place side * side colours, of each group of ``keys``: chunks by x (ties: idx), each ordered by y (ties: idx). Adds col and row."""
+    by_x = Window.partitionBy(*keys).orderBy(x, "idx")
     c = colors.withColumn("col", trunc_div(F.row_number().over(by_x) - 1, side).cast("int"))
-    return c.withColumn("row", (F.row_number().over(Window.partitionBy("col").orderBy(y, "idx")) - 1).cast("int"))
+    return c.withColumn("row", (F.row_number().over(Window.partitionBy(*keys, "col").orderBy(y, "idx")) - 1).cast("int"))
 
 
 def pool_blocks(pixels: DataFrame, keys, block: int, values) -> DataFrame:

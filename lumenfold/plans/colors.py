@@ -216,6 +216,13 @@ def grid_layout(spark, d):
     return assign.grid_layout(c, F.col("x"), F.col("y"), 14).select("idx", "col", "row")
 
 
+@query("grid_layout_blocks", "WITH c AS (SELECT p_partkey AS idx, p_partkey // 256 AS block, p_size AS x, p_retailprice AS y FROM part), k AS (SELECT *, ((row_number() OVER (PARTITION BY block ORDER BY x, idx) - 1) // 16)::INTEGER AS col FROM c) SELECT idx, block, col, (row_number() OVER (PARTITION BY block, col ORDER BY y, idx) - 1)::INTEGER AS row FROM k")
+def grid_layout_blocks(spark, d):
+    """All parts, one 16 x 16 grid for each block of 256; ``grid_layout`` lays out one grid by its SQL."""
+    c = table(spark, d, "part").select(F.col("p_partkey").alias("idx"), arith.floor_div(F.col("p_partkey"), 256).alias("block"), F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"))
+    return assign.grid_layout(c, F.col("x"), F.col("y"), 16, ["block"]).select("idx", "block", "col", "row")
+
+
 @query("block_pool", f"{P} SELECT frame, (idx % 64) // 4 AS x, ((idx // 64) % 64) // 4 AS y, count(*) AS n, sum(l)::BIGINT AS l, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM pixels GROUP BY ALL")
 def block_pool(spark, d):
     px = pixels(spark, d).withColumn("x", F.col("idx") % 64).withColumn("y", arith.trunc_div("idx", 64) % 64)

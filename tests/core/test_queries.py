@@ -41,3 +41,10 @@ def test_matches_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+def test_grid_layout_blocks_is_whole(spark):
+    data = DATA.replace("sf0.001", "sf0.01")
+    got = QUERIES["grid_layout_blocks"](spark, data)
+    n = spark.read.parquet(f"{data}/part.parquet").count()
+    assert n > 256 and got.count() == n == got.select("block", "col", "row").distinct().count()
