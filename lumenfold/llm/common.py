@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import json
+import re
 import tempfile
 import uuid
 
@@ -16,6 +16,13 @@ SEPARATORS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 #: Tables that :func:`stored` wrote and nothing has deleted yet.
 _STORED: set[str] = set()
 
+#: Largest table that is broadcast, by its rows times their size; beyond it joins shuffle.
+MAX_BROADCAST_BYTES = 32 << 20
+#: Largest Arrow batch sent to a Python worker, unless one row is larger.
+BATCH_BYTES = 4 << 20
+#: Rows of a slice: numpy kernels pack the row number into 16 bits.
+SLICE_ROWS = 65_535
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _TABLE = bytearray(range(256))
@@ -34,9 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a temporary one, but in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="lumenfold-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -64,19 +73,40 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more, and let Spark drop the shuffle files behind them."""
+    """Delete stored tables that nothing reads any more."""
     for df in tables:
         _delete(df.sparkSession, df.stored_at)
-    gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every stored table of this process, once the results that read them are written."""
-    for path in list(_STORED):
+def release(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete every stored table of this process but ``keep``, once the results that read them are written."""
+    kept = {df.stored_at for df in keep}
+    for path in _STORED - kept:
         _delete(spark, path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session to ``BATCH_BYTES``, so that rows of long texts fill no memory."""
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not size.rstrip("b").isdigit() or int(size.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
+def row_and(df: DataFrame, *columns: Column) -> DataFrame:
+    """The whole row as struct column ``_row`` beside other columns, so that no name can clash."""
+    return df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *columns)
+
+
+def row_columns(df: DataFrame) -> list[Column]:
+    """Select these to get the columns of ``df`` back from ``_row``."""
+    return [F.col(f"_row.`{c}`").alias(c) for c in df.columns]
+
+
+def fits_broadcast(rows: int, row_bytes: int) -> bool:
+    """Whether a table of so many rows of at most ``row_bytes`` may be broadcast."""
+    return rows * row_bytes <= MAX_BROADCAST_BYTES
+
+
 def inline_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """A small table of constants as a DataFrame without an RDD. ddl: ``name type, ...``."""
     names = [part.split()[0] for part in ddl.split(",")]
@@ -101,11 +131,12 @@ def words_bytes(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_TABLE).split() if text else []
 
 
-def text_slices(batch, column: str, limit: int = 4 << 20):
+def text_slices(batch, column: str, limit: int = 1 << 20):
     """Cut an Arrow record batch into slices whose texts hold about ``limit`` bytes.
 
     A slice holds one row at least, so a single longer text is a slice of its
-    own. This bounds the memory of the numpy kernels whatever the batch size.
+    own, and ``SLICE_ROWS`` at most. This bounds the memory of the numpy
+    kernels whatever the batch size.
     """
     import pyarrow.compute as pc
 
@@ -116,6 +147,6 @@ def text_slices(batch, column: str, limit: int = 4 << 20):
     start = 0
     while start < len(sizes):
         base = edges[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(edges, base + limit, "right")))
+        stop = min(start + SLICE_ROWS, max(start + 1, int(np.searchsorted(edges, base + limit, "right"))))
         yield batch.slice(start, stop - start)
         start = stop

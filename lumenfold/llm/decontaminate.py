@@ -1,194 +1,272 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is partitioned by document: each slice of documents holds the posting
-lists (term -> sorted positions) of all benchmark terms that its texts contain;
-a term that no benchmark item uses can take part in no match, so its postings
-are not kept. A window is looked up from its rarest places in the slice, one
-more of them than may differ, so that every match agrees with one: those
-posting lists, shifted by the place, are intersected with the shifted lists of
-the other terms, rarest first. What survives is an exact phrase match;
-candidates on which at least ``near_terms`` of the terms agree in place are
-proximity matches (a word put in or left out moves the places after it). Documents are never shuffled, and the memory of a slice is bounded by
-its bytes, whatever the frequency of a word.
-
-The benchmark is the side that every task needs. Its size is checked: items
-are dealt into blocks of at most about ``block_bytes`` of text, and each block
-is one pass over the documents; hits of all passes are combined as bitmaps.
+1. :func:`build_index` tokenises all documents once and stores the posting
+   lists: one row for a slice of documents (about ``SLICE_BYTES`` of text),
+   with the sorted hashes of its terms (64 bits), the length of each posting
+   list and the positions, ascending. The index is partitioned by document, so
+   nothing is shuffled, a frequent word fills no partition, and the memory of a
+   slice is bounded by its text. Any number of benchmarks can be looked up.
+2. Items become windows of terms. How often each benchmark term occurs in the
+   whole corpus is summed first, inside the tasks.
+3. :func:`search_index` looks each window up from its rarest terms of the
+   corpus, one more of them than may differ, so that every match agrees with
+   one: the posting list of such a term, shifted by its place, is intersected
+   by binary search with the shifted lists of the other terms, rarest first.
+   What survives with every term in place is an exact phrase match. If at
+   least ``near_terms`` of the terms stand within ``SLACK`` words of their
+   place, it is a proximity match: words may be changed, put in or left out.
+
+The benchmark is the side that every task needs: eight bytes a word and
+fifteen a window. Its size is checked; items are dealt into blocks of about
+``block_bytes`` of text, each block is one pass over the index, and the passes'
+hits are united.
 
 Defined cases: a null or empty document has no words, so no hits and is not
 contaminated; null or wordless items have no window; repeated documents are
 each judged; items with a null id hit words but are not listed; equal ids with
-several texts are one item; empty tables give no rows, or rows without hits.
+several texts are one item; empty tables give no rows, or rows without hits;
+extra columns of documents stay in :func:`clean_documents` and are left out
+otherwise.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import stored, table, text_slices, words_bytes
+from lumenfold.llm.common import fits_broadcast, row_and, row_columns, small_batches, stored, table, text_slices
+from lumenfold.llm.jaccard_join import SLICE_BYTES, word_hashes
 
 WINDOW = 13
 NEAR_TERMS = 11
-BLOCK_BYTES = 32 << 20
+#: Words by which a term of a proximity match may stand off its place.
+SLACK = 2
+BLOCK_BYTES = 8 << 20
 #: A document is contaminated if hit words are at least one in this many.
 HIT_SHARE = 20
+#: Free positions between two documents of a slice, more than any match can span.
+GAP = 64
+#: Candidates of one step of the intersection.
+STEP = 1 << 18
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored index of ``docs``: slice, docs (doc_id, key, n_words each), terms, counts, positions."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
+
+    def post(batches):
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for piece in text_slices(batch, "text", SLICE_BYTES):
+                words, counts = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in piece.column("text").to_pylist()])
+                positions = np.arange(len(words)) + np.repeat(np.arange(len(counts)) * GAP, counts)
+                order = np.argsort(words, kind="stable")
+                terms, lengths = np.unique(words[order], return_counts=True)
+                about = pa.StructArray.from_arrays([piece.column("doc_id"), piece.column("key"), pa.array(counts.astype(np.int64))], ["doc_id", "key", "n_words"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(about)], pa.int32()), about),
+                     *[pa.array([x.tobytes()], pa.binary()) for x in (terms, lengths.astype(np.uint32), positions[order].astype(np.uint32))]],
+                    ["slice", "docs", "terms", "counts", "positions"])
+                number += 1
 
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return stored(rows.mapInArrow(post, f"slice long, docs array<struct<doc_id:{kind}, key:long, n_words:long>>, terms binary, counts binary, positions binary"), "postings")
 
-class PhraseSet:
-    """The distinct windows of one block of items, as rows of term numbers."""
+
+class Phrases:
+    """The windows of one block of items, as places in one array of terms."""
 
     def __init__(self, items, window: int):
-        self.window, self.terms, rows, owners = window, {}, {}, []
-        for item_id, text in items:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words_bytes(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                row = tuple(ids[i : i + window])
-                number = rows.setdefault(row, len(rows))
-                if number == len(owners):
-                    owners.append(set())
-                if item_id is not None:
-                    owners[number].add(str(item_id))
-        self.length = np.array([len(r) for r in rows], np.int64)
-        self.rows = np.full((len(rows), window), -2, np.int64)
-        for i, r in enumerate(rows):
-            self.rows[i, : len(r)] = r
-        self.owners = [sorted(o) for o in owners]
-
-
-def match_slice(phrases: PhraseSet, texts, near_terms: int):
-    """Per text: number of words, hit bitmap, items matched exactly, items matched nearly."""
-    get, w = phrases.terms.get, phrases.window
-    counts, parts = np.empty(len(texts), np.int64), []
-    gap = np.full(w, -1, np.int64)
-    for i, text in enumerate(texts):
-        words = words_bytes(text)
-        counts[i] = len(words)
-        parts += [np.fromiter(map(get, words, [-1] * len(words)), np.int64, len(words)), gap]
-    begins = np.cumsum(counts + w) - counts - w  # of each text in the slice's positions
-    tokens = np.concatenate(parts) if parts else np.empty(0, np.int64)
-    hits = [set() for _ in texts]
-    nears = [set() for _ in texts]
-    marks = np.zeros(len(tokens) + 1, np.int64)
-    if len(phrases.length) and len(tokens):
-        # posting lists, one after another by term
-        positions = np.flatnonzero(tokens >= 0)
-        positions = positions[np.argsort(tokens[positions], kind="stable")]
-        df = np.bincount(tokens[positions], minlength=len(phrases.terms))
-        heads = np.cumsum(df) - df
-        inside = np.arange(w) < phrases.length[:, None]
-        by_rarity = np.argsort(np.where(inside, df[np.maximum(phrases.rows, 0)], np.iinfo(np.int64).max), axis=1, kind="stable")
-        # windows that lack too many terms can match nothing
-        absent = (inside & (df[np.maximum(phrases.rows, 0)] == 0)).sum(1)
-        able = np.flatnonzero(np.where(phrases.length == w, absent <= max(0, w - near_terms), absent == 0))
-        found = []
-        for seed in range(max(1, w - near_terms + 1)):
-            own = able if seed == 0 else able[phrases.length[able] == w]
-            offset = by_rarity[own, seed]
-            term = phrases.rows[own, offset]
-            many = df[term]
-            win = np.repeat(own, many)
-            within = np.arange(len(win)) - np.repeat(np.cumsum(many) - many, many)
-            at = positions[np.repeat(heads[term], many) + within]
-            doc = np.searchsorted(begins, at, "right") - 1
-            start = at - np.repeat(offset, many)  # of a near match also before its text
-            agreed = np.zeros(len(win), np.int64)
+        items = [(None if i is None else str(i), t) for i, t in items]
+        words, counts = word_hashes([t.encode("utf-8", "surrogatepass") for _, t in items])
+        self.ids, self.window = [i for i, _ in items], window
+        #: distinct terms, and the term number of every word
+        self.terms, number = np.unique(words, return_inverse=True)
+        self.words = number.astype(np.int32)
+        per_item = np.where(counts > 0, np.maximum(1, counts - window + 1), 0)
+        self.item = np.repeat(np.arange(len(items), dtype=np.int32), per_item)
+        first = np.repeat(np.cumsum(counts) - counts, per_item)
+        self.start = (first + np.arange(len(first)) - np.repeat(np.cumsum(per_item) - per_item, per_item)).astype(np.int32)
+        self.length = np.minimum(window, counts[self.item]).astype(np.int8)
+
+    def order(self, frequency: np.ndarray) -> None:
+        """Keep the places of each window, its rarest term of the corpus first, then the leftmost."""
+        places = np.arange(self.window, dtype=np.int32)
+        self.rarity = np.empty((len(self.start), self.window), np.int8)
+        for a in range(0, len(self.start), STEP):
+            inside = places < self.length[a : a + STEP, None]
+            at = np.where(inside, self.start[a : a + STEP, None] + places, 0)
+            self.rarity[a : a + STEP] = np.argsort(np.where(inside, frequency[self.words[at]], np.iinfo(np.int64).max), axis=1, kind="stable")
+
+
+def _arrays(batch, i: int):
+    """Terms, list lengths and positions of row i of an index batch."""
+    return (np.frombuffer(batch.column(c)[i].as_buffer() or b"", t) for c, t in (("terms", np.uint64), ("counts", np.uint32), ("positions", np.uint32)))
+
+
+def term_counts(index: DataFrame, phrases) -> np.ndarray:
+    """Occurrences of each term of the (broadcast) phrases in the whole index; one short row a task."""
+
+    def run(batches):
+        total = np.zeros(len(phrases.value.terms), np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                terms, counts, _ = _arrays(batch, i)
+                both, here, there = np.intersect1d(phrases.value.terms, terms, assume_unique=True, return_indices=True)
+                total[here] += counts[there]
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
+
+    out = np.zeros(len(phrases.value.terms), np.int64)
+    for r in index.select("terms", "counts", "positions").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        out[r["term"]] = r["n"]
+    return out
+
+
+def find_matches(phrases: Phrases, terms, counts, positions, near_terms: int):
+    """Exact matches (window, start) and near ones (window, place of the seed) in one slice of the index."""
+    none = np.empty((0, 2), np.int64)
+    w = phrases.window
+    if not len(phrases.start) or not len(terms):
+        return none, none
+    # where each benchmark term's list lies among the slice's lists
+    at = np.minimum(np.searchsorted(terms, phrases.terms), len(terms) - 1)
+    there = terms[at] == phrases.terms
+    rank = np.where(there, at, 0)[phrases.words].astype(np.int64)
+    absent = np.concatenate([[0], np.cumsum(~there[phrases.words])])
+    lacking = absent[phrases.start + phrases.length] - absent[phrases.start]
+    able = np.flatnonzero(lacking <= np.where(phrases.length == w, max(0, w - near_terms), 0))
+    if not len(able):
+        return none, none
+    heads = np.cumsum(counts, dtype=np.int64) - counts
+    #: all posting lists as one sorted array
+    lists = (np.repeat(np.arange(len(terms), dtype=np.int64), counts) << 32) | positions
+    present = there[phrases.words]
+    exact, near = [none], [none]
+    for seed in range(max(1, w - near_terms + 1)):
+        own = able if seed == 0 else able[phrases.length[able] == w]
+        place = phrases.rarity[own, seed].astype(np.int64)
+        word = phrases.start[own] + place
+        own, place, word = own[present[word]], place[present[word]], word[present[word]]
+        many = counts[rank[word]].astype(np.int64)
+        cuts = np.searchsorted(np.cumsum(many), np.arange(STEP, many.sum() + STEP, STEP), "left") + 1
+        for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
+            n = many[a:b]
+            if not len(n):
+                continue
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            win, off = np.repeat(own[a:b], n), np.repeat(place[a:b], n)
+            start = positions[np.repeat(heads[rank[word[a:b]]], n) + within].astype(np.int64) - off
+            strict, close = np.ones(len(win), bool), np.zeros(len(win), np.int64)
             for k in range(w):
-                j = by_rarity[win, k]
-                at = start + j
-                same = (j < phrases.length[win]) & (at >= 0) & (at < len(tokens)) & (tokens[np.clip(at, 0, len(tokens) - 1)] == phrases.rows[win, j])
-                agreed += same
-                # a full-length window may still be near; others must agree so far
-                alive = (agreed == np.minimum(k + 1, phrases.length[win])) | ((phrases.length[win] == w) & (agreed + w - 1 - k >= near_terms))
-                win, start, doc, agreed = win[alive], start[alive], doc[alive], agreed[alive]
-            found.append(np.stack([win, start, doc, agreed], 1))
-        win, start, doc, agreed = np.unique(np.concatenate(found), axis=0).T
-        exact = agreed == phrases.length[win]
-        for d, k in np.unique(np.stack([doc[exact], win[exact]], 1), axis=0):
-            hits[d].update(phrases.owners[k])
-        for d, k in np.unique(np.stack([doc[~exact], win[~exact]], 1), axis=0):
-            nears[d].update(phrases.owners[k])
-        np.add.at(marks, start[exact], 1)
-        np.add.at(marks, start[exact] + phrases.length[win[exact]], -1)
-    covered = np.cumsum(marks) > 0
-    bits = [np.packbits(covered[b : b + n]).tobytes() for b, n in zip(begins, counts)]
-    return counts, bits, [sorted(h) for h in hits], [sorted(x - h) for h, x in zip(hits, nears)]
-
-
-OUT = "n_words long, hit_bits binary, items array<string>, near_items array<string>"
-
-
-def _pass(rows: DataFrame, items: list, window: int, near_terms: int, whole: bool) -> DataFrame:
-    """rows: columns _row (struct) and text, which comes back if ``whole``. Adds the columns of OUT."""
-    phrases = rows.sparkSession.sparkContext.broadcast(PhraseSet(items, window))
-
-    def look(batches):
+                j = phrases.rarity[win, k].astype(np.int64)
+                inside = k < phrases.length[win]
+                v = np.where(inside, phrases.start[win] + j, 0)
+                key = (rank[v] << 32) + start + j
+                low = np.searchsorted(lists, key - SLACK)
+                got = lists[np.minimum(low, len(lists) - 1)]
+                by = inside & present[v] & (low < len(lists)) & (got <= key + SLACK) & (got >= rank[v] << 32)
+                put = np.searchsorted(lists, key)
+                strict &= ~inside | (by & (lists[np.minimum(put, len(lists) - 1)] == key))
+                close += by
+                full = phrases.length[win] == w
+                alive = strict | (full & (close + w - 1 - k >= near_terms))
+                win, off, start, strict, close = win[alive], off[alive], start[alive], strict[alive], close[alive]
+            exact.append(np.stack([win[strict], start[strict]], 1))
+            near.append(np.stack([win[~strict], (start + off)[~strict]], 1))
+    return np.unique(np.concatenate(exact), axis=0), np.unique(np.concatenate(near), axis=0)
+
+
+HITS = "slice long, ord int, spans array<struct<start:long, stop:long>>, items array<string>, near_items array<string>"
+
+
+def block_hits(index: DataFrame, phrases, near_terms: int) -> DataFrame:
+    """One row (HITS) for each document that a window of the (broadcast) phrases meets."""
+
+    def run(batches):
         for batch in batches:
-            for piece in text_slices(batch, "text"):
-                counts, bits, hits, nears = match_slice(phrases.value, piece.column("text").to_pylist(), near_terms)
-                kept = 2 if whole else 1
+            for i in range(batch.num_rows):
+                p = phrases.value
+                exact, near = find_matches(p, *_arrays(batch, i), near_terms)
+                if not len(exact) and not len(near):
+                    continue
+                n_words = batch.column("docs")[i].values.field("n_words").to_numpy()
+                begins = np.cumsum(n_words + GAP) - n_words - GAP
+                held, met, marks = {}, {}, {}
+                for found, into in ((exact, held), (near, met)):
+                    ords = np.searchsorted(begins, found[:, 1], "right") - 1
+                    for o, item in np.unique(np.stack([ords, p.item[found[:, 0]]], 1), axis=0).tolist():
+                        into.setdefault(o, set()).add(p.ids[item])
+                    if into is held:
+                        order = np.argsort(found[:, 1], kind="stable")
+                        for o, s, n in zip(ords[order].tolist(), found[order, 1].tolist(), p.length[found[order, 0]].tolist()):
+                            s -= int(begins[o])
+                            own = marks.setdefault(o, [])
+                            if own and own[-1]["stop"] >= s:
+                                own[-1]["stop"] = max(own[-1]["stop"], s + n)
+                            else:
+                                own.append({"start": s, "stop": s + n})
+                docs = sorted({*held, *met})
+                named = lambda x: sorted(v for v in x if v is not None)
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns[:kept], pa.array(counts), pa.array(bits, pa.binary()), pa.array(hits, pa.list_(pa.string())), pa.array(nears, pa.list_(pa.string()))],
-                    [*piece.schema.names[:kept], "n_words", "hit_bits", "items", "near_items"],
-                )
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: 2 if whole else 1])
-    return rows.mapInArrow(look, f"{kinds}, {OUT}")
+                    [pa.array([batch.column("slice")[i].as_py()] * len(docs), pa.int64()), pa.array(docs, pa.int32()), pa.array([marks.get(d, []) for d in docs], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+                     *[pa.array([named(x.get(d, ())) for d in docs], pa.list_(pa.string())) for x in (held, met)]],
+                    ["slice", "ord", "spans", "items", "near_items"])
 
+    return index.mapInArrow(run, HITS)
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, near_terms: int = NEAR_TERMS, hit_share: int = HIT_SHARE, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Add n_words, n_hit, items, near_items and contaminated to every document.
 
-    keep: columns of ``docs`` to return (all by default); columns of these
-    five names are replaced.
-    """
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).filter("text IS NOT NULL")
+def search_index(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, near_terms: int = NEAR_TERMS, hit_share: int = HIT_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, key (hash of the text), n_words, n_hit, items, near_items and contaminated of every indexed document."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // block_bytes))
-    new = ("n_words", "n_hit", "items", "near_items", "contaminated")
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    whole = text_col in keep  # the text comes back only where it is needed
-    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep if c != text_col])
-    if n_blocks == 1:
-        done = _pass(docs.select(row.alias("_row"), F.col(text_col).alias("text")), [tuple(r) for r in items.collect()], window, near_terms, whole)
-    else:
-        block = F.pmod(F.xxhash64("text"), F.lit(n_blocks))
-        rows, done = docs.select(row.alias("_row"), F.col(text_col).alias("text")), None
-        for b in range(n_blocks):
-            here = [tuple(r) for r in items.filter(block == b).collect()]
-            if done is not None:
-                rows = done.select(F.struct("_row", "hit_bits", "items", "near_items").alias("_row"), "text")
-            done = _pass(rows, here, window, near_terms, True)
-            if b:
-                old = F.col("_row")
-                joined = F.zip_with(F.split(F.hex(old["hit_bits"]), ""), F.split(F.hex("hit_bits"), ""), lambda x, y: F.conv((F.conv(x, 16, 10).cast("int").bitwiseOR(F.conv(y, 16, 10).cast("int"))).cast("string"), 10, 16))
-                done = done.select(
-                    old["_row"].alias("_row"), "text", "n_words", F.unhex(F.array_join(joined, "")).alias("hit_bits"),
-                    F.array_sort(F.array_union(old["items"], "items")).alias("items"), F.array_union(old["near_items"], "near_items").alias("near_items"),
-                )
-            done = stored(done, "decontaminate")
-        done = done.withColumn("near_items", F.array_sort(F.array_except("near_items", "items")))
-    return done.withColumn("n_hit", _ones(F.col("hit_bits")).cast("long")).select(
-        *[F.col("text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in keep],
-        "n_words", "n_hit", "items", "near_items",
-        ((F.col("n_hit") > 0) & (F.col("n_hit") * hit_share >= F.col("n_words"))).alias("contaminated"),
-    )
+    block = F.pmod(F.xxhash64("text"), F.lit(n_blocks))
+    hits = None
+    for b in range(n_blocks):
+        phrases = Phrases([tuple(r) for r in items.filter(block == b).collect()], window)
+        bare = index.sparkSession.sparkContext.broadcast(phrases)
+        phrases.order(term_counts(index, bare))
+        bare.unpersist()
+        found = block_hits(index, index.sparkSession.sparkContext.broadcast(phrases), near_terms)
+        if n_blocks > 1:
+            found = stored(found, "block-hits")
+        hits = found if hits is None else hits.union(found)
+    merged = hits.groupBy("slice", "ord").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near_items")])
+    # spans of several blocks may overlap: count what each adds behind the ones before it
+    walk = F.aggregate(
+        F.array_sort("spans"), F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("n")),
+        lambda acc, s: F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), (acc["n"] + F.greatest(F.lit(0), s["stop"] - F.greatest(acc["at"], s["start"]))).alias("n")),
+    )["n"]
+    exact = F.array_sort(F.array_distinct("items"))
+    merged = merged.select("slice", "ord", walk.alias("n_hit"), exact.alias("items"), F.array_sort(F.array_except("near_items", exact)).alias("near_items"))
+    judged = index.select("slice", F.posexplode("docs").alias("ord", "doc")).join(merged, ["slice", "ord"], "left")
+    n_hit, none = F.coalesce("n_hit", F.lit(0).cast("long")), F.array().cast("array<string>")
+    return judged.select(
+        "doc.doc_id", "doc.key", "doc.n_words", n_hit.alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"),
+        ((n_hit > 0) & (n_hit * hit_share >= F.col("doc.n_words"))).alias("contaminated"),
+    )
 
 
-#: Bits set in each hexadecimal digit.
-NIBBLES = "0112122312232334"
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """:func:`search_index` over an index of ``docs``."""
+    return search_index(build_index(docs, id_col, text_col), benchmark, **kw)
 
 
-def _ones(bits):
-    """Number of bits set in a binary column."""
-    digits = F.translate(F.hex(bits), "0123456789ABCDEF", NIBBLES)
-    return sum(F.length(F.regexp_replace(digits, f"[^{n}]", "")) * n for n in (1, 2, 3, 4))
+def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    bad = stored(decontaminate(docs, benchmark, id_col, text_col, **kw).filter("contaminated").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct(), "contaminated")
+    hint = F.broadcast if fits_broadcast(bad.count(), 64) else (lambda df: df)
+    rows = row_and(docs, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"), F.col(id_col).alias("_id"))
+    return rows.join(hint(bad), (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_d")), "left_anti").select(*row_columns(docs))
 
 
 def op9_decontaminate(spark, sf_dir):
-    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=("doc_id",))
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import WORD_TABLE, stored, table, text_slices
+from lumenfold.llm.common import WORD_TABLE, fits_broadcast, row_and, row_columns, small_batches, stored, table, text_slices
 
 N = 5
 THRESHOLD = 0.8
@@ -47,8 +47,10 @@ BLOCK = 256
 #: Buckets of more nodes than this are compared inside tasks, block by block.
 CROWD = 32
 BITS = 48
-#: A list of so many row keys is broadcast when texts are fetched; beyond it texts are shuffled.
-MAX_BROADCAST_KEYS = 2_000_000
+#: Text of one slice of the numpy kernels.
+SLICE_BYTES = 1 << 19
+#: Bytes of a row of keys, in memory.
+KEY_BYTES = 64
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x100000001B3 * 2 + 1
@@ -92,7 +94,7 @@ def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     chars = np.frombuffer(data, np.uint8)
     word = np.concatenate([[False], chars != 32, [False]])
     starts, ends = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
-    up, down = _powers(max(1 << 21, 1 << len(chars).bit_length()))
+    up, down = _powers(max(2 * SLICE_BYTES, 1 << len(chars).bit_length()))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(chars * up[: len(chars)], dtype=np.uint64)])
     hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * M1)
     begins = np.cumsum([1, *[len(r) + 1 for r in raws]])[:-1]
@@ -172,7 +174,7 @@ def sketches(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in text_slices(batch, "text", 1 << 20):
+            for piece in text_slices(batch, "text", SLICE_BYTES):
                 values, sizes, raws = ngram_sets(piece.column("text").to_pylist())
                 found = band_hashes(values, sizes, bands, per_band)
                 offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32)
@@ -189,7 +191,7 @@ def set_table(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in text_slices(batch, "text", 1 << 20):
+            for piece in text_slices(batch, "text", SLICE_BYTES):
                 values, sizes, _ = ngram_sets(piece.column("text").to_pylist())
                 data, ends = pack(values), np.cumsum(sizes)
                 sets = [data[e - s : e].tobytes() for s, e in zip(sizes, ends)]
@@ -247,7 +249,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _fetch(rows: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
     """Rows of ``rows`` (doc_id, key, ...) that ``wanted`` (doc_id, key, node) names, with node."""
     wanted = wanted.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "node")
-    hint = F.broadcast if n_wanted <= MAX_BROADCAST_KEYS else (lambda df: df)
+    hint = F.broadcast if fits_broadcast(n_wanted, KEY_BYTES) else (lambda df: df)
     return rows.join(hint(wanted), (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
 
 
@@ -326,6 +328,7 @@ def links_across(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFra
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, count_links: bool = True) -> DataFrame:
     """doc_id, key (hash of the text), class_id, n_links, first (bool: the row's text stands for its class)."""
+    small_batches(docs.sparkSession)
     bands, per_band = plan(threshold, recall)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
     found = stored(sketches(rows, bands, per_band), "jaccard-sketches")
@@ -370,18 +373,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` that stand for their class of near copies, one a class."""
+    """The rows of ``docs`` that stand for their class of near copies, one a class, with all their columns.
+
+    Of rows with the same id and text, the one whose JSON has the least hash stays.
+    """
     found = stored(near_duplicates(docs, id_col, text_col, count_links=False, **kw).filter("first").groupBy("doc_id", "key").agg(F.count("*").alias("n")), "jaccard-kept")
-    n = found.count()
-    hint = F.broadcast if n <= MAX_BROADCAST_KEYS else (lambda df: df)
-    kept = found.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "n")
-    same = (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_d"))
-    rows = docs.join(hint(kept), same)
-    if found.filter("n > 1").isEmpty():
-        return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
-    # rows with the same id and text: one of each stays
-    once = rows.filter("n = 1").union(rows.filter("n > 1").dropDuplicates(["_d", "_k"]))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    hint = F.broadcast if fits_broadcast(found.count(), KEY_BYTES) else (lambda df: df)
+    kept = found.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("n").alias("_n"))
+    rows = row_and(docs, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"), F.col(id_col).alias("_id"))
+    rows = rows.join(hint(kept), (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_d")))
+    once = rows.filter("_n = 1").select("_row")
+    if not found.filter("n > 1").isEmpty():
+        several = rows.filter("_n > 1").groupBy("_d", "_k").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+        once = once.union(several.select("_row"))
+    return once.select(*row_columns(docs))
 
 
 def op3_jaccard(spark, sf_dir):

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import stored, table
+from lumenfold.llm.common import fits_broadcast, row_and, row_columns, stored, table
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -104,17 +104,15 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     return mix_counts(stored(rows, "mix-rows"), **kw)
 
 
-#: A list of so many row keys is broadcast when texts are repeated; beyond it texts are shuffled.
-MAX_BROADCAST_KEYS = 2_000_000
-
-
 def resample(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **kw) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it. Identical rows are each taken as often as the first of them."""
     counts = mix_documents(docs, id_col, source_col, text_col, **kw).filter("copies > 0").groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("source").alias("_s")).agg(F.max("copies").alias("_n"))
     counts = stored(counts, "mix-copies")
-    hint = F.broadcast if counts.count() <= MAX_BROADCAST_KEYS else (lambda df: df)
-    same = (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_d")) & F.col(source_col).eqNullSafe(F.col("_s"))
-    return docs.join(hint(counts), same).withColumn("_n", F.explode(F.sequence(F.lit(1), "_n"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    size = counts.agg(F.count("*").alias("n"), F.coalesce(F.max(F.octet_length("_s")), F.lit(0)).alias("s")).first()
+    hint = F.broadcast if fits_broadcast(size["n"], 40 + size["s"]) else (lambda df: df)
+    rows = row_and(docs, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"))
+    same = (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_d")) & F.col("_source").eqNullSafe(F.col("_s"))
+    return rows.join(hint(counts), same).select("_row", F.explode(F.sequence(F.lit(1), "_n"))).select(*row_columns(docs))
 
 
 def op10_mix(spark, sf_dir):

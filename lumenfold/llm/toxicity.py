@@ -1,7 +1,8 @@
 """Toxicity scores: gradient-boosted trees over dense features, calibrated.
 
 Two small models are learned from labelled rows, never from more than
-``max_train_rows`` of them (the rows with the smallest hash of their id):
+``max_train_rows`` of them (those with the smallest hash of their id, then of
+their text; equal rows count once):
 
 * a lexicon: words and word beginnings of four to six bytes whose presence
   marks a document as toxic, counted over the training rows by Spark;
@@ -10,15 +11,16 @@ Two small models are learned from labelled rows, never from more than
   punctuation and obfuscation rates. An isotonic fit of cross-fitted margins
   turns their output into probabilities.
 
-Both are a few kilobytes and are broadcast; every document is then scored in
-one Arrow pass without a shuffle. Ids, sources, languages and labels are no
+Both are a few kilobytes and are broadcast; every document is then scored by
+an Arrow function without a shuffle, and only its score leaves Python. Ids, sources, languages and labels are no
 features.
 
 Defined cases: null and empty texts are scored like a text without words; rows
 without an id are scored, never learned from; several labels of an id count as
 their maximum; null labels are ignored; with fewer than ``MIN_CLASS`` training
 rows of either class every score is the smoothed share of toxic rows; an empty
-table gives no rows. Columns of the input named like the output are replaced.
+table gives no rows. A column ``score`` of the input is replaced by
+:func:`score_documents` and kept by :func:`clean_documents`.
 """
 
 from __future__ import annotations
@@ -26,15 +28,18 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import WORD_TABLE, stored, table, text_slices
+from lumenfold.llm.common import WORD_TABLE, row_and, row_columns, small_batches, stored, table
 
 MAX_TRAIN_ROWS = 20_000
+#: Tokens of toxic training rows that are weighed, commonest first, and entries of the lexicon, heaviest first.
+MAX_TOKENS = 50_000
 MAX_LEXICON = 400
 MIN_CLASS = 8
 THRESHOLD = 0.7
@@ -74,8 +79,10 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     words = raw.translate(WORD_TABLE).split()
     n, size = max(1, len(words)), max(1, len(raw))
     heads = lexicon.heads
-    hits, seeds, best, distinct, total = [], 0, 0.0, set(), 0.0
+    hits, seeds, best, distinct, total, second = [], 0, 0.0, set(), 0.0, 0
     for i, w in enumerate(words):
+        if w in SECOND_PERSON:
+            second += 1
         if w[:4] in heads:
             v = lexicon.weight(w)
             seeds += w in SEED_LEXICON
@@ -85,7 +92,6 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
                 total += v
                 best = max(best, v)
     near = sum(1 for i in hits if not SECOND_PERSON.isdisjoint(words[max(0, i - 5) : i + 6]))
-    second = sum(map(words.count, SECOND_PERSON)) if hits else 0
     capitals = size - len(raw.translate(None, UPPERCASE))
     marks = size - len(raw.translate(None, PUNCTUATION))
     odd = odd_hits = 0
@@ -217,7 +223,7 @@ def train_lexicon(sample: DataFrame, max_lexicon: int = MAX_LEXICON) -> Lexicon:
     least = max(3, bad // 400)
     one, zero = sample.filter("toxic = 1").select("text"), sample.filter("toxic = 0").select("text")
     total = lambda df: df.groupBy("token").agg(F.sum("n").alias("n"))
-    often = {bytes(r[0]): r[1] for r in total(one.mapInArrow(counts(), "token binary, n long")).filter(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(50_000).collect()}
+    often = {bytes(r[0]): r[1] for r in total(one.mapInArrow(counts(), "token binary, n long")).filter(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(MAX_TOKENS).collect()}
     wanted = sample.sparkSession.sparkContext.broadcast(frozenset(often))
     other = {bytes(r[0]): r[1] for r in total(zero.mapInArrow(counts(wanted), "token binary, n long")).collect()}
     weights = {}
@@ -236,8 +242,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # at most max_train_rows pairs of an id and a label, so they are broadcast
     marks = marks.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(max_train_rows)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "doc_id").select("text", "toxic")
-    sample = stored(rows.filter("toxic IN (0, 1)"), "toxicity-sample")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text")).join(F.broadcast(marks.filter("toxic IN (0, 1)")), "doc_id")
+    # repeated ids could give more rows than ids: of the distinct ones, so many as well
+    keys = rows.select("doc_id", "key").distinct().orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id", "key").limit(max_train_rows)
+    once = rows.join(F.broadcast(keys), ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    sample = stored(once.select("text", "toxic"), "toxicity-sample")
     lexicon = train_lexicon(sample)
     shared = sample.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -252,28 +262,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(lexicon, x, np.array([r[1] for r in got], float))
 
 
+def scorer(spark, model: Model):
+    """The model as a function of a text column."""
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            x = np.array([features(t.as_py(), shared.value.lexicon) for t in texts], float).reshape(-1, len(FEATURES))
+            yield pa.array(shared.value.score(x))
+
+    return score.asNondeterministic()  # a filter on the score must not score again
+
+
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Add ``score`` to every document."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    whole = text_col in keep  # the text comes back only where it is kept
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep if c != text_col]).alias("_row"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The columns ``keep`` (all by default) of every document, and its ``score``."""
+    score = scorer(docs.sparkSession, model)(F.col(text_col))
+    return docs.select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c != "score"], score.alias("score"))
 
-    def run(batches):
-        for batch in batches:
-            for piece in text_slices(batch, "text"):
-                x = np.array([features(t, shared.value.lexicon) for t in piece.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
-                score = pa.array(shared.value.score(x))
-                if whole:
-                    yield pa.RecordBatch.from_arrays([piece.column("_row"), piece.column("text"), score], ["_row", "text", "score"])
-                else:
-                    yield pa.RecordBatch.from_arrays([piece.column("_row"), score], ["_row", "score"])
 
-    done = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, " + "text string, " * whole + "score double")
-    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in keep], "score")
+def clean_documents(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns as they are."""
+    scored = row_and(docs, scorer(docs.sparkSession, model)(F.col(text_col)).alias("_score"))
+    return scored.filter(F.col("_score") < threshold).select(*row_columns(docs))
 
 
-def fold_of(doc_id):
+def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; rows of fold 1 are never learned from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 

@@ -454,12 +454,25 @@ def test_near_phrases(spark):
 
 def test_near_phrases_in_one_slice(spark):
     w = [f"term{i}" for i in range(13)]
-    texts = {1: [*w[:4], "other", *w[5:]], 2: w, 3: w[2:], 4: ["lead", "in", *w[:11]], 5: ["no", "match"], 6: [*w[:3], "x", "y", "z", *w[6:]]}
-    for order in ([1, 2, 3, 4, 5, 6], [3, 5, 2, 6, 1, 4]):  # 3 starts before its text, also as the first one
-        phrases = decontaminate.PhraseSet([(9, " ".join(w))], 13)
-        _, _, items, near = decontaminate.match_slice(phrases, [" ".join(texts[i]) for i in order], 11)
-        assert dict(zip(order, items)) == {1: [], 2: ["9"], 3: [], 4: [], 5: [], 6: []}
-        assert dict(zip(order, near)) == {1: ["9"], 2: [], 3: ["9"], 4: ["9"], 5: [], 6: []}
+    texts = {1: [*w[:4], "other", *w[5:]], 2: w, 3: w[2:], 4: ["lead", "in", *w[:11]], 5: ["no", "match"], 6: [*w[:3], "x", "y", "z", *w[6:]], 7: [*w[:6], "put", "in", *w[6:]], 8: [*w[:7], *w[8:], "tail"]}
+    benchmark = spark.createDataFrame([(9, " ".join(w))], "item_id long, text string")
+    for order in ([1, 2, 3, 4, 5, 6, 7, 8], [3, 5, 8, 2, 6, 1, 4, 7]):  # 3 starts before its text, also as the first one
+        docs = spark.createDataFrame([(i, " ".join(texts[i])) for i in order], "doc_id long, text string").coalesce(1)
+        index = decontaminate.build_index(docs)
+        assert index.count() == 1
+        got = {r["doc_id"]: (r["items"], r["near_items"]) for r in decontaminate.search_index(index, benchmark).collect()}
+        assert got == {i: (["9"] if i == 2 else [], ["9"] if i in (1, 3, 4, 7, 8) else []) for i in texts}
+
+
+def test_index_of_long_and_dense_texts(spark):
+    """One text of 2 MB that repeats a window, an item of one common word, and an extra column named like the output."""
+    w = [f"t{i}" for i in range(13)]
+    docs = spark.createDataFrame([(1, " ".join(w * 50_000), "x"), (2, "the " * 1000, "y"), (2, "the " * 1000, "y")], "doc_id long, text string, n_hit string")
+    benchmark = spark.createDataFrame([(1, " ".join(w)), (2, "the")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.decontaminate(docs, benchmark).collect())
+    assert got == [(1, 650_000, 650_000, ["1"]), (2, 1000, 1000, ["2"]), (2, 1000, 1000, ["2"])]
+    clean = decontaminate.clean_documents(docs.unionByName(docs.limit(1).selectExpr("9L AS doc_id", "'fine' AS text", "n_hit")), benchmark)
+    assert [tuple(r) for r in clean.collect()] == [(9, "fine", "x")]
 
 
 # ------------------------------------------------------------------ mixing
