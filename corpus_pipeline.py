@@ -1,43 +1,47 @@
 """A corpus pipeline of five stages, each calling one operator.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame with the
-columns of ``docs``; the last returns the shard of each document.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the
+last return rows of ``docs`` with all their columns as they came, whatever
+their names; the last returns the shard of each document.
+
+Defined cases: null and empty texts are clean, have no near copies but each
+other, are not contaminated and take part in the mix with 0 words; a null id
+stays null; rows with equal id and text share every decision; empty tables stay
+empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lumenfold.llm.common import stored, table
-from lumenfold.llm.decontaminate import decontaminate
-from lumenfold.llm.jaccard_join import distinct_documents
-from lumenfold.llm.mixing import resample
-from lumenfold.llm.sharding import shard_documents
-from lumenfold.llm.toxicity import THRESHOLD, score_documents, train_on_folds
+from lumenfold.llm import decontaminate, jaccard_join, mixing, sharding, toxicity
+from lumenfold.llm.common import release, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = train_on_folds(docs, table(spark, sf_dir, "labels"))
-    scored = score_documents(docs, model)
-    return scored.filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    """Rows that score below the threshold. Learns from the labelled rows outside the held-out fold."""
+    model = toxicity.train_on_folds(docs, table(spark, sf_dir, "labels"))
+    return toxicity.clean_documents(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return distinct_documents(docs)
+    """One row of each class of near copies, the one with the smallest id."""
+    return jaccard_join.distinct_documents(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return judged.filter(~F.col("contaminated")).select(*docs.columns)
+    """Rows whose words are not hit by benchmark windows for a twentieth or more."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return resample(docs)
+    """Each row as often as the mix of its source takes it, up to three times or not at all."""
+    return mixing.resample(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shard_documents(docs).select("doc_id", "size", "text_crc32", "shard", "slot")
+    """doc_id, size, text_crc32, shard and slot of every row."""
+    return sharding.shard_documents(docs).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 STAGES = [
@@ -48,7 +52,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: MinHash bands and learned scores are no SQL; tests/llm holds the brute-force version.
+#: MinHash bands and learned scores are no SQL; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
@@ -56,4 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, docs)  # what the stage and those before it have written
     return STAGES[-1][1](spark, docs, sf_dir)
