@@ -88,3 +88,43 @@ def opponents(r, g, b) -> dict[str, Column]:
 def blend(x, y, k: int) -> Column:
     """((4 - k) x + k y) / 4, rounded down."""
     return F.shiftright(_col(x) * (4 - k) + _col(y) * k, 2)
+
+
+def srgb8_to_q16(byte) -> Column:
+    """Linear light of a byte in Q16, half to even."""
+    return F.rint(srgb_to_linear(_col(byte).cast("double") / 255.0) * float(ONE)).cast("long")
+
+
+def srgb8_to_oklab_q16(r, g, b) -> tuple[Column, Column, Column]:
+    return linear_to_oklab_q16(*[srgb8_to_q16(c) for c in (r, g, b)])
+
+
+def q16_to_srgb8(x) -> Column:
+    """Byte of linear light in Q16: clamped to [0, 1], rounded half up."""
+    fit = F.least(F.lit(ONE), F.greatest(F.lit(0), _col(x)))
+    return F.floor(linear_to_srgb(fit.cast("double") / float(ONE)) * 255.0 + 0.5).cast("int")
+
+
+def oklab_q16_to_srgb8(lum, a, b) -> tuple[Column, Column, Column]:
+    """OKLab in Q16 to bytes: products and cubes truncate towards zero."""
+    roots = _rows(_q16(ROOTS), [_col(c) for c in (lum, a, b)], True)
+    return tuple(q16_to_srgb8(x) for x in _rows(_q16(RGB), [trunc_div(v * v * v, 1 << 32) for v in roots], True))
+
+
+def closest_lattice_point(luma, ca, cb) -> Column:
+    """struct<cost, dl, norm, k, luma, ca, cb>: the nearest point of the lattice luma = ca + cb (mod 3).
+
+    Candidates move luma by up to two or chroma by one unit; the least by
+    (squared distance, change of luma, size of chroma, order of candidates).
+    """
+    moves = [(dl, 0, 0) for dl in range(-2, 3)] + [(0, x, y) for x, y in HEX_UNITS]
+    found = []
+    for k, (dl, x, y) in enumerate(moves):
+        p, q, s = _col(luma) + dl, _col(ca) + x, _col(cb) + y
+        point = F.struct(F.lit(dl * dl + x * x - x * y + y * y).alias("cost"), F.lit(abs(dl)).alias("dl"), (F.abs(q) + F.abs(s)).alias("norm"), F.lit(k).alias("k"), p.alias("luma"), q.alias("ca"), s.alias("cb"))
+        found.append(F.when(F.pmod(p - q - s, F.lit(3)) == 0, point))
+    return F.array_min(F.array_compact(F.array(*found)))
+
+
+#: The six units of the hexagonal lattice.
+HEX_UNITS = ((1, 0), (0, 1), (-1, -1), (-1, 0), (0, -1), (1, 1))

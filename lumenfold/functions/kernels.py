@@ -7,6 +7,8 @@ frame (a few thousand pixels), never on a whole table.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -131,16 +133,9 @@ def median_cut(px: np.ndarray, levels: int) -> np.ndarray:
 
 
 def sinkhorn_cost(x, y, p, q, epsilon: float, rounds: int) -> float:
-    """Transport cost of the entropic plan after a fixed number of log-domain rounds."""
+    """Transport cost of the entropic plan."""
     cost = ((x[:, None, :] - y[None, :, :]) ** 2).sum(2)
-    f, g = np.zeros(len(x)), np.zeros(len(y))
-    lp, lq = np.log(p), np.log(q)
-    soft = lambda m, axis: (m.max(axis, keepdims=True) + np.log(np.exp(m - m.max(axis, keepdims=True)).sum(axis, keepdims=True))).squeeze(axis)
-    for _ in range(rounds):
-        f = -epsilon * soft((g[None, :] - cost) / epsilon + lq[None, :], 1)
-        g = -epsilon * soft((f[:, None] - cost) / epsilon + lp[:, None], 0)
-    plan = np.exp((f[:, None] + g[None, :] - cost) / epsilon + lp[:, None] + lq[None, :])
-    return float((plan * cost).sum())
+    return float((sinkhorn_plan(x, y, p, q, epsilon, rounds) * cost).sum())
 
 
 def sinkhorn_divergence(x, y, p, q, epsilon: float, rounds: int) -> float:
@@ -187,3 +182,232 @@ def gene_bytes(payload, parents) -> bytes:
 def gene_hash(payload, parents) -> int:
     h = fnv1a64(gene_bytes(payload, parents))
     return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def box_sums(cube: np.ndarray, box) -> np.ndarray:
+    """Sums over a box (low and high of three axes) of a cumulative cube with a border of zeros in front."""
+    (i0, i1), (j0, j1), (k0, k1) = box
+    upper = cube[i1, j1, k1] - cube[i0, j1, k1] - cube[i1, j0, k1] - cube[i1, j1, k0]
+    return upper + cube[i0, j0, k1] + cube[i0, j1, k0] + cube[i1, j0, k0] - cube[i0, j0, k0]
+
+
+def spread_of(m: np.ndarray) -> float:
+    """Squared spread around the mean from moments (n, sums of three axes, sum of squares)."""
+    return float(m[4] - (m[1] ** 2 + m[2] ** 2 + m[3] ** 2) / m[0]) if m[0] else 0.0
+
+
+def variance_boxes(moments: np.ndarray, k: int) -> list:
+    """Boxes of a grid of moments (bins, bins, bins, 5), at most k: always the box of most spread is cut where most of it goes.
+
+    Of equal boxes the first is cut, of equal cuts the first by axis and place;
+    parts go to the end. A box of one cell is never cut.
+    """
+    cube = np.zeros(tuple(n + 1 for n in moments.shape[:3]) + (5,))
+    cube[1:, 1:, 1:] = moments.cumsum(0).cumsum(1).cumsum(2)
+    boxes = [tuple((0, n) for n in moments.shape[:3])]
+    while len(boxes) < k:
+        spreads = [spread_of(box_sums(cube, b)) for b in boxes]
+        worst = int(np.argmax(spreads))
+        best = None
+        for axis, (low, high) in enumerate(boxes[worst]):
+            for at in range(low + 1, high):
+                parts = [boxes[worst][:axis] + (cut,) + boxes[worst][axis + 1 :] for cut in ((low, at), (at, high))]
+                gain = spreads[worst] - sum(spread_of(box_sums(cube, p)) for p in parts)
+                if best is None or gain > best[0]:
+                    best = gain, parts
+        if best is None:
+            break
+        boxes[worst : worst + 1] = []
+        boxes += best[1]
+    return boxes
+
+
+def sinkhorn_plan(x, y, p, q, epsilon: float, rounds: int) -> np.ndarray:
+    """The entropic transport plan after a fixed number of log-domain rounds."""
+    cost = ((x[:, None, :] - y[None, :, :]) ** 2).sum(2)
+    f, g, lp, lq = np.zeros(len(x)), np.zeros(len(y)), np.log(p), np.log(q)
+
+    def soft(m, axis):
+        top = m.max(axis, keepdims=True)
+        return (top + np.log(np.exp(m - top).sum(axis, keepdims=True))).squeeze(axis)
+
+    for _ in range(rounds):
+        f = -epsilon * soft((g[None, :] - cost) / epsilon + lq[None, :], 1)
+        g = -epsilon * soft((f[:, None] - cost) / epsilon + lp[:, None], 0)
+    return np.exp((f[:, None] + g[None, :] - cost) / epsilon + lp[:, None] + lq[None, :])
+
+
+def free_barycenter(measures, support: np.ndarray, epsilon: float, rounds: int, steps: int) -> np.ndarray:
+    """Support points moved ``steps`` times to the mean of their images in every measure (points, weights) of positive mass."""
+    live = [(np.asarray(x, float), np.asarray(w, float)) for x, w in measures if np.sum(w) > 0]
+    z = np.asarray(support, float)
+    for _ in range(steps if live else 0):
+        images = []
+        for x, w in live:
+            plan = sinkhorn_plan(z, x, np.full(len(z), 1 / len(z)), w / w.sum(), epsilon, rounds)
+            mass = plan.sum(1, keepdims=True)
+            images.append(np.where(mass > 0, plan @ x / np.maximum(mass, 1e-300), z))
+        z = np.mean(images, 0)
+    return z
+
+
+def share_out(budget: int, least: int, weights: np.ndarray) -> np.ndarray:
+    """Whole parts of ``budget`` by weight, ``least`` each first; the largest remainders get what is left."""
+    free = budget - least * len(weights)
+    if free < 0:
+        raise Refused(f"{budget} for {len(weights)} slots of {least}")
+    exact = weights / weights.sum() * free
+    part = np.floor(exact).astype(np.int64)
+    part[np.argsort(-(exact - part), kind="stable")[: free - part.sum()]] += 1
+    return part + least
+
+
+def entropy_of(counts: np.ndarray) -> float:
+    p = counts[counts > 0] / counts.sum()
+    return float(-(p * np.log(p)).sum())
+
+
+def populations(budget: int, least: int, k: int, target: float) -> np.ndarray:
+    """Populations of k slots whose entropy in nats comes near ``target``: the skew of a power law is halved 64 times."""
+    rank, low, high = np.arange(1, k + 1, dtype=float), 0.0, 50.0
+    for _ in range(64):
+        skew = (low + high) / 2
+        low, high = (skew, high) if entropy_of(share_out(budget, least, rank**-skew)) > target else (low, skew)
+    return share_out(budget, least, rank ** -((low + high) / 2))
+
+
+def scene(seed: int, kind: str, frames: int, side: int) -> np.ndarray:
+    """(frames, side * side, 3) Q16 colours of a moving scene: gradient, blob, edge, waves, or the mean of all (mixed)."""
+    if kind == "mixed":
+        return np.rint(np.mean([scene(seed * 7 + i + 1, k, frames, side) for i, k in enumerate(("gradient", "blob", "edge", "waves"))], 0)).astype(np.int64)
+    u = (splitmix64(seed, 8) >> np.uint64(11)).astype(float) / (1 << 53)
+    y, x = np.meshgrid(np.linspace(0, 1, side), np.linspace(0, 1, side), indexing="ij")
+    out = []
+    for t in np.linspace(0.0, 1.0, frames):
+        turn = 2 * np.pi * (u[0] + t * u[1])
+        if kind == "gradient":
+            v = 0.5 + 0.5 * ((x - 0.5) * np.cos(turn) + (y - 0.5) * np.sin(turn))
+        elif kind == "blob":
+            v = np.exp(-((x - 0.5 - 0.3 * np.cos(turn)) ** 2 + (y - 0.5 - 0.3 * np.sin(turn)) ** 2) / (0.02 + 0.05 * u[2]))
+        elif kind == "edge":
+            v = ((x - 0.5) * np.cos(turn) + (y - 0.5) * np.sin(turn) > 0.2 * (u[3] - 0.5)).astype(float)
+        elif kind == "waves":
+            v = 0.5 + 0.5 * np.sin(2 * np.pi * (2 + np.floor(4 * u[4])) * (x * np.cos(turn) + y * np.sin(turn)) + turn)
+        else:
+            raise Refused(f"unknown scene {kind}")
+        out.append(np.stack([v, 0.4 * (u[5] - 0.5) * (2 * v - 1), 0.4 * (u[6] - 0.5) * (2 * v - 1)], -1).reshape(-1, 3))
+    return np.rint(np.array(out) * 65536).astype(np.int64)
+
+
+def tile_slice(seed: int, tile: int, frames: int, side: int) -> np.ndarray:
+    """(frames, side, side) values of one slice of an endless stream, from its own number alone.
+
+    A block's tile is chosen by the colours of its four edges, which its
+    neighbours compute alike, so slices fit without being made in order.
+    """
+    edge = lambda *at: int(splitmix64(seed ^ (hash_words(at) & 0xFFFFFFFF), 1)[0] & np.uint64(1))
+    blocks = 4
+    size = side // blocks
+    out = np.empty((frames, side, side), np.int64)
+    for by in range(blocks):
+        for bx in range(blocks):
+            n = edge(tile, by, bx, 0) + 2 * edge(tile, by, bx, 1) + 4 * edge(tile, (by + 1) % blocks, bx, 0) + 8 * edge(tile, by, (bx + 1) % blocks, 1)
+            grain = (splitmix64(seed + n, frames * size * size) >> np.uint64(56)).astype(np.int64).reshape(frames, size, size)
+            out[:, by * size : (by + 1) * size, bx * size : (bx + 1) * size] = grain + n * 256
+    return out
+
+
+def hash_words(words) -> int:
+    return fnv1a64(b"".join(int(w).to_bytes(8, "little", signed=True) for w in words))
+
+
+def cyclic_descriptor(frames, epsilon: float = 0.05, rounds: int = 30) -> list[float]:
+    """Sixteen numbers of a loop of palettes (points, weights) that no rotation of the loop and no order of slots changes.
+
+    Mean and deviation of the entropies of weights and of the Gaussians of the
+    colours; sum and mean of the costs of transport to the next palette, mean
+    entropy of the plans; spectral entropies of the three series; entropy rate
+    of the first; the share by which the product of row-stochastic plans round
+    the loop misses the identity; and four shares of power of the first series.
+    """
+    plain, colour, costs, plans, around = [], [], [], [], None
+    for t, (x, w) in enumerate(frames):
+        x, p = np.asarray(x, float), np.asarray(w, float) / np.sum(w)
+        plain.append(-float((p[p > 0] * np.log(p[p > 0])).sum()))
+        mean = p @ x
+        det = np.linalg.det(((x - mean) * p[:, None]).T @ (x - mean))
+        colour.append(0.5 * math.log(max((2 * math.pi * math.e) ** 3 * det, 1e-300)))
+        y, v = frames[(t + 1) % len(frames)]
+        y, q = np.asarray(y, float), np.asarray(v, float) / np.sum(v)
+        plan = sinkhorn_plan(x, y, p, q, epsilon, rounds)
+        costs.append(float((plan * ((x[:, None, :] - y[None, :, :]) ** 2).sum(2)).sum()))
+        plans.append(-float((plan[plan > 0] * np.log(plan[plan > 0])).sum()))
+        step = plan / np.maximum(plan.sum(1, keepdims=True), 1e-300)
+        around = step if around is None else around @ step
+    spectrum = lambda s: np.abs(np.fft.fft(s))[1:] ** 2
+
+    def entropy(s):
+        a = spectrum(s)
+        return 0.0 if a.sum() <= 1e-12 else -float(sum(v * math.log(v) for v in a / a.sum() if v > 0))
+
+    a = spectrum(plain)
+    rate = 0.0 if a.sum() <= 1e-12 else 0.5 * math.log(2 * math.pi * math.e) + float(np.log(np.maximum(a, 1e-12)).sum()) / (2 * len(a))
+    shares = a / a.sum() if a.sum() > 1e-12 else np.zeros(len(a))
+    four = [float(shares[i]) if i < len(shares) else 0.0 for i in range(4)]
+    return [np.mean(plain), np.std(plain), np.mean(colour), np.std(colour), sum(costs), np.mean(costs), np.mean(plans), entropy(plain), entropy(colour), entropy(costs), rate, 1 - np.trace(around) / len(around), *four]
+
+
+def detail_head(coarse: np.ndarray, bands: np.ndarray, steps: int = 200, rate: float = 0.05, init: np.ndarray | None = None) -> tuple[np.ndarray, float, float]:
+    """Weights (7, 3) of [1, c, c * c] that predict seven bands by full-batch descent; and the loss, and that of predicting 0."""
+    x = np.stack([np.ones_like(coarse), coarse, coarse * coarse], 1)
+    theta = np.zeros((bands.shape[1], 3)) if init is None else init.copy()
+    for _ in range(steps):
+        theta -= rate * 2 * (x @ theta.T - bands).T @ x / len(x)
+    return theta, float(((x @ theta.T - bands) ** 2).mean()), float((bands**2).mean())
+
+
+def clustered_average(pairs: np.ndarray, k: int, rounds: int = 8, steps: int = 4, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Models of k clusters of users and each user's cluster, from (users, pairs, width) signed differences.
+
+    Users start in the groups of their own models' directions (farthest first,
+    spherical k-means); then each joins the model of least loss, and every
+    model averages its users' steps.
+    """
+
+    def descend(d, theta, times):
+        for _ in range(times):
+            z = np.einsum("umw,uw->um", d, theta)
+            theta = theta + rate * np.einsum("um,umw->uw", 1 / (1 + np.exp(z)), d) / d.shape[1]
+        return theta
+
+    own = descend(pairs, np.zeros((len(pairs), pairs.shape[2])), 50)
+    unit = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
+    seeds = [0]
+    while len(seeds) < min(k, len(unit)):
+        seeds.append(int((unit @ unit[seeds].T).max(1).argmin()))
+    centre = unit[seeds]
+    for _ in range(10):
+        group = (unit @ centre.T).argmax(1)
+        for c in np.unique(group):
+            v = unit[group == c].sum(0)
+            centre[c] = v / max(np.linalg.norm(v), 1e-12)
+    models = np.zeros((len(seeds), pairs.shape[2]))
+    for r in range(rounds + 1):
+        if r:
+            group = np.stack([np.logaddexp(0, -pairs @ m).mean(1) for m in models], 1).argmin(1)
+        for c in np.unique(group):
+            users = pairs[group == c]
+            for _ in range(2):
+                models[c] = descend(users, np.broadcast_to(models[c], (len(users), models.shape[1])), steps).mean(0)
+    return models, group
+
+
+def user_pairs(seed: int, users: int, clusters: int, pairs: int, width: int, spread: float = 0.25, flips: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Signed differences (users, pairs, width) of users round ``clusters`` centres, a share of labels flipped; and the clusters."""
+    rng = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    group = np.arange(users) % clusters
+    taste = unit(unit(rng.standard_normal((clusters, width)))[group] + spread * unit(rng.standard_normal((users, width))))
+    d = rng.standard_normal((users, pairs, width))
+    sign = np.where(np.einsum("umw,uw->um", d, taste) > 0, 1.0, -1.0) * np.where(rng.random((users, pairs)) < flips, -1, 1)
+    return d * sign[..., None], group

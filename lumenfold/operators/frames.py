@@ -159,3 +159,38 @@ def two_nn_dimension(points: DataFrame, keys, idx: str, vector: str, limit: int
         return pd.Series(out)
 
     return groups.select(*keys, estimate("_v").alias("dimension"))
+
+
+def per_group(df: DataFrame, key: str, schema: str, kernel) -> DataFrame:
+    """Apply ``kernel(key value, pandas frame) -> rows`` to each group; rows are tuples in the order of ``schema``."""
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(list(kernel(keys[0], pdf)), columns=names)
+
+    return df.groupBy(key).applyInPandas(run, schema)
+
+
+def moment_cells(pixels: DataFrame, bins: int, key: str = "frame") -> DataFrame:
+    """Moments of each cell of a colour grid of ``bins`` an axis: key, i, j, k, n, sl, sa, sb, sq. Counted by Spark."""
+    axis = lambda c, low: F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col(c) + low) * bins / 65536.0))).cast("int")
+    x = [F.col(c) / 65536.0 for c in LANES]
+    cells = pixels.groupBy(key, axis("l", 0).alias("i"), axis("a", 32768).alias("j"), axis("b", 32768).alias("k"))
+    return cells.agg(F.count("*").cast("double").alias("n"), *[F.sum(v).alias(f"s{c}") for c, v in zip(LANES, x)], F.sum(sum(v * v for v in x)).alias("sq"))
+
+
+def variance_quantize(pixels: DataFrame, k: int, bins: int = 16, key: str = "frame") -> DataFrame:
+    """Boxes of most spread cut greedily on the prefix sums of the moment grid: key, slot, n, ml, ma, mb; empty slots pad to k."""
+
+    def cut(keys, pdf):
+        grid = np.zeros((bins, bins, bins, 5))
+        grid[pdf["i"], pdf["j"], pdf["k"]] = pdf[["n", "sl", "sa", "sb", "sq"]].to_numpy()
+        boxes = kernels.variance_boxes(grid, k)
+        for slot in range(k):
+            m = np.zeros(5)
+            if slot < len(boxes):
+                (i0, i1), (j0, j1), (k0, k1) = boxes[slot]
+                m = grid[i0:i1, j0:j1, k0:k1].sum((0, 1, 2))
+            yield (int(keys), slot, int(round(m[0])), *(m[1:4] / m[0] if m[0] else m[1:4]))
+
+    return per_group(moment_cells(pixels, bins, key), key, f"{key} long, slot int, n long, ml double, ma double, mb double", cut)

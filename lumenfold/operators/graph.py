@@ -6,37 +6,42 @@ folder, so plans stay short and lost executors cost one round.
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.storage import new_path
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenfold-"))
-    return df.checkpoint()
+    """Written to the shared folder and read back."""
+    path = new_path(df.sparkSession, "graph")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """edges (child, parent): every (node, ancestor) pair; cycles end, as pairs are visited once."""
-    seen = _cut(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct())
-    frontier = seen
+    frontier = _cut(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct())
+    rounds = [frontier]
     while True:
+        seen = reduce(DataFrame.union, rounds)  # each round stays a table of its own
         step = frontier.join(edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("_up")), "ancestor").select("node", F.col("_up").alias("ancestor")).distinct()
         frontier = _cut(step.join(seen, ["node", "ancestor"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = _cut(seen.union(frontier))
+        rounds.append(frontier)
 
 
 def generations(nodes: DataFrame, edges: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Longest path to an origin; 0 for origins and for what only cycles reach."""
+    """Longest path to an origin; 0 for origins and for what only cycles reach. A path of ``limit`` steps is an error."""
     depth = nodes.select("node", F.lit(0).alias("depth"))
     frontier, k = nodes.join(edges.select(F.col("child").alias("node")), "node", "left_anti").select("node"), 0
     best = []
-    while k < limit:
+    while True:
+        if k == limit:
+            raise ValueError(f"a path of more than {limit} steps, or a cycle")
         k += 1
         frontier = _cut(frontier.join(edges.select(F.col("parent").alias("node"), "child"), "node").select(F.col("child").alias("node")).distinct())
         if frontier.isEmpty():

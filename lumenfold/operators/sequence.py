@@ -114,3 +114,15 @@ def comovement(df: DataFrame, keys, order, a: str, b: str) -> DataFrame:
     d = df.withColumn("_a", step(a)).withColumn("_b", step(b))
     agree, total = F.count_if(F.col("_a") == F.col("_b")), F.count("_a")
     return d.groupBy(*keys).agg(F.when(total > 0, trunc_div(agree * 1000, F.greatest(total, F.lit(1)))).otherwise(1000).cast("long").alias("permille"))
+
+
+def box_histogram(voxels: DataFrame, nt: int, ny: int, nx: int, dt: int, dy: int, dx: int, levels: int) -> DataFrame:
+    """t, y, x, ch, level, n: how often each coarse voxel and channel of (t, y, x, ch, v) holds each level.
+
+    The sides must divide; a level out of range is an error.
+    """
+    if nt % dt or ny % dy or nx % dx or not 0 < levels <= 256:
+        raise ValueError(f"{nt} x {ny} x {nx} cannot be cut by {dt} x {dy} x {dx} with {levels} levels")
+    level = F.when((F.col("v") >= 0) & (F.col("v") < levels), F.col("v")).otherwise(F.raise_error(F.lit("a level is out of range")).cast("int"))
+    cell = [trunc_div(c, n).alias(c) for c, n in (("t", dt), ("y", dy), ("x", dx))]
+    return voxels.groupBy(*cell, "ch", level.alias("level")).agg(F.count("*").alias("n"))

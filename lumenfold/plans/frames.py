@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lumenfold.functions import kernels
 from lumenfold.operators import frames, sequence
 from lumenfold.plans.catalog import query
 from lumenfold.plans.inputs import PALETTE_SQL, TICKS_SQL, palette, pixels, table, ticks
@@ -91,11 +90,26 @@ def two_nn_dimension(spark, d):
     return frames.two_nn_dimension(e, ["label"], "vec_id", "embedding").select("label", F.round("dimension", 4).alias("dimension"))
 
 
-@query("synthetic_burst", "SELECT t::INTEGER AS t, count(*) AS n, abs((t * 8) % 256 - 128)::BIGINT AS wave FROM generate_series(0, 63) a(t), generate_series(0, 4095) b(p) GROUP BY t")
+#: SQL of the burst's generator: products of 64-bit words as sums of halves.
+MIX = "(({a} % 4294967296) * ({b} % 4294967296) + ((({a} // 4294967296) * ({b} % 4294967296) + ({a} % 4294967296) * ({b} // 4294967296)) % 4294967296) * 4294967296) % 18446744073709551616"
+
+
+def _mul(a: str, b: int) -> str:
+    return MIX.format(a=f"({a})::HUGEINT", b=f"({b})::HUGEINT")
+
+
+GRAIN_SQL = (
+    f"i AS (SELECT p::HUGEINT AS p, xor({int(kernels.splitmix64(7, 1)[0])}::UBIGINT, ({_mul('p', 0x9E3779B97F4A7C15)})::UBIGINT) AS z FROM generate_series(0, 262143) g(p)), "
+    f"j AS (SELECT p, ({_mul('xor(z, z >> 30)', 0xBF58476D1CE4E5B9)})::UBIGINT AS z FROM i), "
+    "k AS (SELECT p::BIGINT AS p, (z >> 58)::BIGINT AS grain FROM j)"
+)
+
+
+@query("synthetic_burst", f"WITH {GRAIN_SQL}, v AS (SELECT p // 4096 AS t, abs((p // 4096 * 8) % 256 - 128) + p % 64 + p // 64 % 64 + grain AS v FROM k) SELECT t::INTEGER AS t, count(*) AS n, sum(v)::BIGINT AS total, max(v) AS high, sum(v * v)::BIGINT AS squares FROM v GROUP BY t")
 def synthetic_burst(spark, d):
-    """The wave of each frame of a synthetic burst: its least value, at the first pixel without grain."""
+    """Size, sum, maximum and sum of squares of every frame of a synthetic burst of 64 frames."""
     b = frames.synthetic_burst(spark, 7, 64, 64)
-    return b.groupBy("t").agg(F.count("*").alias("n"), F.abs((F.first("t") * 8) % 256 - 128).cast("long").alias("wave"))
+    return b.groupBy("t").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.max("v").alias("high"), F.sum(F.col("v") * F.col("v")).alias("squares"))
 
 
 W = "PARTITION BY burst ORDER BY ts, tick_id"
@@ -105,18 +119,25 @@ NUMBERED = f"WITH {TICKS_SQL}, o AS (SELECT *, row_number() OVER ({W}) - 1 AS i
 def _stream(spark, d):
     schema = table(spark, d, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").load(d, format="parquet")
-    return raw.select(F.col("user_id").alias("burst"), "ts", F.col("event_id").alias("tick_id"), F.rint(F.col("value") * 100).cast("long").alias("v"))
+    return raw.select(F.col("user_id").alias("burst"), "ts", F.col("event_id").alias("tick_id"), F.rint(F.col("value") * 100).cast("long").alias("v"), (F.col("event_type") == "error").alias("dropped"))
 
 
-@query("stream_count_windows", f"{NUMBERED}, w AS (SELECT burst, s AS scale, i // s AS win, sum(v)::BIGINT AS total, count(*) AS n FROM o, (VALUES (1), (2), (4)) t(s) GROUP BY ALL) SELECT burst, scale, win AS window, total FROM w WHERE n = scale")
+@query("stream_count_windows", f"{NUMBERED}, c AS (SELECT burst, i // 64 AS c, i % 64 AS i, v, ts, epoch_us(min(ts) OVER (PARTITION BY burst, i // 64)) AS begun, epoch_us(ts) - epoch_us(coalesce(lag(ts) OVER (PARTITION BY burst, i // 64 ORDER BY i), ts)) AS gap FROM o), w AS (SELECT burst, begun, s AS scale, i // s AS win, sum(v)::BIGINT AS total, count(*) AS n, max(gap) AS gap FROM c, (VALUES (1), (2), (4)) t(s) GROUP BY ALL) SELECT burst, begun, scale, win AS window, total, CASE WHEN scale = 1 AND gap >= 75000 THEN 1 ELSE 0 END AS late FROM w WHERE n = scale")
 def stream_count_windows(spark, d):
-    """Tumbling windows of 1, 2 and 4 ticks over a stream: the same rows as the batch form."""
-    return stream.collect_stream(stream.count_windows(_stream(spark, d)), f"w{uuid.uuid4().hex}").select("burst", "scale", "window", "total")
+    """Tumbling windows of 1, 2 and 4 ticks of captures of 64, and late ticks, over a stream: the same rows as the batch form."""
+    return stream.run_to_table(stream.count_windows(_stream(spark, d)), "windows")
+
+
+@query("stream_drops", f"{NUMBERED}, x AS (SELECT burst, i, channel, CASE WHEN least(i, 15) < 8 THEN 0 WHEN least(i, 15) < 13 THEN 1 ELSE 2 END AS s FROM o) SELECT burst, count(*) AS ticks, count(*) FILTER (WHERE channel = 'error' AND s = 0) AS s0, count(*) FILTER (WHERE channel = 'error' AND s = 1) AS s1, count(*) FILTER (WHERE channel = 'error' AND s = 2) AS s2 FROM x GROUP BY burst")
+def stream_drops(spark, d):
+    """Drops of each burst, charged to scales by a stream: the counts after the last micro-batch."""
+    counts = stream.run_updates(stream.drop_counts(_stream(spark, d)), "drops")
+    return counts.groupBy("burst").agg(F.max_by(F.struct("ticks", "s0", "s1", "s2"), "ticks").alias("c")).select("burst", "c.*")
 
 
 @query("stream_routed_sums", f"{NUMBERED}, p AS (SELECT burst, i, v, CASE WHEN i % 16 < 8 THEN 0 WHEN i % 16 < 13 THEN 1 ELSE 2 END AS s, i % 16 NOT IN (0, 1, 8, 9, 13, 14) AS own FROM o), r AS (SELECT burst, i, coalesce(sum(v) FILTER (WHERE own AND s = 0) OVER w, 0)::BIGINT AS t0, coalesce(sum(v) FILTER (WHERE own AND s = 1) OVER w, 0)::BIGINT AS t1, coalesce(sum(v) FILTER (WHERE own AND s = 2) OVER w, 0)::BIGINT AS t2 FROM p WINDOW w AS (PARTITION BY burst ORDER BY i)) SELECT burst, i + 1 AS tick, t0, t1, t2 FROM r WHERE (i + 1) % 4 = 0")
 def stream_routed_sums(spark, d):
-    return stream.collect_stream(stream.routed_sums(_stream(spark, d)), f"r{uuid.uuid4().hex}").select("burst", "tick", "t0", "t1", "t2")
+    return stream.run_to_table(stream.routed_sums(_stream(spark, d)), "routed").select("burst", "tick", "t0", "t1", "t2")
 
 
 @query("rank_permutation", f"WITH {PALETTE_SQL} SELECT frame, slot, row_number() OVER (PARTITION BY frame ORDER BY l, slot) - 1 AS rank FROM palette")

@@ -50,48 +50,49 @@ def cbor_encode(value) -> bytes:
 
 
 def cbor_decode(data: bytes):
-    """The value of ``data``; bytes behind it are an error."""
-
-    def head(i):
-        first = data[i]
-        low = first & 31
-        if low < 24:
-            return first >> 5, low, i + 1
-        if low > 27:
-            raise BadFormat(f"head {first:#x} at {i}")
-        size = 1 << (low - 24)
-        return first >> 5, int.from_bytes(data[i + 1 : i + 1 + size], "big"), i + 1 + size
-
-    def read(i):
-        major, n, i = head(i)
-        if major == 0:
-            return n, i
-        if major in (2, 3):
-            if i + n > len(data):
+    """The value of ``data``, read with a stack of open lists and maps; bytes behind it and long heads are errors."""
+    at, open_, done = 0, [], []  # open_: (is a map, items still to come, items)
+    while not done:
+        if at >= len(data):
+            raise BadFormat("cut short")
+        major, n = data[at] >> 5, data[at] & 31
+        at += 1
+        if n > 27 or major in (1, 6, 7):
+            raise BadFormat(f"head {data[at - 1]:#x} at {at - 1}")
+        if n > 23:
+            wide = data[at : at + (1 << n - 24)]
+            n, at = int.from_bytes(wide, "big"), at + len(wide)
+            if _cbor_head(major, n) != data[at - len(wide) - 1 : at]:
+                raise BadFormat(f"head that is cut short or longer than {n} needs")
+        if major < 4:
+            value, at = (n, at) if major == 0 else (data[at : at + n], at + n)
+            if at > len(data):
                 raise BadFormat("cut short")
-            part = data[i : i + n]
-            return (part if major == 2 else part.decode("ascii")), i + n
-        if major == 4:
-            out = []
-            for _ in range(n):
-                v, i = read(i)
-                out.append(v)
-            return out, i
-        if major == 5:
-            out = {}
-            for _ in range(n):
-                k, i = read(i)
-                out[k], i = read(i)
-            return out, i
-        raise BadFormat(f"major type {major}")
-
-    try:
-        value, end = read(0)
-    except IndexError:
-        raise BadFormat("cut short") from None
-    if end != len(data):
-        raise BadFormat(f"{len(data) - end} bytes behind the value")
-    return value
+            if major == 3:
+                try:
+                    value = value.decode("ascii")
+                except UnicodeDecodeError:
+                    raise BadFormat("text that is not ASCII") from None
+        elif n:
+            open_.append((major == 5, n * (major - 3), []))
+            continue
+        else:
+            value = {} if major == 5 else []
+        while open_:  # a finished value goes to the innermost open one, which it may finish
+            is_map, count, items = open_[-1]
+            items.append(value)
+            if len(items) < count:
+                break
+            open_.pop()
+            try:
+                value = dict(zip(items[::2], items[1::2])) if is_map else items
+            except TypeError:
+                raise BadFormat("a key that is a list or a map") from None
+        else:
+            done.append(value)
+    if at != len(data):
+        raise BadFormat(f"{len(data) - at} bytes behind the value")
+    return done[0]
 
 
 def zigzag(n: int) -> int:
@@ -147,6 +148,34 @@ def read_volume(data: bytes) -> np.ndarray:
     return v
 
 
+def unpack_weights(data: bytes, count: int) -> list[float]:
+    """``count`` little-endian 32-bit floats and nothing else."""
+    if len(data) != 4 * count:
+        raise BadFormat(f"{len(data)} bytes for {count} weights")
+    return np.frombuffer(data, "<f4").astype(float).tolist()
+
+
+def margins_of(field: np.ndarray) -> np.ndarray:
+    """The largest count of each cell less its second (a single level counts against 0)."""
+    top = np.sort(np.concatenate([field, np.zeros(field.shape[:-1] + (1,), field.dtype)], -1), -1) if field.shape[-1] == 1 else np.sort(field, -1)
+    return top[..., -1] - top[..., -2]
+
+
+def read_bundle(field: bytes, shape, contested: bytes | None, contested_shape) -> tuple[np.ndarray, np.ndarray]:
+    """Counts (y, x, channel, level) and margins of a bundle; shapes or margins that differ from what it says are refused."""
+    counts = read_npy(field)
+    if shape is None or list(counts.shape) != [int(n) for n in shape] or counts.ndim != 4:
+        raise BadFormat(f"field of {counts.shape}, not {shape}")
+    margins = margins_of(counts)
+    if contested is not None:
+        given = read_npy(contested)
+        if contested_shape is None or list(given.shape) != [int(n) for n in contested_shape]:
+            raise BadFormat(f"margins of {given.shape}, not {contested_shape}")
+        if not np.array_equal(given, margins):
+            raise BadFormat("margins that are not those of the field")
+    return counts, margins
+
+
 # ------------------------------------------------------------ carriers
 
 #: Fixed values of a carrier: application id of its GIF extension, magic and major version.
@@ -183,6 +212,52 @@ def extract_carrier(data: bytes) -> tuple[str, bytes | None]:
     return ("ok", out[14:]) if len(out) == 14 + n else ("corrupt", None)
 
 
+#: Fixed value: application id of a swap block.
+SWAP_ID = b"LUMENSWAP10"
+
+
+def _block_payload(data: bytes, name: bytes) -> bytes | None:
+    """The joined sub-blocks of an application extension; None if they do not end."""
+    i, out = data.find(b"\x21\xff\x0b" + name) + 14, b""
+    while i < len(data):
+        n = data[i]
+        if n == 0:
+            return out
+        out += data[i + 1 : i + 1 + n]
+        i += 1 + n
+    return None
+
+
+def wrap_swap(minted: int, parents, weights) -> bytes:
+    """An application extension: version, mint number, parents and weights, and a CRC-32 behind them."""
+    if len(parents) > 255 or len(weights) > 65_535:
+        raise BadFormat("too many parents or weights")
+    body = struct.pack(f"<BiB{len(parents)}qH{len(weights)}i", CARRIER_MAJOR, minted, len(parents), *parents, len(weights), *weights)
+    body += struct.pack("<I", zlib.crc32(body))
+    return b"\x21\xff\x0b" + SWAP_ID + b"".join(bytes([len(body[i : i + 255])]) + body[i : i + 255] for i in range(0, len(body), 255)) + b"\x00"
+
+
+def extract_swap(data: bytes) -> tuple[str, int | None, list[int] | None, list[int] | None]:
+    """(status, mint number, parents, weights): no_block, corrupt, version or ok, checked in this order; the body must be used up."""
+    if data.find(b"\x21\xff\x0b" + SWAP_ID) < 0:
+        return "no_block", None, None, None
+    whole = _block_payload(data, SWAP_ID)
+    bad = "corrupt", None, None, None
+    if whole is None or len(whole) < 12 or zlib.crc32(whole[:-4]) != int.from_bytes(whole[-4:], "little"):
+        return bad
+    body = whole[:-4]
+    major, minted, n = struct.unpack_from("<BiB", body)
+    at = 6 + 8 * n
+    if len(body) < at + 2:
+        return bad
+    m = int.from_bytes(body[at : at + 2], "little")
+    if len(body) != at + 2 + 4 * m:
+        return bad
+    if major != CARRIER_MAJOR:
+        return "version", None, None, None
+    return "ok", minted, list(struct.unpack_from(f"<{n}q", body, 6)), list(struct.unpack_from(f"<{m}i", body, at + 2))
+
+
 # ------------------------------------------------------------ GIF89a
 
 

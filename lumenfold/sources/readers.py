@@ -146,3 +146,110 @@ def upsert(store: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 def publish(store: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Rows of unknown keys appended; publishing a known key again changes nothing."""
     return store.unionByName(rows.dropDuplicates([key]).join(store.select(key), key, "left_anti").select(*store.columns))
+
+
+# ------------------------------------------------------- tables and documents
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Comma-separated files with a header line."""
+    return spark.read.csv(path, schema=schema, header=True, mode="FAILFAST")
+
+
+def read_golden(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Expected records: JSON documents, each a list ``records`` of the schema, one row a record."""
+    docs = spark.read.option("multiLine", "true").schema(f"records array<struct<{schema}>>").option("mode", "FAILFAST").json(path)
+    return docs.select(F.inline("records"))
+
+
+def read_indexes(spark: SparkSession, path: str, schema: str, baseline: list[dict] = ()) -> DataFrame:
+    """Descriptors of the index.json of every slot folder below ``path``, with their slot; ``baseline`` rows come first.
+
+    A slot without an index has none; no index at all gives the baseline alone.
+    """
+    rows = spark.createDataFrame([(None, *[b.get(c.split(" ")[0]) for c in _split(schema)]) for b in map(dict, baseline)], f"slot string, {schema}").withColumn("first", F.lit(1))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "index.json").load(path)
+    slot = F.regexp_extract("path", r"([^/]+)/index\.json$", 1)
+    kind = ", ".join(":".join(c.strip().split(" ", 1)) for c in _split(schema))
+    listed = files.select(slot.alias("slot"), F.inline(F.from_json(F.col("content").cast("string"), f"array<struct<{kind}>>", {"mode": "FAILFAST"})))
+    return rows.unionByName(listed.withColumn("first", F.lit(0)))
+
+
+def read_capture(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Capture documents: one JSON object a file."""
+    return spark.read.option("multiLine", "true").option("mode", "FAILFAST").schema(schema).json(path)
+
+
+def records(store: DataFrame, kind: str, order: str | None = None, ascending: bool = True) -> DataFrame:
+    """Records of one type, in an order if one is given."""
+    found = store.filter(F.col("type") == kind)
+    return found if order is None else found.orderBy(F.col(order).asc() if ascending else F.col(order).desc())
+
+
+def record(store: DataFrame, key: str, value) -> DataFrame:
+    """The record of an id: one row or none."""
+    return store.filter(F.col(key) == F.lit(value)).limit(1)
+
+
+def import_bundle(spark: SparkSession, store: DataFrame, path: str, key: str) -> tuple[DataFrame, int]:
+    """The store with a bundle's rows (JSON lines of its schema) added once by key, and how many the bundle holds."""
+    rows = spark.read.schema(store.schema).option("mode", "FAILFAST").json(path)
+    return publish(store, rows, key), rows.count()
+
+
+def read_weights(spark: SparkSession, path: str, count: int, strict: bool = True) -> DataFrame:
+    """stem, i, w of blobs of ``count`` little-endian 32-bit floats; another length is refused."""
+    return _decode(_files(spark, path, ".weights"), "stem string, i int, w double", lambda stem, data: ((stem, i, w) for i, w in enumerate(codecs.unpack_weights(data, count))), strict)
+
+
+def weights_json(weights: DataFrame) -> DataFrame:
+    """stem, count, sha256 and json of each organ's weights (stem, i, w): an export with its content hash."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda s: s["w"])
+    body = F.to_json(F.struct(F.col("stem"), F.col("w")))
+    return weights.groupBy("stem").agg(listed.alias("w")).select("stem", F.size("w").alias("count"), F.sha2(body.cast("binary"), 256).alias("sha256"), body.alias("json"))
+
+
+def read_swaps(spark: SparkSession, path: str, suffix: str = ".gif") -> DataFrame:
+    """stem, status, minted, parents and weights of the swap block in each file."""
+    kind = "stem string, status string, minted int, parents array<bigint>, weights array<int>"
+    return _decode(_files(spark, path, suffix), kind, lambda stem, data: iter([(stem, *codecs.extract_swap(data))]), True)
+
+
+def read_bundles(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """stem, field_source, y, x, ch, counts (of every level) and margin of each cell of the bundles in ``path``.
+
+    A bundle is a ``<stem>_manifest.json`` beside the arrays that it names. The
+    shapes must be those of the manifest, and the margins, if it has any, must
+    be the largest count less the second of each cell.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content")
+    shape = "struct<shape:array<int>>"
+    text = F.from_json(F.col("content").cast("string"), f"field_source string, artifacts struct<field:string,contested:string>, field {shape}, contested {shape}")
+    man = files.filter(F.col("name").endswith("_manifest.json")).select("folder", F.regexp_extract("name", "^(.*)_manifest.json$", 1).alias("stem"), text.alias("m"))
+    named = lambda c: files.select("folder", F.col("name").alias(f"{c}_name"), F.col("content").alias(c))
+    own = man.select("folder", "stem", "m.field_source", F.col("m.artifacts.field").alias("field_name"), F.col("m.artifacts.contested").alias("contested_name"), F.col("m.field.shape").alias("shape"), F.col("m.contested.shape").alias("contested_shape"))
+    whole = own.join(named("field"), ["folder", "field_name"], "left").join(named("contested"), ["folder", "contested_name"], "left")
+
+    def cells(row) -> Iterator[tuple]:
+        if row["field"] is None:
+            raise codecs.BadFormat("the manifest names no field that is there")
+        field, margins = codecs.read_bundle(bytes(row["field"]), row["shape"], row["contested"] and bytes(row["contested"]), row["contested_shape"])
+        for y in range(field.shape[0]):
+            for x in range(field.shape[1]):
+                for ch in range(field.shape[2]):
+                    yield row["stem"], row["field_source"], y, x, ch, field[y, x, ch].tolist(), int(margins[y, x, ch]), None
+
+    names = ["stem", "field_source", "y", "x", "ch", "counts", "margin", "error"]
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                try:
+                    out = list(cells(row))
+                except codecs.BadFormat as e:
+                    if strict:
+                        raise
+                    out = [(row["stem"], *[None] * 6, str(e))]
+                yield pd.DataFrame(out, columns=names, dtype=object)
+
+    return whole.select("stem", "field_source", "field", "shape", "contested", "contested_shape").mapInPandas(run, "stem string, field_source string, y int, x int, ch int, counts array<int>, margin int, error string")

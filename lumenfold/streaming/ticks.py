@@ -1,9 +1,11 @@
-"""Count windows, dwell ownership and lateness over a stream of ticks.
+"""Count windows, routed sums, lateness and drops over a stream of ticks.
 
 Windows close by count, not by time, so they are custom state per burst: the
-open sums and the number of ticks. State is a few numbers a burst; a burst's
-state ends with its last tick. Ticks of a micro-batch are ordered by
-(ts, tick_id) before they are folded; the source delivers bursts in order.
+open sums and the number of ticks. A capture is complete after ``BURST_TICKS``
+ticks; then its state is removed, and the next tick of that burst begins a new
+capture. A capture that never fills holds a few numbers. Ticks of a micro-batch
+are ordered by (ts, tick_id) before they are folded; the source delivers bursts
+in order and bounds a micro-batch (``maxFilesPerTrigger``).
 """
 
 from __future__ import annotations
@@ -14,36 +16,53 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Ticks after which a burst is complete.
+from lumenfold.storage import new_path
+
+#: Ticks after which a capture is complete.
 BURST_TICKS = 64
+#: Microseconds between ticks beyond which the later one is late: one and a half periods of 50 ms.
+LATE_US = 75_000
 SCALES = (1, 2, 4)
 PLAN = tuple((0 if t < 8 else 1 if t < 13 else 2, t not in (0, 1, 8, 9, 13, 14)) for t in range(16))
 
-OUTPUT = "burst long, scale int, window long, total long, late int"
-STATE = "n long, sum2 long, sum4 long, last_us long"
+OUTPUT = "burst long, begun long, scale int, window long, total long, late int"
+STATE = "begun long, n long, sum2 long, sum4 long, last_us long"
+
+
+def in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """The rows of a burst in a micro-batch by time, with ``us``: microseconds."""
+    pdf = pd.concat(list(batches)).sort_values(["ts", "tick_id"])
+    return pdf.assign(us=pdf["ts"].astype("datetime64[us]").astype("int64"))
 
 
 def fold_windows(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Every tick at scale 1, every second at scale 2, every fourth at scale 4, as sums; open windows wait."""
-    n, sum2, sum4, last = state.get if state.exists else (0, 0, 0, -1)
+    begun, n, sum2, sum4, last = state.get if state.exists else (0, 0, 0, 0, -1)
     rows = []
-    pdf = pd.concat(list(batches)).sort_values(["ts", "tick_id"])
-    for us, v in zip(pdf["ts"].astype("int64") // 1000 if str(pdf["ts"].dtype).endswith("ns]") else pdf["ts"].astype("int64"), pdf["v"]):
-        late = int(last >= 0 and us - last >= 75_000)  # one and a half periods of 50 ms
-        n, sum2, sum4, last = n + 1, sum2 + int(v), sum4 + int(v), int(us)
-        rows.append((key[0], 1, n - 1, int(v), late))
+    pdf = in_order(batches)
+    for us, v in zip(pdf["us"].tolist(), pdf["v"].tolist()):
+        if n == 0:
+            begun, last = us, us
+        late = int(us - last >= LATE_US)
+        n, sum2, sum4, last = n + 1, sum2 + v, sum4 + v, us
+        rows.append((key[0], begun, 1, n - 1, v, late))
         if n % 2 == 0:
-            rows.append((key[0], 2, n // 2 - 1, sum2, 0))
+            rows.append((key[0], begun, 2, n // 2 - 1, sum2, 0))
             sum2 = 0
         if n % 4 == 0:
-            rows.append((key[0], 4, n // 4 - 1, sum4, 0))
+            rows.append((key[0], begun, 4, n // 4 - 1, sum4, 0))
             sum4 = 0
-    state.update((n, sum2, sum4, last))
-    yield pd.DataFrame(rows, columns=["burst", "scale", "window", "total", "late"])
+        if n == BURST_TICKS:
+            n = 0
+    if n:
+        state.update((begun, n, sum2, sum4, last))
+    elif state.exists:
+        state.remove()
+    yield pd.DataFrame(rows, columns=["burst", "begun", "scale", "window", "total", "late"])
 
 
 def count_windows(ticks: DataFrame) -> DataFrame:
-    """ticks: burst, ts, tick_id, v, streaming. Closed windows of 1, 2 and 4 ticks."""
+    """ticks: burst, ts, tick_id, v, streaming. Closed windows of 1, 2 and 4 ticks of each capture, and which ticks came late."""
     return ticks.groupBy("burst").applyInPandasWithState(fold_windows, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -52,11 +71,11 @@ def route(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     n, *rest = state.get if state.exists else (0,) * 7
     totals, counts = list(rest[:3]), list(rest[3:])
     rows = []
-    for v in pd.concat(list(batches)).sort_values(["ts", "tick_id"])["v"]:
+    for v in in_order(batches)["v"].tolist():
         scale, owned = PLAN[n % 16]
         n += 1
         if owned:
-            totals[scale] += int(v)
+            totals[scale] += v
             counts[scale] += 1
         if n % 4 == 0:
             rows.append((key[0], n, *totals, *counts))
@@ -70,8 +89,38 @@ def routed_sums(ticks: DataFrame) -> DataFrame:
         route, "burst long, tick long, t0 long, t1 long, t2 long, n0 long, n1 long, n2 long", "n long, t0 long, t1 long, t2 long, n0 long, n1 long, n2 long", "append", GroupStateTimeout.NoTimeout)
 
 
-def collect_stream(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what is there now into an in-memory table (tests and small reports)."""
-    q = stream.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+def charge_drops(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Dropped ticks, each charged to the scale that the plan has live at its number; the last one holds beyond."""
+    n, *skipped = state.get if state.exists else (0,) * 4
+    for gone in in_order(batches)["dropped"].tolist():
+        skipped[PLAN[min(n, len(PLAN) - 1)][0]] += bool(gone)
+        n += 1
+    state.update((n, *skipped))
+    yield pd.DataFrame([(key[0], n, *skipped)], columns=["burst", "ticks", "s0", "s1", "s2"])
+
+
+def drop_counts(ticks: DataFrame) -> DataFrame:
+    """ticks: burst, ts, tick_id, dropped, streaming. After each micro-batch the drops of every burst it held, by scale."""
+    return ticks.groupBy("burst").applyInPandasWithState(charge_drops, "burst long, ticks long, s0 long, s1 long, s2 long", "n long, s0 long, s1 long, s2 long", "update", GroupStateTimeout.NoTimeout)
+
+
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """Run an append stream over what is there now into Parquet files of the shared folder, and read them."""
+    spark = stream.sparkSession
+    path = new_path(spark, name)
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def run_updates(stream: DataFrame, name: str) -> DataFrame:
+    """The same for an update stream; each micro-batch is a folder ``batch=n`` of its own, so a repeated one replaces itself."""
+    spark = stream.sparkSession
+    path = new_path(spark, name)
+
+    def write(rows: DataFrame, n: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    q = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.option("basePath", path).parquet(path)

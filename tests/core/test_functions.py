@@ -110,7 +110,7 @@ def test_cbor_roundtrip(value):
 
 
 def test_cbor_refusals():
-    for bad in (b"", b"\x01\x01", b"\x20", b"\x42a", b"\xf6", b"\x82\x01"):
+    for bad in (b"", b"\x01\x01", b"\x20", b"\x42a", b"\xf6", b"\x82\x01", b"\x18\x05", b"\x19\x00\xff", b"\x61\xff", b"\xa1\x80\x01"):
         with pytest.raises(codecs.BadFormat):
             codecs.cbor_decode(bad)
     with pytest.raises(codecs.BadFormat):
