@@ -4,28 +4,32 @@ A byte is removed if a 100-byte string that covers it also starts earlier (in
 a document of smaller id, or earlier in the same one). Positions:
 
 1. Whole copies: of documents with equal texts all but the first go whole.
-2. Anchors: every 100-byte window holds one 24-byte string of least hash, its
-   anchor, so equal windows have equal anchors. Neighbouring windows share an
-   anchor occurrence and form a run. Runs whose anchor occurs once cannot
-   repeat; the others, with their bytes, are dealt into shards by anchor, so
-   equal windows always meet in a shard, whichever document they come from.
+2. Anchors: the least hash of the 24-byte strings in a 100-byte window is its
+   anchor, so equal windows have equal anchors. Neighbouring windows with one
+   anchor form a run of at most ``RUN`` windows. Runs whose anchor occurs once
+   cannot repeat; the others, with their bytes, are dealt into shards by
+   anchor, so equal windows always meet in a shard, whichever document they
+   come from.
 3. Per shard, a suffix array is refined as by Larsson and Sadakane: suffixes
    sorted by 8 bytes, then groups that are still open by the ranks 8, 16 and
-   32 bytes further on. Equal ranks of 64 bytes at a position and 36 bytes
-   on are a common prefix of 100 bytes (numpy cannot run Kasai's scan, whose
-   every step needs the one before; the ranks give the same lengths). Segments
-   lie in document order, so the first position of a class is the earliest.
-4. An anchor with more than ``HOT`` occurrences is dealt into pieces. The
-   sorted lists of first windows of its pieces are merged by binary search,
-   range of window hashes by range.
+   32 bytes further on; the ranks of a window's first 64 and last 64 bytes give
+   the windows in order of their 100 bytes. Kasai's scan then finds the common
+   prefix of neighbours in that order, in one lane a run: the prefix of a
+   window is at least that of the window before it, less one. Windows are equal
+   where it reaches 100 bytes. Runs lie in document order, so the first window
+   of a class is the earliest.
+4. An anchor with more than ``HOT`` runs is dealt into pieces. The sorted lists
+   of first windows of its pieces are merged by binary search, comparing bytes,
+   ``FAN`` pieces at a time, each in as many ranges (by a hash of the window) as
+   the anchor has pieces.
 
 Shards and ranges have bounded size, no text leaves its row but the runs with
 a repeated anchor, and every step that groups by a value counts it first.
 
 Defined cases: null and empty texts have no bytes; texts under 100 bytes are
-kept; null ids come last; different texts under one id are ordered by a hash
-of the text; of identical rows one is the first; empty tables give no rows;
-extra columns are left out.
+kept; ids are long integers, and null ids stand with the largest of them;
+different texts under one id are ordered by a hash of the text; of identical rows one is the first; empty
+tables give no rows; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -37,16 +41,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import discard, stored, table, text_slices
+from lumenfold.llm.common import discard, fits_broadcast, small_batches, stored, table, text_slices
 from lumenfold.llm.jaccard_join import M1, mix
 
 LENGTH = 100
 GRAM = 24
+RUN = LENGTH - GRAM + 1
 HOT = 1000
 SHARD_BYTES = 3 << 20
-RANGES = 16
-#: The list of texts that occur several times is broadcast up to so many rows; beyond it texts are shuffled.
-MAX_BROADCAST_ROWS = 1_000_000
+FAN = 64
+#: Where null ids stand in the order of documents.
 LAST_ID = (1 << 63) - 1
 
 
@@ -57,16 +61,14 @@ def packed(data: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1))).view(">u8").ravel().astype(np.uint64)
 
 
-def least_positions(values: np.ndarray, width: int) -> np.ndarray:
-    """For every window of ``width`` values, the position of its leftmost least value."""
-    at, best, size = np.arange(len(values), dtype=np.int32), values, 1
+def least_values(values: np.ndarray, width: int) -> np.ndarray:
+    """The least value of every window of ``width`` values."""
+    best, size = values, 1
     while size < width:
         step = min(size, width - size)
-        n = len(at) - step
-        left = best[:n] <= best[step : step + n]
-        at, best = np.where(left, at[:n], at[step : step + n]), np.where(left, best[:n], best[step : step + n])
+        best = np.minimum(best[: len(best) - step], best[step:])
         size += step
-    return at
+    return best
 
 
 def anchor_runs(raws: list[bytes], length: int = LENGTH, gram: int = GRAM):
@@ -82,19 +84,23 @@ def anchor_runs(raws: list[bytes], length: int = LENGTH, gram: int = GRAM):
     for j in range(0, gram, 8):
         h = (h + k[j : j + n]) * M1
     h = mix(h)
-    at = least_positions(h, length - gram + 1)
+    least = least_values(h, length - gram + 1)
     ends = np.cumsum(sizes)
-    text = np.repeat(np.arange(len(raws)), sizes)[: len(at)]
-    inside = np.flatnonzero(np.arange(len(at)) + length <= ends[text])
+    text = np.repeat(np.arange(len(raws)), sizes)[: len(least)]
+    inside = np.flatnonzero(np.arange(len(least)) + length <= ends[text])
     if not len(inside):
         return none, none.view(np.uint64), none, none
-    at, text = at[inside], text[inside]
-    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
-    return text[new], h[at[new]], inside[new] - (ends - sizes)[text[new]], np.diff(np.append(new, len(at)))
+    least, text = least[inside], text[inside]
+    new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])]))
+    n = np.diff(np.append(new, len(least)))
+    parts = -(-n // RUN)  # a long run, of a periodic text, is cut
+    within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    new, n = np.repeat(new, parts) + within * RUN, np.minimum(RUN, np.repeat(n, parts) - within * RUN)
+    return text[new], least[new], inside[new] - (ends - sizes)[text[new]], n
 
 
-def window_classes(data: np.ndarray, windows: np.ndarray, length: int = LENGTH, beyond: np.ndarray | None = None) -> np.ndarray:
-    """A class number for each window start, equal exactly for equal ``length``-byte strings.
+def window_order(data: np.ndarray, windows: np.ndarray, length: int = LENGTH, beyond: np.ndarray | None = None) -> np.ndarray:
+    """The window starts in order of their ``length`` bytes, equal ones as they come.
 
     The refined suffix array sorts by 64 bytes; length is 64 to 128. beyond:
     how far each position lies behind the last window start of its segment;
@@ -127,18 +133,56 @@ def window_classes(data: np.ndarray, windows: np.ndarray, length: int = LENGTH,
         suffix, both = suffix[by], both[by]
         order[place] = suffix
         open_ = settle(place, suffix, np.concatenate([[True], both[1:] != both[:-1]]) if len(both) else np.empty(0, bool))
-    return rank[windows] * (n + 2) + rank[windows + length - 64] + 1
+    return np.argsort(rank[windows] * (n + 2) + rank[windows + length - 64] + 1, kind="stable")
 
 
-def later_windows(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows have an equal one before them, and the first window of each class."""
-    order = np.argsort(classes)
-    c = classes[order]
-    starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.empty(0, np.int64)
-    first = np.minimum.reduceat(order, starts) if len(starts) else order
-    later = np.ones(len(classes), bool)
-    later[first] = False
-    return later, first
+def common_prefixes(data: np.ndarray, windows: np.ndarray, seg: np.ndarray, order: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For every place in ``order``, the common prefix (``length`` at most) with the place before; Kasai's scan, one lane a segment.
+
+    windows: starts, consecutive inside a segment; seg: the segment of each.
+    """
+    n = len(windows)
+    key = np.append(packed(data), np.zeros(length + 8, np.uint64))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    before = np.where(place > 0, order[place - 1], -1)  # whom each window is compared with
+    follows = np.append(seg[1:] == seg[:-1], False)  # the next window starts one byte further on
+    head = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])) if n else np.empty(0, np.int64)
+    size = np.diff(np.append(head, n))
+    prefix, known = np.zeros(n, np.int64), np.zeros(len(head), np.int64)
+    for step in range(int(size.max(initial=0))):
+        lane = np.flatnonzero(size > step)
+        at = head[lane] + step
+        other = before[at]
+        if step:  # the pair before, one byte further on, holds for all windows between its two
+            last = before[at - 1]
+            sound = (last >= 0) & follows[last]
+            sound[sound] &= place[last[sound] + 1] < place[at[sound]]
+            have = np.where(sound, np.maximum(known[lane] - 1, 0), 0)
+        else:
+            have = np.zeros(len(lane), np.int64)
+        open_ = np.flatnonzero(other >= 0)
+        while len(open_):
+            a, b = windows[at[open_]] + have[open_], windows[other[open_]] + have[open_]
+            differ = key[a] ^ key[b]
+            # whole bytes that agree, from the front
+            same = np.zeros(len(open_), np.int64)
+            for byte in range(8):
+                same += (same == byte) & ((differ >> np.uint64(56 - 8 * byte)) & np.uint64(255) == 0)
+            have[open_] += same
+            open_ = open_[(same == 8) & (have[open_] < length)]
+        known[lane] = have = np.minimum(have, length)
+        prefix[at] = have
+    return prefix[order]
+
+
+def later_windows(data: np.ndarray, windows: np.ndarray, seg: np.ndarray, beyond: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows have an equal one before them, and the first window of each class in order of its bytes."""
+    order = window_order(data, windows, LENGTH, beyond)
+    new = common_prefixes(data, windows, seg, order) < LENGTH
+    later = np.ones(len(windows), bool)
+    later[order[new]] = False
+    return later, order[new]
 
 
 INTERVALS = "doc_id long, key long, start int, stop int"
@@ -166,8 +210,22 @@ def _read(tab: pa.Table):
     return doc_id[order], key[order], start[order], n[order], segments
 
 
+def _found(out: dict, lists: list[tuple[int, int, bytes]] = ()) -> pa.Table:
+    """Rows of FOUND: intervals, and lists of first windows (range, piece, bytes)."""
+    names = (("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("range", pa.int64()), ("piece", pa.int64()), ("firsts", pa.binary()))
+    own = [pa.array(out[c], t) if c in out else pa.nulls(len(out["start"]), t) for c, t in names]
+    more = dict(zip(("range", "piece", "firsts"), zip(*lists))) if lists else {}
+    return pa.concat_tables([pa.table(own, [c for c, _ in names]), pa.table([pa.array(more[c], t) if c in more else pa.nulls(len(lists), t) for c, t in names], [c for c, _ in names])])
+
+
+FOUND = INTERVALS + ", range long, piece long, firsts binary"
+#: A first window: its bytes and where it stands.
+FIRST = np.dtype([("bytes", f"S{LENGTH}"), ("doc_id", np.int64), ("key", np.int64), ("start", np.int64)])
+
+
 def scan_shard(key: tuple, tab: pa.Table) -> pa.Table:
-    """Intervals of the shard; of a piece of a hot anchor also its first windows, by range of their hash."""
+    """Intervals of the shard; of a piece of a hot anchor also its first windows, range by range, in order of their bytes."""
+    pieces = tab.column("pieces")[0].as_py()
     doc_id, doc_key, start, n, segments = _read(tab)
     data = np.frombuffer(b"".join(segments), np.uint8)
     sizes = np.array([len(s) for s in segments], np.int64)
@@ -176,55 +234,50 @@ def scan_shard(key: tuple, tab: pa.Table) -> pa.Table:
     within = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
     where = offset[seg] + within
     beyond = np.arange(len(data)) - np.repeat(offset + n - 1, sizes)
-    later, first = later_windows(window_classes(data, where, LENGTH, beyond))
+    later, first = later_windows(data, where, seg, beyond)
     out = _intervals(doc_id, doc_key, start[seg] + within, later, seg)
-    rows = pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "key": pa.array(out["key"], pa.int64()), "start": pa.array(out["start"], pa.int32()), "stop": pa.array(out["stop"], pa.int32())})
-    none = lambda kind, m: pa.nulls(m, kind)
-    rows = rows.append_column("range", none(pa.int64(), len(rows))).append_column("firsts", none(pa.binary(), len(rows)))
     if key[1].as_py() < 0:
-        return rows
-    # hash of each first window: 12 words of 8 bytes, and the last 8
-    first = np.sort(first)
+        return _found(out)
     k, at = packed(data), where[first]
     h = np.zeros(len(at), np.uint64)
     for j in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
         h = mix((h + k[at + j]) * M1)
+    part = (h % np.uint64(pieces)).astype(np.int64)
+    made = np.empty(len(at), FIRST)
+    made["bytes"] = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at]).view(f"S{LENGTH}").ravel()
     s = seg[first]
-    made = np.stack([h.view(np.int64), doc_id[s], doc_key[s], start[s] + within[first]], 1)
-    made = made[np.argsort(h, kind="stable")]
-    part = (made[:, 0].view(np.uint64) >> np.uint64(60)).astype(np.int64)  # RANGES ranges of the hash
-    cuts = np.searchsorted(part, np.arange(RANGES + 1))
-    found = [(r, made[cuts[r] : cuts[r + 1]].tobytes()) for r in range(RANGES) if cuts[r + 1] > cuts[r]]
-    anchor = key[0].as_py()
-    ranges = [int(mix(np.array([anchor], np.int64).view(np.uint64))[0] >> np.uint64(8)) + r for r, _ in found]
-    more = pa.table({c: none(t, len(found)) for c, t in (("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()))})
-    more = more.append_column("range", pa.array(ranges, pa.int64())).append_column("firsts", pa.array([b for _, b in found], pa.binary()))
-    return pa.concat_tables([rows, more])
-
-
-def merge_range(key: tuple, tab: pa.Table) -> pa.Table:
-    """Merge sorted lists of first windows of one range: a window in an earlier place elsewhere goes."""
-    lists = [np.frombuffer(b, np.int64).reshape(-1, 4) for b in tab.column("firsts").to_pylist()]
-    merged = lists[0] if lists else np.empty((0, 4), np.int64)
-    gone = []
-    lists = sorted(lists, key=len, reverse=True)
-    merged = lists[0]
+    made["doc_id"], made["key"], made["start"] = doc_id[s], doc_key[s], start[s] + within[first]
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(pieces + 1))
+    base = int(mix(np.array([key[0].as_py()], np.int64).view(np.uint64))[0] >> np.uint64(8))
+    return _found(out, [(base + r, key[1].as_py(), made[order[cuts[r] : cuts[r + 1]]].tobytes()) for r in range(pieces) if cuts[r + 1] > cuts[r]])
+
+
+def _later(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where a stands later than b."""
+    return (a["doc_id"] > b["doc_id"]) | ((a["doc_id"] == b["doc_id"]) & ((a["key"] > b["key"]) | ((a["key"] == b["key"]) & (a["start"] > b["start"]))))
+
+
+def merge_lists(key: tuple, tab: pa.Table) -> pa.Table:
+    """Merge sorted lists of first windows of one range: of equal bytes all but the earliest place go."""
+    lists = sorted((np.frombuffer(b, FIRST) for b in tab.column("firsts").to_pylist()), key=len, reverse=True)
+    merged, gone = lists[0], []
     for other in lists[1:]:
-        at = np.searchsorted(merged[:, 0], other[:, 0])
+        at = np.searchsorted(merged["bytes"], other["bytes"])
         hit = np.minimum(at, len(merged) - 1)
-        same = merged[hit, 0] == other[:, 0]
+        same = merged["bytes"][hit] == other["bytes"]
         mine, theirs = merged[hit[same]], other[same]
-        earlier = (mine[:, 1] < theirs[:, 1]) | ((mine[:, 1] == theirs[:, 1]) & ((mine[:, 2] < theirs[:, 2]) | ((mine[:, 2] == theirs[:, 2]) & (mine[:, 3] < theirs[:, 3]))))
-        gone += [theirs[earlier], mine[~earlier]]
+        late = _later(theirs, mine)
+        gone += [theirs[late], mine[~late]]
         merged = merged.copy()
-        merged[hit[same]] = np.where(earlier[:, None], mine, theirs)
-        merged = np.insert(merged, at[~same], other[~same], axis=0)
-    out = np.concatenate(gone) if gone else np.empty((0, 4), np.int64)
-    out = out[np.lexsort((out[:, 3], out[:, 2], out[:, 1]))]
-    seg = np.cumsum(np.concatenate([[0], (np.diff(out[:, 1]) != 0) | (np.diff(out[:, 2]) != 0) | (np.diff(out[:, 3]) != 1)])) if len(out) else np.empty(0, np.int64)
-    firsts = np.flatnonzero(np.concatenate([[True], np.diff(seg) != 0])) if len(out) else np.empty(0, np.int64)
-    made = _intervals(out[firsts, 1], out[firsts, 2], out[:, 3], np.ones(len(out), bool), seg)
-    return pa.table({"doc_id": pa.array(made["doc_id"], pa.int64()), "key": pa.array(made["key"], pa.int64()), "start": pa.array(made["start"], pa.int32()), "stop": pa.array(made["stop"], pa.int32())})
+        merged[hit[same]] = np.where(late, mine, theirs)
+        merged = np.insert(merged, at[~same], other[~same])
+    out = np.concatenate([merged[:0], *gone])
+    out = out[np.lexsort((out["start"], out["key"], out["doc_id"]))]
+    new = np.concatenate([[True], (np.diff(out["doc_id"]) != 0) | (np.diff(out["key"]) != 0) | (np.diff(out["start"]) != 1)]) if len(out) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    made = _intervals(out["doc_id"][first], out["key"][first], out["start"], np.ones(len(out), bool), np.cumsum(new) - 1)
+    return _found(made, [(key[0].as_py(), key[1].as_py(), merged.tobytes())])
 
 
 def _raw(batch) -> list[bytes]:
@@ -304,9 +357,10 @@ def strip(rows: DataFrame) -> DataFrame:
 def repeated_intervals(firsts: DataFrame) -> DataFrame:
     """firsts: doc_id, key, text, distinct texts only. Byte intervals (INTERVALS) that occur earlier."""
     runs = stored(find_runs(firsts), "suffix-runs")
-    often = stored(runs.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor", F.when(F.col("m") > HOT, F.ceil(F.col("m") / (HOT // 2))).otherwise(1).cast("int").alias("pieces")), "suffix-anchors")
-    flagged = runs.join(often, "anchor")
-    by_doc = stored(flagged.groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "start", "n", "pieces")).alias("runs")), "suffix-flags")
+    pieces = F.when(F.col("m") > HOT, F.ceil(F.col("m") / max(1, HOT // 2))).otherwise(1).cast("int")
+    often = stored(runs.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor", pieces.alias("pieces")), "suffix-anchors")
+    most = often.agg(F.max("pieces")).first()[0] or 1
+    by_doc = stored(runs.join(often, "anchor").groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "start", "n", "pieces")).alias("runs")), "suffix-flags")
     discard(runs, often)
     n_runs = by_doc.agg(F.sum(F.size("runs"))).first()[0] or 0
     flags = by_doc.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "runs")
@@ -314,29 +368,37 @@ def repeated_intervals(firsts: DataFrame) -> DataFrame:
     shards = max(1, n_runs * 140 // SHARD_BYTES)
     # a hot anchor is a shard of its own, in pieces; piece -1 means that it is whole
     hot = F.col("pieces") > 1
+    part = F.pmod(F.xxhash64("doc_id", "key", F.floor(F.col("start") / 4096)), F.col("pieces"))
     segments = cut_segments(with_runs).select(
-        "doc_id", "key", "start", "n", "bytes",
-        F.when(hot, F.col("anchor")).otherwise(F.pmod("anchor", F.lit(shards))).alias("shard"),
-        F.when(hot, F.pmod(F.xxhash64("doc_id", "key"), F.col("pieces"))).otherwise(-1).cast("long").alias("piece"),
+        "doc_id", "key", "start", "n", "bytes", "pieces",
+        F.when(hot, F.col("anchor")).otherwise(F.pmod("anchor", F.lit(shards))).alias("shard"), F.when(hot, part).otherwise(-1).cast("long").alias("piece"),
     )
-    found = stored(segments.groupBy("shard", "piece").applyInArrow(scan_shard, INTERVALS + ", range long, firsts binary"), "suffix-found")
+    found = stored(segments.groupBy("shard", "piece").applyInArrow(scan_shard, FOUND), "suffix-found")
     discard(by_doc)
-    whole = found.filter("range IS NULL").select("doc_id", "key", "start", "stop")
-    merged = found.filter("range IS NOT NULL").select("range", "firsts").groupBy("range").applyInArrow(merge_range, INTERVALS)
-    return whole.union(merged)
+    whole, lists = found.filter("range IS NULL").select("doc_id", "key", "start", "stop"), found.filter("range IS NOT NULL").select("range", "piece", "firsts")
+    while most > 1:
+        most = -(-most // FAN)
+        found = stored(lists.withColumn("piece", F.floor(F.col("piece") / FAN)).groupBy("range", "piece").applyInArrow(merge_lists, FOUND), "suffix-merged")
+        whole, lists = whole.union(found.filter("range IS NULL").select("doc_id", "key", "start", "stop")), found.filter("range IS NOT NULL").select("range", "piece", "firsts")
+    return whole
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    small_batches(docs.sparkSession)
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must be an integer column")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long").alias("key"), text.alias("text"))
-    known = stored(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("head")).filter("m > 1").select(F.col("key").alias("_key"), "head"), "suffix-copies")
-    few = F.broadcast(known) if known.count() <= MAX_BROADCAST_ROWS else known
-    marked = rows.join(few, F.col("key") == F.col("_key"), "left").withColumn("copy", F.coalesce(F.col("doc_id") != F.col("head"), F.lit(False))).drop("_key", "head")
-    cuts = repeated_intervals(marked.filter("NOT copy").select("doc_id", "key", "text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long").alias("key"), text.alias("text"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("head")
+    known = stored(rows.groupBy("key").agg(F.count("*").alias("m"), first).filter("m > 1").select(F.col("key").alias("_key"), F.col("head.doc_id").alias("_head")), "suffix-copies")
+    few = F.broadcast(known) if fits_broadcast(known.count(), 48) else known
+    copy = F.col("_key").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("_head"))
+    marked = rows.join(few, F.col("key") == F.col("_key"), "left").select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("at"), "key", "text", copy.alias("copy"))
+    cuts = repeated_intervals(marked.filter("NOT copy").select(F.col("at").alias("doc_id"), "key", "text"))
     by_doc = stored(cuts.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")), "suffix-cuts")
     renamed = by_doc.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "cuts")
-    ready = marked.join(renamed, (F.col("key") == F.col("_k")) & (F.col("doc_id") == F.col("_d")) & ~F.col("copy"), "left")
+    ready = marked.join(renamed, (F.col("key") == F.col("_k")) & (F.col("at") == F.col("_d")) & ~F.col("copy"), "left")
     none = F.array().cast("array<struct<start:int,stop:int>>")
     done = strip(ready.select("doc_id", "key", "copy", "text", F.coalesce("cuts", none).alias("cuts")))
     # identical rows: all but one of them are copies
@@ -344,7 +406,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     done = done.withColumn("_i", F.explode(F.sequence(F.lit(1), "m")))
     again = (F.col("_i") > 1) & (F.col("n_bytes") >= LENGTH)
     return done.select(
-        F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")).alias("doc_id"), "n_bytes",
+        "doc_id", "n_bytes",
         F.when(again, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(again, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
         F.when(again, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
