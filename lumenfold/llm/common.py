@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import json
-import re
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.storage import new_path
+
 #: Characters that separate words, as a Java and RE2 character class body.
 SEPARATORS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 #: Tables that :func:`stored` wrote and nothing has deleted yet.
@@ -20,6 +19,8 @@ _STORED: set[str] = set()
 MAX_BROADCAST_BYTES = 32 << 20
 #: Largest Arrow batch sent to a Python worker, unless one row is larger.
 BATCH_BYTES = 4 << 20
+#: Row group of a stored table: a writer holds one in memory.
+ROW_GROUP_BYTES = 16 << 20
 #: Rows of a slice: numpy kernels pack the row number into 16 bits.
 SLICE_ROWS = 65_535
 
@@ -40,25 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, a temporary one, but in local mode only."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="lumenfold-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts lineage.
 
     The table survives the loss of executors, unlike a local checkpoint.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumenfold/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(spark, name)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     _STORED.add(path)

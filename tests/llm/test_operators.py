@@ -278,7 +278,11 @@ def test_pii(spark, docs, empty):
     extra = spark.createDataFrame([(900 + i, t, "", "", 0) for i, t in enumerate(HARD)], SCHEMA)
     both = docs.union(extra)
     got = pii.find_personal_data(both).select("doc_id", *[f"spans_{k}" for k in pii.KINDS]).collect()
-    have = sorted(str((r["doc_id"], [[tuple(s) for s in r[f"spans_{k}"]] for k in pii.KINDS])) for r in got)
+    have = sorted(str((r["doc_id"], [[(s["start"], s["end"]) for s in r[f"spans_{k}"]] for k in pii.KINDS])) for r in got)
+    data = dict(rows_of(extra))
+    for r in got:  # byte offsets
+        if r["doc_id"] in data:
+            assert all(data[r["doc_id"]][s["start"] : s["end"]].encode() == data[r["doc_id"]].encode()[s["from"] : s["to"]] for k in pii.KINDS for s in r[f"spans_{k}"])
     assert have == sorted(str((i, [brute_pii(t)[k] for k in pii.KINDS])) for i, t in rows_of(both))
     assert pii.find_personal_data(empty).count() == 0
 
@@ -316,11 +320,68 @@ def test_sanitised_overlap(spark):
     assert "" in texts and not any(re.search("[0-9]{4}", t) or "10.0" in t for t in texts)
 
 
+def test_dense_texts(spark):
+    """A megabyte of addresses, one of card numbers and one of words that all disclose: each in seconds."""
+    import time
+
+    mails = " ".join(f"é user{i}@mail{i % 7}.example.com" for i in range(36_000))
+    cards = " ".join(["4111 1111 1111 1111,"] * 50_000)
+    rare = " ".join(f"word{i}x" for i in range(4_000)) + " one@only.example.com"
+    rows = [(1, mails), (2, cards), (3, rare), *[(10 + i, "plain words") for i in range(30)]]
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    print("dense texts:", time.time() - began)
+    assert time.time() - began < 90
+    assert len(got[1]["spans_email"]) == 36_000 and len(got[2]["spans_card"]) == 50_000 and len(got[3]["terms"]) == 4_000
+    assert got[1]["sanitised"] == " ".join(["[email] [email]"] * 36_000)  # the only other word stands there alone
+    assert got[3]["sanitised"] == " ".join(["[email]"] * 4_001) and got[2]["sanitised"] == " ".join(["[card],"] * 50_000)
+
+
+def brute_terms(rows, alpha=pii.ALPHA, least=pii.LEAST_DOCS):
+    """Per row the sorted places of disclosing terms."""
+    docs = []
+    for _, t in rows:
+        t, values = t or "", set()
+        blank = list(t)
+        for kind, spans in brute_pii(t).items():
+            for a, b in spans:
+                values.add((kind, lower(t[a:b]) if kind in ("email", "ip") else re.sub("[^0-9]", "", t[a:b])))
+                blank[a:b] = " " * (b - a)
+        places = [(m.start(), m.end(), lower(m[0])) for m in WORD.finditer(lower("".join(blank)))]
+        docs.append((places, {w for _, _, w in places if not re.fullmatch("[0-9]+", w)}, values))
+    n, holds, n_term, both = len(docs), Counter(), Counter(), Counter()
+    for _, terms, values in docs:
+        entities = {k for k, _ in values} | values
+        holds.update(entities)
+        n_term.update(terms)
+        both.update((t, e) for t in terms for e in entities)
+    telling = set()
+    for (t, e), b in both.items():
+        enough = b >= least if isinstance(e, str) else b > 1 or n_term[t] == 1
+        p = holds[e] / n
+        if n_term[t] == 1 and not isinstance(e, str):
+            p, enough = 1 / n, True
+        if enough and p < 1 and math.log(b / n_term[t] / p) >= -alpha * math.log(p) - 1e-12:
+            telling.add(t)
+    return [sorted((a, b) for a, b, w in places if w in telling) for places, _, _ in docs]
+
+
+def test_terms_match_brute_force(spark, docs):
+    rng = np.random.default_rng(21)
+    names = [f"nam{i}" for i in range(30)]
+    rows = [(200 + i, f"{syllables(i, 10)} {names[i % 30]} mail{i % 6}@x.example.com {names[rng.integers(30)]} 7 10.0.0.{i % 4}" if i % 3 else f"{syllables(i, 6)} {names[rng.integers(30)]}") for i in range(90)]
+    every = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    all_rows = rows_of(every)
+    got = sorted(str((r["doc_id"], sorted((s["start"], s["end"]) for s in r["terms"]))) for r in pii.find_personal_data(every).collect())
+    want = [str((i, t)) for (i, _), t in zip(all_rows, brute_terms(all_rows))]
+    assert got == sorted(want) and sum("[(" in w for w in want) > 20
+
+
 # ------------------------------------------------------ suffix-array dedup
 
 
 def brute_repeats(rows):
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, int(hashlib.sha256((rows[k][1] or "").encode()).hexdigest()[:15], 16)))
+    order = sorted(range(len(rows)), key=lambda k: (2**63 - 1 if rows[k][0] is None else rows[k][0], int(hashlib.sha256((rows[k][1] or "").encode()).hexdigest()[:15], 16)))
     seen, out = set(), []
     for k in order:
         b = (rows[k][1] or "").encode()
@@ -342,15 +403,45 @@ def test_suffix_dedup(docs, empty, monkeypatch, hot):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_suffix_classes():
+def test_suffix_order_and_prefixes():
     rng = np.random.default_rng(2)
-    data = np.concatenate([rng.integers(97, 99, 700), np.full(500, 97), rng.integers(97, 99, 300)]).astype(np.uint8)
+    data = np.concatenate([rng.integers(97, 99, 700), np.full(500, 97), rng.integers(97, 99, 300), np.zeros(240)]).astype(np.uint8)
     data = np.concatenate([data, data[100:900], data[:400]])
-    windows = np.arange(len(data) - 99)
-    got = suffix_dedup.window_classes(data, windows)
+    starts = np.array([0, 130, 333, 700, 1500, 2200])
+    ends = np.append(starts[1:], len(data))
+    windows = np.concatenate([np.arange(a, b - 99) for a, b in zip(starts, ends)])
+    seg = np.repeat(np.arange(len(starts)), ends - 99 - starts)
     raw = data.tobytes()
     want = [raw[p : p + 100] for p in windows]
-    assert len(set(zip(got.tolist(), want))) == len(set(got.tolist())) == len(set(want))
+    order = suffix_dedup.window_order(data, windows)
+    assert [want[i] for i in order] == sorted(want)
+    got = suffix_dedup.common_prefixes(data, windows, seg, order)
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), 100)
+    assert got.tolist() == [0] + [common(want[a], want[b]) for a, b in zip(order[:-1], order[1:])]
+    first = {}
+    for i, w in enumerate(want):
+        first.setdefault(w, i)
+    later, firsts = suffix_dedup.later_windows(data, windows, seg, None)
+    assert sorted(firsts.tolist()) == sorted(first.values()) and later.tolist() == [first[w] != i for i, w in enumerate(want)]
+
+
+def test_suffix_low_entropy(spark, monkeypatch):
+    """Constant, periodic and zero bytes in long texts, an anchor in many pieces merged in two levels, and odd ids."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 10)
+    monkeypatch.setattr(suffix_dedup, "FAN", 3)
+    block = syllables(77, 40)
+    rows = [(1, "a" * 20_000), (2, "a" * 3000 + "b" + "a" * 500), (3, "abc" * 3000), (4, "\x00" * 900 + "x"), (2**63 - 1, "zz" + "abc" * 60), (None, "yy" + "abc" * 60)]
+    rows += [(100 + i, f"{syllables(200 + i, 12)} {block} {syllables(500 + i, 12)}") for i in range(120)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, start string")
+    assert sorted(str(tuple(r)) for r in suffix_dedup.remove_repeats(docs).collect()) == brute_repeats(rows)
+
+
+def test_suffix_long_constant_text(spark):
+    """5 MB of one letter: runs of bounded length in pieces."""
+    got = suffix_dedup.remove_repeats(spark.createDataFrame([(1, "a" * 5_000_000)], "doc_id long, text string")).first()
+    assert (got["n_removed"], got["n_spans"], got["kept_sha256"]) == (4_999_999, 1, hashlib.sha256(b"a").hexdigest())
+    with pytest.raises(TypeError):
+        suffix_dedup.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 # ------------------------------------------------------- nearest neighbours
@@ -377,6 +468,13 @@ def test_ann(spark):
         assert len(got[i]) == 20 and all(abs(s - x[v] @ x[i]) < 1e-9 for v, s in got[i])
     assert set(got) == set(range(0, 900, 20)) and hit >= 0.9 * 45 * 20
     assert ann.Index(df.limit(0)).search(queries.limit(0)).count() == 0
+    exact = defaultdict(list)
+    for r in index.search(queries, exact=True).orderBy("query_id", "rank").collect():
+        exact[r["query_id"]].append(r["vec_id"])
+    for i in range(0, 900, 20):
+        score = (x * x[i]).sum(1)
+        score[i] = -np.inf
+        assert exact[i] == np.lexsort((np.arange(900), -score))[:20].tolist()
     few = ann.Index(df.limit(4))
     assert few.search(few.rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))).count() == 12
 
@@ -417,6 +515,30 @@ def test_ann_many_lists(spark):
     assert n >= 300 and (low + high) / 2 >= 0.9
 
 
+def test_ann_shelves_and_copies(spark, monkeypatch):
+    """A third of all rows share one vector, an id repeats more often than a vector has replicas, and shelves and query blocks are small."""
+    monkeypatch.setattr(ann, "SHELF_ROWS", 64)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 4)
+    monkeypatch.setattr(ann, "BLOCK_SCORES", 500)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 6))
+    x[::3] = x[0]
+    ids = np.arange(600)
+    ids[5:205:4] = 5  # fifty rows of one id
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    index = ann.Index(df, list_rows=20)
+    got = defaultdict(list)
+    queries = spark.createDataFrame([(int(i), x[i].tolist()) for i in (0, 3, 40, 100, 599)], "query_id long, q array<double>")
+    for r in index.search(queries, exact=True).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for i in (0, 3, 40, 100, 599):
+        best = {}
+        for j, v in zip(ids.tolist(), (x * x[i]).sum(1).tolist()):
+            if j != i:
+                best[j] = max(best.get(j, -np.inf), v)
+        assert got[i] == [j for j, _ in sorted(best.items(), key=lambda p: (-p[1], p[0]))[:20]]
+
+
 # ---------------------------------------------------------- decontamination
 
 
