@@ -292,12 +292,6 @@ def oklab_roundtrip(spark, d):
     return lab.select("idx", *[F.abs(F.round(x, 4)).alias(c) for c, x in zip("lab", color.oklab_to_linear(*"lab"))])
 
 
-@query("oklab_q16")
-def oklab_q16(spark, d):
-    """Exact integer OKLab; checked against a Python mirror in the tests."""
-    return pixels(spark, d).select("idx", *[x.alias(c) for c, x in zip("lab", color.linear_to_oklab_q16("l", "a", "b"))])
-
-
 @query("srgb_transfer", f"{P}, c AS (SELECT idx, (abs(l) % 256) / 255.0::DOUBLE AS c FROM pixels), n AS (SELECT idx, CASE WHEN c <= 0.04045 THEN c / 12.92 ELSE pow((c + 0.055) / 1.055, 2.4) END AS lin, c FROM c) SELECT idx, round(lin, 7) AS linear, round(c, 6) AS back FROM n")
 def srgb_transfer(spark, d):
     c = pixels(spark, d).select("idx", color.srgb_to_linear((F.abs("l") % 256) / 255.0).alias("linear"))

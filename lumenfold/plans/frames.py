@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import kernels
 from lumenfold.operators import frames, sequence
 from lumenfold.plans.catalog import query
-from lumenfold.plans.inputs import PALETTE_SQL, TICKS_SQL, palette, pixels, table, ticks
+from lumenfold.plans.inputs import PALETTE_SQL, PIXELS_SQL, TICKS_SQL, palette, pixels, table, ticks
 from lumenfold.streaming import ticks as stream
 
 
@@ -51,8 +51,20 @@ def median_cut(spark, d):
     return frames.median_cut_frames(pixels(spark, d), 4)
 
 
-@query("kmeans_rounds")
+def _rounds_sql(rounds: int) -> str:
+    sql = f"WITH {PIXELS_SQL}, c0 AS (SELECT idx::INTEGER AS slot, l, a, b FROM pixels ORDER BY idx LIMIT 8)"
+    mean = lambda c: f"CASE WHEN sum({c}) < 0 THEN -((-sum({c})) // count(*)) ELSE sum({c}) // count(*) END::BIGINT AS {c}"
+    for k in range(rounds):
+        d2 = " + ".join(f"(p.{c} - q.{c}) * (p.{c} - q.{c})" for c in "lab")
+        sql += f", n{k} AS (SELECT p.idx, p.l, p.a, p.b, arg_min(q.slot, ({d2}, q.slot)) AS slot FROM pixels p, c{k} q GROUP BY ALL)"
+        sql += f", m{k} AS (SELECT slot, {', '.join(mean(c) for c in 'lab')} FROM n{k} GROUP BY slot)"
+        sql += f", c{k + 1} AS (SELECT c.slot, coalesce(m.l, c.l) AS l, coalesce(m.a, c.a) AS a, coalesce(m.b, c.b) AS b FROM c{k} c LEFT JOIN m{k} m USING (slot))"
+    return f"{sql} SELECT * FROM c{rounds}"
+
+
+@query("kmeans_rounds", _rounds_sql(3))
 def kmeans_rounds(spark, d):
+    """Three Lloyd steps over the pixels of all frames."""
     px = pixels(spark, d)
     return frames.cluster_large(px, px.orderBy("idx").limit(8).select(F.col("idx").cast("int").alias("slot"), "l", "a", "b"), 3)
 
@@ -72,24 +84,29 @@ def fed_average(spark, d):
     return m.select("model", F.round(digest, 6).alias("digest"))
 
 
-@query("gene_hash")
+#: SQL of a hash: words as eight bytes each, folded from the offset basis, and as a signed number.
+WORD_SQL = "list_transform(generate_series(0, 7), lambda k: (({w})::HUGEINT >> (8 * k)::INTEGER) & 255)"
+FOLD_SQL = "list_reduce(list_prepend(14695981039346656037::HUGEINT, {bytes}), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)"
+SIGNED_SQL = "(CASE WHEN {h} >= 9223372036854775808 THEN {h} - 18446744073709551616 ELSE {h} END)::BIGINT"
+
+
+def _gene_sql(words: list[str]) -> str:
+    """SQL of the hash of a list of non-negative words."""
+    return FOLD_SQL.format(bytes=" || ".join(WORD_SQL.format(w=w) for w in words))
+
+
+@query("gene_hash", f"WITH g AS (SELECT conv_id, turn, CASE WHEN turn > 0 THEN {_gene_sql(['2', 'conv_id', 'turn', '1', 'turn - 1'])} ELSE {_gene_sql(['2', 'conv_id', 'turn', '0'])} END AS h FROM conversations) SELECT conv_id, turn, {SIGNED_SQL.format(h='h')} AS gene_id FROM g")
 def gene_hash(spark, d):
     t = table(spark, d, "conversations").select("conv_id", "turn", F.array("conv_id", "turn").alias("payload"), F.when(F.col("turn") > 0, F.array(F.col("turn") - 1)).otherwise(F.array().cast("array<bigint>")).alias("parents"))
     return frames.gene_ids(t, "payload", "parents").select("conv_id", "turn", "gene_id")
 
 
-@query("hash_chain")
+@query("hash_chain", f"WITH RECURSIVE o AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations), c AS (SELECT conv_id, turn, i, {_gene_sql(['2', 'i', 'n', '1', '0'])} AS h FROM o WHERE i = 0 UNION ALL SELECT o.conv_id, o.turn, o.i, {_gene_sql(['2', 'o.i', 'o.n', '1', 'c.h'])} FROM c JOIN o ON o.conv_id = c.conv_id AND o.i = c.i + 1) SELECT conv_id, turn, {SIGNED_SQL.format(h='h')} AS link FROM c")
 def hash_chain(spark, d):
     t = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("n"))
     return frames.chain_hashes(t, "conv_id", "turn", "n")
 
 
-@query("two_nn_dimension")
-def two_nn_dimension(spark, d):
-    e = table(spark, d, "embeddings")
-    return frames.two_nn_dimension(e, ["label"], "vec_id", "embedding").select("label", F.round("dimension", 4).alias("dimension"))
-
-
 #: SQL of the burst's generator: products of 64-bit words as sums of halves.
 MIX = "(({a} % 4294967296) * ({b} % 4294967296) + ((({a} // 4294967296) * ({b} % 4294967296) + ({a} % 4294967296) * ({b} // 4294967296)) % 4294967296) * 4294967296) % 18446744073709551616"
 

@@ -53,6 +53,12 @@ def srgb8_oklab_q16(spark, d):
     return _bytes(spark, d).select("id", *[x.alias(c) for c, x in zip("lab", color.srgb8_to_oklab_q16("r", "g", "b"))])
 
 
+@query("oklab_q16", f"{P}, {_lab_q16_sql('pixels', 'idx', 'greatest(0, l)', 'greatest(0, a)', 'greatest(0, b)')} SELECT * FROM lab")
+def oklab_q16(spark, d):
+    """Exact integer OKLab of linear light; the tests also hold a Python mirror."""
+    return pixels(spark, d).select("idx", *[x.alias(c) for c, x in zip("lab", color.linear_to_oklab_q16("l", "a", "b"))])
+
+
 def _byte_sql(x: str) -> str:
     c = f"(least(65536, greatest(0, {x})) / 65536.0::DOUBLE)"
     return f"floor((CASE WHEN {c} <= 0.0031308 THEN {c} * 12.92 ELSE 1.055 * pow({c}, 1 / 2.4::DOUBLE) - 0.055 END) * 255.0 + 0.5)::INTEGER"

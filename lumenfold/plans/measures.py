@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenfold.operators import assign, geometry
+from lumenfold.operators import assign, frames, geometry
 from lumenfold.plans.catalog import query
 from lumenfold.plans.inputs import CURVES_SQL, PALETTE_SQL, PIXELS_SQL, palette, pixels, samples, table
 
@@ -62,6 +62,13 @@ def likelihood_dimension(spark, d):
     return e.select("label", F.round("dimension", 6).alias("dimension"))
 
 
+@query("two_nn_dimension", f"WITH {VECTORS}, r AS (SELECT *, row_number() OVER (PARTITION BY label, vec_id ORDER BY d) AS k FROM d WHERE d > 0), e AS (SELECT label, vec_id, max(d) FILTER (WHERE k = 1) AS a, max(d) FILTER (WHERE k = 2) AS b FROM r GROUP BY ALL) SELECT label, round(count(*) / sum(ln(b / a)), 4) AS dimension FROM e GROUP BY label")
+def two_nn_dimension(spark, d):
+    """From the ratio of the two least distances of each point; equal vectors count once."""
+    e = table(spark, d, "embeddings")
+    return frames.two_nn_dimension(e, ["label"], "vec_id", "embedding").select("label", F.round("dimension", 4).alias("dimension"))
+
+
 @query("correlation_dimension", f"WITH {VECTORS}, m AS (SELECT label, max(d) AS m FROM d GROUP BY label), c AS (SELECT d.label, k, m * pow(2.0, -0.5 * k) AS r, count(*) FILTER (WHERE d < m * pow(2.0, -0.5 * k)) / count(*)::DOUBLE AS c FROM d JOIN m USING (label), generate_series(1, 12) t(k) GROUP BY d.label, k, m) SELECT label, CASE WHEN count(*) >= 2 THEN round(regr_slope(ln(c), ln(r)), 5) END AS dimension FROM c WHERE c > 0.02 AND c < 0.8 GROUP BY label")
 def correlation_dimension(spark, d):
     e = geometry.correlation_dimension(_near(spark, d), ["label"])

@@ -84,12 +84,29 @@ def covariance_barycenter(spark, d):
     c = assign.covariance(pixels(spark, d).select("frame", *[(F.col(x) / 65536.0).alias(x) for x in "lab"]), ["frame"])
     m = c.select(F.lit(0).alias("g"), F.array("c_ll", "c_la", "c_lb", "c_la", "c_aa", "c_ab", "c_lb", "c_ab", "c_bb").alias("c"))
     b = models.barycenters(m, "g", "c", 3)
-    return b.select("g", F.round(F.col("barycenter")[0], 8).alias("ll"), F.round("spread", 8).alias("spread"))
+    return b.select("g", F.transform("barycenter", lambda x: F.round(x, 8)).alias("barycenter"), F.round("spread", 8).alias("spread"))
 
 
-@query("octant_budget", f"WITH {TICKS_SQL} SELECT 1000::BIGINT AS cells")
+def _split_sql(source: str, out: str, weight: str, total: str) -> str:
+    """CTEs that share ``total`` of each parent among its children m by largest remainder."""
+    return (
+        f"{out}_b AS (SELECT *, {total} * {weight} // sum({weight}) OVER (PARTITION BY parent) AS base, {total} * {weight} % sum({weight}) OVER (PARTITION BY parent) AS rem FROM {source}), "
+        f"{out}_k AS (SELECT *, {total} - sum(base) OVER (PARTITION BY parent) AS spare, row_number() OVER (PARTITION BY parent ORDER BY rem DESC, m) AS k FROM {out}_b), "
+        f"{out} AS (SELECT m, (base + CASE WHEN k <= spare THEN 1 ELSE 0 END)::BIGINT AS cells FROM {out}_k)"
+    )
+
+
+MORTON_SQL = " + ".join(f"((({c} >> {b}) & 1) << {3 * b + lane})" for b in range(2) for lane, c in enumerate(("x", "y", "t")))
+
+
+@query(
+    "octant_budget",
+    f"WITH {TICKS_SQL}, v AS (SELECT burst % 4 AS t, tick_id % 4 AS y, tick_id // 4 % 4 AS x, count(*) AS w FROM ticks GROUP BY ALL), leaf AS (SELECT ({MORTON_SQL})::BIGINT AS m, w FROM v), "
+    "one AS (SELECT m >> 3 AS m, 0 AS parent, sum(w)::BIGINT AS w FROM leaf GROUP BY ALL), " + _split_sql("one", "first", "w", "1000") + ", "
+    "two AS (SELECT leaf.m, leaf.m >> 3 AS parent, w::BIGINT AS w, cells FROM leaf JOIN first ON first.m = leaf.m >> 3 WHERE cells > 0), " + _split_sql("two", "share", "w", "cells") + " SELECT m, cells FROM share WHERE cells > 0",
+)
 def octant_budget(spark, d):
-    """Cells given to voxels always add up to the budget."""
+    """Cells of a budget of 1,000 given to the voxels of a 4-cube, octant by octant."""
     t = ticks(spark, d)
     w = t.groupBy((F.col("burst") % 4).alias("t"), (F.col("tick_id") % 4).alias("y"), (trunc_div("tick_id", 4) % 4).alias("x")).agg(F.count("*").alias("w"))
-    return models.octant_budget(w, 2, 1000).agg(F.sum("cells").alias("cells"))
+    return models.octant_budget(w, 2, 1000)
