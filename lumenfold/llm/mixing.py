@@ -65,7 +65,7 @@ def mix_counts(rows: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS,
     hint = F.broadcast if small else (lambda df: df)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     plan = targets.select("source", "source_size", "target", whole.alias("whole")).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    p = F.col("rest") / F.col("source_size")
+    p = F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
     ranked = rows.join(hint(plan.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     ranked = ranked.withColumn("_p", p).withColumn("rank", F.when(F.col("_p") > 0, u / (1 - u) * (1 - F.col("_p")) / F.col("_p")).otherwise(F.lit(float("inf"))))
