@@ -97,7 +97,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # votes per diagonal; copies: how often the same row occurs
     diagonal = votes.groupBy(*doc, "template", "label", "exact", "n_grams", (F.col("pos") - F.col("place")).alias("diagonal")).agg(
         F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("place").alias("places"))
-    # a document that holds a template many times has one span a diagonal, so groups stay small
+    # one element a diagonal; those of notices that cannot reach their cover in this text go before spans are merged
     by_doc = diagonal.groupBy(*doc).agg(
         F.sum(F.when(F.col("template") == -1, F.col("votes"))).alias("copies"),
         F.array_sort(F.collect_list(F.when(F.col("template") >= 0, F.struct("template", "diagonal", "first", "last", "places", "n_grams", "label", "exact")))).alias("hits"),
@@ -106,11 +106,20 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.filter("hits", lambda h: h["exact"] & (F.size(h["places"]) == h["n_grams"])),
         lambda h: F.struct(h["exact"], h["label"], h["diagonal"].alias("start"), (h["diagonal"] + h["n_grams"] + (k - 1)).alias("end"), F.lit(1.0).alias("cover")),
     )
-    loose = _merged(F.filter("hits", lambda h: ~h["exact"]), k, least_cover)
+    able = F.array(*[F.lit(None).cast("int"), *[_able(number, least_cover) for number in range(len(phrases), len(phrases) + len(notices))]])
+    loose = _merged(F.filter(F.col("hits"), lambda h: ~h["exact"] & F.array_contains("able", h["template"])), k, least_cover)
+    by_doc = by_doc.withColumn("able", able)
     spans = F.array_sort(F.concat(exact, loose))
     return by_doc.withColumn("spans", spans).select("doc_id", "n_words", "spans", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_n")).drop("_n")
 
 
+def _able(template: int, least_cover: float):
+    """The template's number if the text holds enough of its places on whatever diagonals, else null."""
+    own = F.filter("hits", lambda h: h["template"] == template)
+    places = F.size(F.array_distinct(F.flatten(F.transform(own, lambda h: h["places"]))))
+    return F.when(places >= F.get(own, 0)["n_grams"] * least_cover, F.lit(template))
+
+
 def _merged(hits, k: int, least_cover: float):
     """Merge neighbouring diagonals of one template, in order of template and diagonal; keep what covers enough."""
     kind = "array<struct<template:int,diagonal:int,first:int,last:int,places:array<int>,n_grams:int,label:string>>"
