@@ -43,7 +43,9 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 #: Largest chance of comparing a pair of half the threshold's similarity.
 FALSE_SHARE = 0.25
-BLOCK = 256
+BLOCK = 512
+#: A node with more comparisons than this has them dealt over several tasks, each with a copy of its set.
+STAR = 1000
 #: Buckets of more nodes than this are compared inside tasks, block by block.
 CROWD = 32
 BITS = 48
@@ -219,9 +221,13 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 keep.append(both >= threshold * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("ngrams").alias("q")), "b")
-    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("ngrams").alias("p")), "a").select("a", "b", "p", "q")
-    return both.mapInArrow(run, "a binary, b binary")
+    hot = stored(pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > STAR).select("a", F.ceil(F.col("n") / STAR).cast("int").alias("parts")), "jaccard-hot")
+    hint = F.broadcast if fits_broadcast(hot.count(), KEY_BYTES) else (lambda df: df)
+    one = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(hint(hot), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), one).cast("int").alias("part"))
+    with_b = dealt.join(sets.select(F.col("node").alias("b"), F.col("ngrams").alias("q")), "b")
+    own = sets.select(F.col("node").alias("a"), F.col("ngrams").alias("p")).join(hint(hot), "a", "left").select("a", "p", F.explode(F.sequence(F.lit(0), one - 1)).alias("part"))
+    return with_b.join(own, ["a", "part"]).select("a", "b", "p", "q").mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -391,3 +397,18 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def op3_jaccard(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+        list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT rid, array_to_string(w[i : i + 4], ' ') AS g FROM d, LATERAL (SELECT unnest(generate_series(1, greatest(1, len(w) - 4))) AS i) WHERE len(w) > 0),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 5 * shared >= 4 * (x.n + y.n - shared)
+    UNION SELECT x.rid, y.rid FROM d x JOIN d y ON x.rid < y.rid AND x.text = y.text AND len(x.w) = 0 AND len(y.w) = 0),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT rid, rid AS c FROM d UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.rid),
+k AS (SELECT r.rid, min(d.doc_id) AS class_id FROM r JOIN d ON d.rid = r.c GROUP BY r.rid)
+SELECT doc_id, class_id, (SELECT count(*) FROM l WHERE l.a = d.rid) AS n_links FROM d JOIN k USING (rid)
+"""
