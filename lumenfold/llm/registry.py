@@ -19,6 +19,8 @@ QUERIES = {
 
 ORACLES = {
     "op1_url_filter": url_filter.SQL,
+    "op3_jaccard": jaccard_join.SQL,
+    "op7_suffix_dedup": suffix_dedup.SQL,
     "op9_decontaminate": decontaminate.SQL,
     "op10_mix": mixing.SQL,
 }

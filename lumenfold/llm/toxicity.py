@@ -181,7 +181,7 @@ class Model:
     """Lexicon, trees and calibration; without trees every score is ``prior``."""
 
     def __init__(self, lexicon: Lexicon, x: np.ndarray, y: np.ndarray, folds: int = 4):
-        self.lexicon, self.trees = lexicon, None
+        self.lexicon, self.trees, self.rows = lexicon, None, len(y)
         self.prior = float((y.sum() + 0.5) / (len(y) + 10)) if len(y) else 0.05
         if min(y.sum(), len(y) - y.sum()) < MIN_CLASS:
             return

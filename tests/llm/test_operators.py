@@ -217,11 +217,61 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs.limit(0), none).count() == 0
 
 
-def test_isotonic_is_monotone():
+def test_toxicity_repeated_ids_stay_bounded(spark):
+    rows = [(i % 3, f"text {i} bad{i % 2}", "x") for i in range(400)] + [(7, "same", "y")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    marks = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (7, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks, max_train_rows=50)
+    assert model.rows == 50
+    kept = toxicity.clean_documents(docs, model)
+    assert kept.columns == docs.columns and {r["score"] for r in kept.collect()} <= {"x", "y"}
+
+
+def brute_features(text, lexicon):
+    raw = (text or "").encode()
+    w = [x.encode() for x in words(text)]
+    weight = lambda x: max([lexicon.weights.get(x + b" ", 0.0)] + [lexicon.weights.get(x[:n], 0.0) for n in (4, 5, 6) if len(x) >= n])
+    hit = [i for i, x in enumerate(w) if weight(x) > 0 or x in toxicity.SEED_LEXICON]
+    n, size = max(1, len(w)), max(1, len(raw))
+    near = sum(any(x in toxicity.SECOND_PERSON for x in w[max(0, i - 5) : i + 6]) for i in hit)
+    capitals, marks = sum(65 <= c <= 90 for c in raw), sum(chr(c) in toxicity.PUNCTUATION.decode() for c in raw)
+    odd = [m[0] for m in re.finditer(r"(?<![A-Za-z0-9])[A-Za-z]+[@$0-9!*._-]+[A-Za-z][A-Za-z@$0-9!*._-]*", text or "", re.ASCII)]
+    plain = [re.sub(r"[*._-]", "", o.translate(str.maketrans("@4310$5!7", "aaeiossit"))).lower().encode() for o in odd]
+    return [
+        len(hit) / n, math.log1p(len(hit)), math.log1p(len({w[i] for i in hit})), max([weight(w[i]) for i in hit], default=0.0), sum(x in toxicity.SEED_LEXICON for x in w) / n, near / n,
+        sum(x in toxicity.SECOND_PERSON for x in w) / n, capitals / size, float(capitals > size * 0.3), (text or "").count("!") / n, marks / size, len(odd) / n,
+        math.log1p(sum(p in toxicity.SEED_LEXICON or weight(p) > 0 for p in plain)), math.log1p(len(w)),
+    ]
+
+
+def test_toxicity_features():
+    lexicon = toxicity.Lexicon({b"grum": 3.0, b"zorkig ": 4.0, b"blarga": 5.0})
+    texts = [None, "", "!!!", "You GRUMPF! you zorkig, blargaeiou idiot", "zorkigs are fine, ich und du tú", "st*pid i.d.i.o.t gr4mpf m0ron b1argae", "A B C " * 50_000 + "stupid you", "é" * 30 + " YOUR\x00scum"]
+    for t in texts:
+        assert toxicity.features(t, lexicon) == pytest.approx(brute_features(t, lexicon))
+
+
+def test_one_tree_and_isotonic_fit():
     rng = np.random.default_rng(1)
-    m = rng.normal(size=300)
-    knots, share = toxicity.isotonic(m, (rng.random(300) < 1 / (1 + np.exp(-3 * m))).astype(float))
+    x = rng.integers(0, 9, (200, 3)).astype(float)
+    y = (x[:, 1] > 4).astype(float) * (rng.random(200) < 0.9)
+    t = toxicity.Trees(rounds=1, depth=1, rate=1.0, bins=48).fit(x, y)
+    p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    g, h = y - p, np.full(200, p * (1 - p))
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    best = max(score(x[:, f] <= c) + score(x[:, f] > c) for f in range(3) for c in range(8) if min(h[x[:, f] <= c].sum(), h[x[:, f] > c].sum()) >= 1)
+    side = t.margin(x) == t.margin(x)[0]
+    assert score(side) + score(~side) == pytest.approx(best)
+    for part in (side, ~side):
+        assert t.margin(x[part])[0] == pytest.approx(math.log(p / (1 - p)) + g[part].sum() / (h[part].sum() + 1))
+    m = rng.normal(size=60)
+    v = (rng.random(60) < 1 / (1 + np.exp(-3 * m))).astype(float)
+    knots, share = toxicity.isotonic(m, v)
     assert (np.diff(knots) > 0).all() and (np.diff(share) >= 0).all()
+    o = v[np.argsort(m)]  # the monotone fit by its max-min formula
+    fit = [max(min(o[i : j + 1].mean() for j in range(k, 60)) for i in range(k + 1)) for k in range(60)]
+    blocks = [(f, fit.count(f)) for f in sorted(set(fit))]
+    assert share == pytest.approx([(f * n + 0.02) / (n + 0.04) for f, n in blocks])
 
 
 # ---------------------------------------------------------------- licenses
@@ -249,6 +299,55 @@ def test_license_notice_with_an_insertion(spark):
     assert [(s["label"], s["start"], s["end"]) for s in spans] == [("bsd", 2, 3 + len(notice))]
 
 
+def brute_license(t, k=licenses.K):
+    """(labels, best cover) of one text: exact phrases, and notices by diagonals that lie near each other."""
+    w, labels, best = words(t), set(), 0.0
+    grams = lambda v: [tuple(v[i : i + k]) for i in range(len(v) - k + 1)]
+    for phrase, label in licenses.PHRASES:
+        q = phrase.split()
+        if any(w[i : i + len(q)] == q for i in range(len(w))):
+            labels.add(label)
+            best = 1.0
+    for notice, label in licenses.NOTICES:
+        q, diagonals = grams(words(notice)), defaultdict(list)
+        for p, gram in enumerate(grams(w)):
+            for place, other in enumerate(q):
+                if gram == other:
+                    diagonals[p - place].append((p, place))
+        groups = []
+        for d in sorted(diagonals):
+            first, last = min(p for p, _ in diagonals[d]), max(p for p, _ in diagonals[d])
+            places = {x for _, x in diagonals[d]}
+            g = groups[-1] if groups else None
+            if g and d - g[0] <= licenses.DRIFT and first - g[2] <= len(q) and g[1] - last <= len(q):
+                groups[-1] = d, min(g[1], first), max(g[2], last), g[3] | places
+            else:
+                groups.append((d, first, last, places))
+        for _, _, _, places in groups:
+            if len(places) >= licenses.LEAST_COVER * len(q):
+                labels.add(label)
+                best = max(best, len(places) / len(q))
+    return ",".join(sorted(labels)), best
+
+
+def test_license_labels_and_scores(spark, docs):
+    rng = np.random.default_rng(31)
+    rows = []
+    for i in range(60):
+        w = licenses.NOTICES[i % len(licenses.NOTICES)][0].split()
+        for _ in range(i % 7):  # words put in, left out and changed
+            p = int(rng.integers(len(w)))
+            w[p : p + int(rng.integers(2))] = ["of", "the"][: int(rng.integers(3))]
+        rows.append((800 + i, f"{syllables(i, 5)} {' '.join(w).upper()}, {syllables(i + 60, 5)} " + ("of the " * 300 if i % 10 == 0 else "")))
+    rows += [(990, " ".join(licenses.NOTICES[0][0] for _ in range(400))), (991, "the software of any " * 20_000), (991, "the software of any " * 20_000)]
+    every = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    out = licenses.scan_licenses(every)
+    labels = F.array_join(F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["label"]))), ",")
+    got = out.select("doc_id", labels, F.coalesce(F.array_max(F.transform("spans", lambda s: s["cover"])), F.lit(0.0))).collect()
+    want = [(i, *brute_license(t)) for i, t in rows_of(every)]
+    assert sorted(str(tuple(r)) for r in got) == sorted(map(str, want)) and sum(bool(x) for _, x, _ in want) > 40
+
+
 # --------------------------------------------------------------------- PII
 
 PATTERNS = {
@@ -327,7 +426,7 @@ def test_dense_texts(spark):
     mails = " ".join(f"é user{i}@mail{i % 7}.example.com" for i in range(36_000))
     cards = " ".join(["4111 1111 1111 1111,"] * 50_000)
     rare = " ".join(f"word{i}x" for i in range(4_000)) + " one@only.example.com"
-    rows = [(1, mails), (2, cards), (3, rare), *[(10 + i, "plain words") for i in range(30)]]
+    rows = [(1, mails), (2, cards), (3, rare), *[(10 + i, "plain words") for i in range(300)]]
     began = time.time()
     got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     print("dense texts:", time.time() - began)
@@ -337,7 +436,7 @@ def test_dense_texts(spark):
     assert got[3]["sanitised"] == " ".join(["[email]"] * 4_001) and got[2]["sanitised"] == " ".join(["[card],"] * 50_000)
 
 
-def brute_terms(rows, alpha=pii.ALPHA, least=pii.LEAST_DOCS):
+def brute_terms(rows, alpha=pii.ALPHA):
     """Per row the sorted places of disclosing terms."""
     docs = []
     for _, t in rows:
@@ -357,11 +456,14 @@ def brute_terms(rows, alpha=pii.ALPHA, least=pii.LEAST_DOCS):
         both.update((t, e) for t in terms for e in entities)
     telling = set()
     for (t, e), b in both.items():
-        enough = b >= least if isinstance(e, str) else b > 1 or n_term[t] == 1
+        m, z = n_term[t], 1.645**2
+        share = (b + z / 2 - 1.645 * math.sqrt(b * (m - b) / m + z / 4)) / (m + z)
         p = holds[e] / n
-        if n_term[t] == 1 and not isinstance(e, str):
-            p, enough = 1 / n, True
-        if enough and p < 1 and math.log(b / n_term[t] / p) >= -alpha * math.log(p) - 1e-12:
+        if m == 1 and not isinstance(e, str):
+            p = 1 / n
+        elif m == 1 or b == 1 and not isinstance(e, str):
+            continue
+        if p < 1 and math.log(share / p) >= -alpha * math.log(p) - 1e-12:
             telling.add(t)
     return [sorted((a, b) for a, b, w in places if w in telling) for places, _, _ in docs]
 
@@ -369,12 +471,13 @@ def brute_terms(rows, alpha=pii.ALPHA, least=pii.LEAST_DOCS):
 def test_terms_match_brute_force(spark, docs):
     rng = np.random.default_rng(21)
     names = [f"nam{i}" for i in range(30)]
-    rows = [(200 + i, f"{syllables(i, 10)} {names[i % 30]} mail{i % 6}@x.example.com {names[rng.integers(30)]} 7 10.0.0.{i % 4}" if i % 3 else f"{syllables(i, 6)} {names[rng.integers(30)]}") for i in range(90)]
+    rows = [(200 + i, f"{syllables(i, 10)} own{i % 12} mail{i % 12}@x.example.com {names[rng.integers(30)]} 7 10.0.0.{i % 4}" if i % 3 else f"{syllables(i, 6)} {names[rng.integers(30)]}") for i in range(90)]
     every = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
     all_rows = rows_of(every)
     got = sorted(str((r["doc_id"], sorted((s["start"], s["end"]) for s in r["terms"]))) for r in pii.find_personal_data(every).collect())
     want = [str((i, t)) for (i, _), t in zip(all_rows, brute_terms(all_rows))]
-    assert got == sorted(want) and sum("[(" in w for w in want) > 20
+    assert got == sorted(want)
+    assert sum("[(" in w for w in want) > 60
 
 
 # ------------------------------------------------------ suffix-array dedup
@@ -413,11 +516,12 @@ def test_suffix_order_and_prefixes():
     seg = np.repeat(np.arange(len(starts)), ends - 99 - starts)
     raw = data.tobytes()
     want = [raw[p : p + 100] for p in windows]
-    order = suffix_dedup.window_order(data, windows)
+    order, rank = suffix_dedup.window_order(data, windows)
     assert [want[i] for i in order] == sorted(want)
-    got = suffix_dedup.common_prefixes(data, windows, seg, order)
+    got = suffix_dedup.common_prefixes(data, windows, seg, order, rank)
     common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), 100)
-    assert got.tolist() == [0] + [common(want[a], want[b]) for a, b in zip(order[:-1], order[1:])]
+    true = [common(want[a], want[b]) for a, b in zip(order[:-1], order[1:])]
+    assert got.tolist() == [0] + [x if x >= 64 else 0 for x in true] and len({x for x in true if 64 <= x < 100}) > 5
     first = {}
     for i, w in enumerate(want):
         first.setdefault(w, i)
