@@ -55,7 +55,7 @@ def _split(schema: str) -> list[str]:
     return [*out, part]
 
 
-def read_volumes(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def decode_volumes(files: DataFrame, strict: bool = True) -> DataFrame:
     """stem, t, y, x, l, a, b of every voxel of the .volume.npy files."""
 
     def rows(stem, data):
@@ -65,10 +65,15 @@ def read_volumes(spark: SparkSession, path: str, strict: bool = True) -> DataFra
                 for x in range(v.shape[2]):
                     yield (stem, t, y, x, *(int(c) for c in v[t, y, x]))
 
-    return _decode(_files(spark, path, ".volume.npy"), "stem string, t int, y int, x int, l int, a int, b int", rows, strict)
+    return _decode(files, "stem string, t int, y int, x int, l int, a int, b int", rows, strict)
 
 
-def read_records(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_volumes(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """:func:`decode_volumes` of the files of a folder."""
+    return decode_volumes(_files(spark, path, ".volume.npy"), strict)
+
+
+def decode_records(files: DataFrame, strict: bool = True) -> DataFrame:
     """One row per capture record (.s4cr): version, window, frame times, weave and exposures."""
 
     def rows(stem, data):
@@ -76,10 +81,15 @@ def read_records(spark: SparkSession, path: str, strict: bool = True) -> DataFra
         ev = [{"dur_us": a, "iso_milli": b, "ev_cs": c} for a, b, c in r.get("ev") or []]
         yield stem, r["v"], r.get("win"), r.get("d0"), r.get("weave"), r.get("dtus"), r.get("s16"), ev
 
-    return _decode(_files(spark, path, ".s4cr"), "stem string, v int, win int, d0 int, weave array<int>, dtus array<bigint>, s16 array<bigint>, ev array<struct<dur_us:bigint,iso_milli:bigint,ev_cs:bigint>>", rows, strict)
+    return _decode(files, "stem string, v int, win int, d0 int, weave array<int>, dtus array<bigint>, s16 array<bigint>, ev array<struct<dur_us:bigint,iso_milli:bigint,ev_cs:bigint>>", rows, strict)
 
 
-def read_gifs(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_records(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """:func:`decode_records` of the files of a folder."""
+    return decode_records(_files(spark, path, ".s4cr"), strict)
+
+
+def decode_gifs(files: DataFrame, strict: bool = True) -> DataFrame:
     """One row per frame: its palette (array of r, g, b) and its indices, row by row."""
 
     def rows(stem, data):
@@ -87,7 +97,12 @@ def read_gifs(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
         for t, (palette, indices, delay) in enumerate(frames):
             yield stem, t, w, h, delay, [list(c) for c in palette], indices
 
-    return _decode(_files(spark, path, ".gif"), "stem string, t int, width int, height int, delay_cs int, palette array<array<int>>, indices array<int>", rows, strict)
+    return _decode(files, "stem string, t int, width int, height int, delay_cs int, palette array<array<int>>, indices array<int>", rows, strict)
+
+
+def read_gifs(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """:func:`decode_gifs` of the files of a folder."""
+    return decode_gifs(_files(spark, path, ".gif"), strict)
 
 
 def gif_pixels(gifs: DataFrame) -> DataFrame:
@@ -96,9 +111,14 @@ def gif_pixels(gifs: DataFrame) -> DataFrame:
     return p.select("stem", "t", F.call_function("div", F.col("i"), F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).alias("x"), "slot")
 
 
+def decode_carriers(files: DataFrame) -> DataFrame:
+    """stem, status and payload of the carrier in each file (stem, content)."""
+    return _decode(files, "stem string, status string, payload binary", lambda stem, data: iter([(stem, *codecs.extract_carrier(data))]), True)
+
+
 def read_carriers(spark: SparkSession, path: str, suffix: str = ".gif") -> DataFrame:
-    """stem, status and payload of the carrier in each file."""
-    return _decode(_files(spark, path, suffix), "stem string, status string, payload binary", lambda stem, data: iter([(stem, *codecs.extract_carrier(data))]), True)
+    """:func:`decode_carriers` of the files of a folder."""
+    return decode_carriers(_files(spark, path, suffix))
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -197,9 +217,14 @@ def import_bundle(spark: SparkSession, store: DataFrame, path: str, key: str) ->
     return publish(store, rows, key), rows.count()
 
 
-def read_weights(spark: SparkSession, path: str, count: int, strict: bool = True) -> DataFrame:
+def decode_weights(files: DataFrame, count: int, strict: bool = True) -> DataFrame:
     """stem, i, w of blobs of ``count`` little-endian 32-bit floats; another length is refused."""
-    return _decode(_files(spark, path, ".weights"), "stem string, i int, w double", lambda stem, data: ((stem, i, w) for i, w in enumerate(codecs.unpack_weights(data, count))), strict)
+    return _decode(files, "stem string, i int, w double", lambda stem, data: ((stem, i, w) for i, w in enumerate(codecs.unpack_weights(data, count))), strict)
+
+
+def read_weights(spark: SparkSession, path: str, count: int, strict: bool = True) -> DataFrame:
+    """:func:`decode_weights` of the files of a folder."""
+    return decode_weights(_files(spark, path, ".weights"), count, strict)
 
 
 def weights_json(weights: DataFrame) -> DataFrame:
@@ -209,10 +234,15 @@ def weights_json(weights: DataFrame) -> DataFrame:
     return weights.groupBy("stem").agg(listed.alias("w")).select("stem", F.size("w").alias("count"), F.sha2(body.cast("binary"), 256).alias("sha256"), body.alias("json"))
 
 
-def read_swaps(spark: SparkSession, path: str, suffix: str = ".gif") -> DataFrame:
-    """stem, status, minted, parents and weights of the swap block in each file."""
+def decode_swaps(files: DataFrame) -> DataFrame:
+    """stem, status, minted, parents and weights of the swap block in each file (stem, content)."""
     kind = "stem string, status string, minted int, parents array<bigint>, weights array<int>"
-    return _decode(_files(spark, path, suffix), kind, lambda stem, data: iter([(stem, *codecs.extract_swap(data))]), True)
+    return _decode(files, kind, lambda stem, data: iter([(stem, *codecs.extract_swap(data))]), True)
+
+
+def read_swaps(spark: SparkSession, path: str, suffix: str = ".gif") -> DataFrame:
+    """:func:`decode_swaps` of the files of a folder."""
+    return decode_swaps(_files(spark, path, suffix))
 
 
 def read_bundles(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:

@@ -107,3 +107,11 @@ def test_box_histogram_refusals(spark):
     with pytest.raises(Exception):
         sequence.box_histogram(v, 8, 8, 8, 2, 4, 4, 8).collect()
     assert frames.per_group(v, "t", "t long, n int", lambda k, pdf: [(k, len(pdf))]).first()["n"] == 1
+
+
+def test_anchored_palettes(spark):
+    rows = QUERIES["anchored_palettes"](spark, DATA).collect()
+    wanted = {(0, 0, 0), (30_000, 1000, -1000), (60_000, -5000, 5000)}
+    for frame in {r["frame"] for r in rows}:
+        own = [(r["l"], r["a"], r["b"]) for r in rows if r["frame"] == frame]
+        assert wanted <= set(own) and len(own) == 16
