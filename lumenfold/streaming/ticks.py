@@ -124,3 +124,26 @@ def run_updates(stream: DataFrame, name: str) -> DataFrame:
     q = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.option("basePath", path).parquet(path)
+
+
+def fill_buffer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Readings are held until a capture is full, then reported at once and forgotten."""
+    begun, held = state.get if state.exists else (0, [])
+    held, rows = list(held), []
+    pdf = in_order(batches)
+    for us, v in zip(pdf["us"].tolist(), pdf["v"].tolist()):
+        begun = begun if held else us
+        held.append(v)
+        if len(held) == BURST_TICKS:
+            rows.append((key[0], begun, sum(held), max(held)))
+            held = []
+    if held:
+        state.update((begun, held))
+    elif state.exists:
+        state.remove()
+    yield pd.DataFrame(rows, columns=["burst", "begun", "total", "high"])
+
+
+def full_captures(ticks: DataFrame) -> DataFrame:
+    """ticks: burst, ts, tick_id, v, streaming. One row for each full capture: when it began, its sum and its highest reading."""
+    return ticks.groupBy("burst").applyInPandasWithState(fill_buffer, "burst long, begun long, total long, high long", "begun long, held array<bigint>", "append", GroupStateTimeout.NoTimeout)
