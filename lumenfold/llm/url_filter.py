@@ -30,6 +30,8 @@ from lumenfold.llm.common import lower_ascii, table
 URL_PATTERN = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 #: The contract's rules.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+#: Tasks over which one key of the join form is dealt.
+SALTS = 16
 MAX_BROADCAST_RULES = 200_000
 
 
@@ -115,24 +117,30 @@ def _by_trie(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 
 def _by_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Candidates of a distinct (host, path) are its host suffixes times its whole path prefixes."""
+    """Candidates of a distinct (host, path) are its host suffixes times its whole path prefixes.
+
+    Most urls share a suffix such as ``com`` and many may share one host and
+    path, so both joins deal their keys over ``SALTS`` tasks.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     keyed = rules.select(
         lower_ascii(F.substring_index("rule", "/", 1)).alias("_h"),
         F.regexp_extract("rule", r"^[^/]*((?:/.*)?/)[^/]*$", 1).alias("_p"),
         F.regexp_extract("rule", r"([^/]*)$", 1).alias("_tail"),
-        F.expr("instr(rule, '/') > 0").alias("_slash"), "rule", "action",
+        F.expr("instr(rule, '/') > 0").alias("_slash"), "rule", "action", salts.alias("_salt"),
     )
     distinct = pages.select("_host", "_path").distinct()
     labels = F.split("_host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     pieces = F.split("_path", "/", -1)
     prefixes = F.when(F.col("_path").startswith("/"), F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.concat(F.array_join(F.slice(pieces, 1, i), "/"), F.lit("/"))))).otherwise(F.array(F.lit("")))
-    keys = distinct.withColumn("_h", F.explode(suffixes)).withColumn("_p", F.explode(prefixes))
-    hit = keys.join(keyed, ["_h", "_p"]).filter(~F.col("_slash") | F.substring(F.col("_path"), F.length("_p") + 1, 1 << 30).startswith(F.col("_tail")))
+    keys = distinct.withColumn("_salt", F.pmod(F.xxhash64("_host", "_path"), F.lit(SALTS)).cast("int")).withColumn("_h", F.explode(suffixes)).withColumn("_p", F.explode(prefixes))
+    hit = keys.join(keyed, ["_h", "_p", "_salt"]).filter(~F.col("_slash") | F.substring(F.col("_path"), F.length("_p") + 1, 1 << 30).startswith(F.col("_tail")))
     best = hit.groupBy("_host", "_path").agg(
         F.max(F.struct(F.length("rule").alias("n"), F.length("_h").alias("h"), (F.col("action") == "block").alias("b"), "rule", "action")).alias("_m")
     )
-    return pages.join(best, ["_host", "_path"], "left")
+    dealt = pages.withColumn("_salt", F.spark_partition_id() % SALTS)
+    return dealt.join(best.withColumn("_salt", salts), ["_host", "_path", "_salt"], "left")
 
 
 def filter_urls(pages: DataFrame, rules, url_col: str = "url", default: str = "allow", max_broadcast_rules: int = MAX_BROADCAST_RULES) -> DataFrame:
