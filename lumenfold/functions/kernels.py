@@ -411,3 +411,17 @@ def user_pairs(seed: int, users: int, clusters: int, pairs: int, width: int, spr
     d = rng.standard_normal((users, pairs, width))
     sign = np.where(np.einsum("umw,uw->um", d, taste) > 0, 1.0, -1.0) * np.where(rng.random((users, pairs)) < flips, -1, 1)
     return d * sign[..., None], group
+
+
+def psd_metric(anchor: np.ndarray, positive: np.ndarray, negative: np.ndarray, margin: float = 0.1, steps: int = 200, rate: float = 0.05) -> tuple[np.ndarray, float]:
+    """A lower triangle L whose metric L L' brings anchors nearer to positives than to negatives by a margin; and the mean hinge left."""
+    low, near, far = np.eye(anchor.shape[1]), anchor - positive, anchor - negative
+
+    def hinge():
+        return np.maximum(0.0, ((near @ low) ** 2).sum(1) - ((far @ low) ** 2).sum(1) + margin)
+
+    for _ in range(steps):
+        live = hinge() > 0
+        slope = 2 * (near[live].T @ near[live] - far[live].T @ far[live]) @ low / len(anchor)
+        low = low - rate * np.tril(slope)
+    return low, float(hinge().mean())

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenfold.functions import kernels
+from lumenfold.functions import kernels, signatures
 from lumenfold.functions.arith import trunc_div
 from lumenfold.operators import frames
 from lumenfold.plans.catalog import query
@@ -126,3 +126,31 @@ def band_head(spark, d):
     """The pooled first band regressed on the coarse value, in closed form."""
     o = _octants(spark, d)
     return o.groupBy(F.col("frame").cast("long").alias("frame")).agg(F.round(F.regr_slope("b0", "coarse"), 6).alias("slope"), F.round(F.regr_intercept("b0", "coarse"), 6).alias("intercept"))
+
+
+@query("psd_metric")
+def psd_metric(spark, d):
+    """A metric for every frame from triplets of a pixel, the next one and the seventh after: its six numbers, the loss and that of the plain metric."""
+
+    def fit(frame, pdf):
+        x = pdf.sort_values("idx")[["l", "a", "b"]].to_numpy(float) / 65536
+        if len(x) > 8:
+            a, p, n = x[:-7], x[1:-6], x[7:]
+            low, loss = kernels.psd_metric(a, p, n)
+            plain = np.maximum(0.0, ((a - p) ** 2).sum(1) - ((a - n) ** 2).sum(1) + 0.1).mean()
+            yield (int(frame), *(round(float(v), 8) for v in low[np.tril_indices(3)]), round(loss, 8), round(float(plain), 8))
+
+    return frames.per_group(pixels(spark, d), "frame", "frame long, m00 double, m10 double, m11 double, m20 double, m21 double, m22 double, loss double, plain double", fit)
+
+
+@query("signed_events", "SELECT n_nationkey AS id, true AS own, false AS other, false AS changed FROM nation")
+def signed_events(spark, d):
+    """A signature of every nation's event: good for its own key and message, for no other key and no other message."""
+
+    def check(nation, pdf):
+        key, other = (bytes([int(nation) + k]) * 32 for k in (0, 100))
+        text = str(pdf["n_name"].iloc[0]).encode()
+        made, public = signatures.sign(key, text), signatures.public_key(key)
+        yield int(nation), signatures.verify(public, text, made), signatures.verify(signatures.public_key(other), text, made), signatures.verify(public, text + b"!", made)
+
+    return frames.per_group(table(spark, d, "nation").withColumn("id", F.col("n_nationkey").cast("long")), "id", "id long, own boolean, other boolean, changed boolean", check)

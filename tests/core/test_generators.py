@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lumenfold.functions import kernels
+from lumenfold.functions import kernels, signatures
 from lumenfold.operators import frames, sequence
 from lumenfold.plans.registry import QUERIES
 
@@ -115,3 +115,25 @@ def test_anchored_palettes(spark):
     for frame in {r["frame"] for r in rows}:
         own = [(r["l"], r["a"], r["b"]) for r in rows if r["frame"] == frame]
         assert wanted <= set(own) and len(own) == 16
+
+
+def test_signatures():
+    """The first two test vectors of RFC 8032, and refusals."""
+    vectors = (
+        ("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60", "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a", "",
+         "e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bacc61e39701cf9b46bd25bf5f0595bbe24655141438e7a100b"),
+        ("4ccd089b28ff96da9db6c346ec114e0f5b8a319f35aba624da8cf6ed4fb8a6fb", "3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c", "72",
+         "92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da085ac1e43e15996e458f3613d0f11d8c387b2eaeb4302aeeb00d291612bb0c00"),
+    )
+    for key, public, message, made in (map(bytes.fromhex, v) for v in vectors):
+        assert signatures.public_key(key) == public and signatures.sign(key, message) == made and signatures.verify(public, message, made)
+        assert not signatures.verify(public, message + b"x", made) and not signatures.verify(public, message, made[:-1]) and not signatures.verify(bytes(32), message, made[:32] + b"\xff" * 32)
+
+
+def test_psd_metric():
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(200, 3))
+    p, n = a + rng.normal(size=(200, 3)) * [2, 0.1, 0.1], a + rng.normal(size=(200, 3)) * [2, 1, 1]
+    low, loss = kernels.psd_metric(a, p, n)
+    plain = np.maximum(0, ((a - p) ** 2).sum(1) - ((a - n) ** 2).sum(1) + 0.1).mean()
+    assert (np.triu(low, 1) == 0).all() and loss < 0.5 * plain and abs(low[0, 0]) < abs(low[1, 1])
