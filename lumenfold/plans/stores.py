@@ -27,13 +27,13 @@ def csv_scan(spark, d):
     return readers.read_csv(spark, path, "id long, name string, balance double")
 
 
-@query("golden_records", "SELECT n_nationkey AS seed, [n_nationkey, n_regionkey] AS out FROM nation")
+@query("golden_records", "SELECT n_nationkey AS seed, n_nationkey || ',' || n_regionkey AS out FROM nation")
 def golden_records(spark, d):
     """Expected records in one JSON document a region, exploded."""
     path = new_path(spark, "golden")
     rows = table(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_nationkey").alias("seed"), F.array("n_nationkey", "n_regionkey").alias("out"))).alias("records"))
     rows.write.partitionBy("n_regionkey").json(path)  # one document a file
-    return readers.read_golden(spark, path, "seed:long, out:array<long>")
+    return readers.read_golden(spark, path, "seed:long, out:array<long>").select("seed", F.array_join(F.col("out").cast("array<string>"), ",").alias("out"))
 
 
 @query("corpus_manifest", "SELECT n_name AS stem, true AS has_volume, n_regionkey = 1 AS has_record, false AS has_gif FROM nation")
@@ -62,7 +62,7 @@ def record_codec(spark, d):
     return got.select("stem", "v", "win", F.size("dtus").cast("long").alias("ticks"), F.aggregate("dtus", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), e["dur_us"].alias("exposure"), e["ev_cs"].alias("shift"))
 
 
-@query("gif_codec", f"{PP}, f AS (SELECT DISTINCT frame FROM palette), c AS (SELECT frame, (frame + i * i) % 16 AS slot, count(*) AS n, min(i)::INTEGER AS first FROM f, generate_series(0, 63) t(i) GROUP BY ALL) SELECT frame::VARCHAR AS stem, slot::INTEGER AS slot, n, first, [(slot * 16)::INTEGER, (255 - slot)::INTEGER, frame::INTEGER] AS colour FROM c")
+@query("gif_codec", f"{PP}, f AS (SELECT DISTINCT frame FROM palette), c AS (SELECT frame, (frame + i * i) % 16 AS slot, count(*) AS n, min(i)::INTEGER AS first FROM f, generate_series(0, 63) t(i) GROUP BY ALL) SELECT frame::VARCHAR AS stem, slot::INTEGER AS slot, n, first, (slot * 16) || ',' || (255 - slot) || ',' || frame AS colour FROM c")
 def gif_codec(spark, d):
     """A picture of 8 x 8 for every frame as an animation of one, assembled and decoded: the places of each colour."""
     f = palette(spark, d).select("frame").distinct()
@@ -70,7 +70,7 @@ def gif_codec(spark, d):
     frames = f.select(F.col("frame").cast("string").alias("capture"), F.lit(0).alias("t"), colours.alias("palette"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((F.col("frame") + i * i) % 16).cast("int")).alias("indices"))
     gifs = readers.decode_gifs(readers.assemble_gifs(frames, 8, 5).select(F.col("capture").alias("stem"), F.col("gif").alias("content")))
     px = readers.gif_pixels(gifs).groupBy("stem", "slot").agg(F.count("*").alias("n"), F.min(F.col("y") * 8 + F.col("x")).alias("first"))
-    return px.join(gifs.select("stem", "palette"), "stem").select("stem", "slot", "n", "first", F.element_at("palette", F.col("slot") + 1).alias("colour"))
+    return px.join(gifs.select("stem", "palette"), "stem").select("stem", "slot", "n", "first", F.array_join(F.element_at("palette", F.col("slot") + 1).cast("array<string>"), ",").alias("colour"))
 
 
 @query("volume_codec", f"{PP}, f AS (SELECT DISTINCT frame FROM palette) SELECT frame::VARCHAR AS stem, t::INTEGER AS t, (16 * (frame * 1000 + t * 100 + 37.5))::BIGINT AS l, (16 * (frame * 1000 + t * 100 + 38.5))::BIGINT AS a, max(frame * 1000 + t * 100 + y * 20 + x * 5 + 2)::INTEGER AS b FROM f, generate_series(0, 1) p(t), generate_series(0, 3) q(y), generate_series(0, 3) r(x) GROUP BY ALL")
@@ -110,7 +110,7 @@ def carrier_codec(spark, d):
     return c.select("stem", "status", F.sha2("payload", 256).alias("payload"))
 
 
-@query("swap_codec", f"{PP} SELECT frame::VARCHAR AS stem, 'ok' AS status, frame::INTEGER AS minted, [frame - 1::BIGINT, frame::BIGINT * 1000000007] AS parents, list(l::INTEGER ORDER BY slot) AS weights FROM palette GROUP BY frame")
+@query("swap_codec", f"{PP} SELECT frame::VARCHAR AS stem, 'ok' AS status, frame::INTEGER AS minted, (frame - 1) || ',' || (frame::BIGINT * 1000000007) AS parents, string_agg(l::VARCHAR, ',' ORDER BY slot) AS weights FROM palette GROUP BY frame")
 def swap_codec(spark, d):
     """Every palette's lightnesses as the weights of a swap block."""
 
@@ -119,7 +119,7 @@ def swap_codec(spark, d):
         return pd.Series([b"GIF89a" + codecs.wrap_swap(int(n), [int(n) - 1, int(n) * 1000000007], [int(w) for w in ws]) + b";" for n, ws in zip(frame, weights)])
 
     p = palette(spark, d).groupBy("frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "l"))), lambda s: s["l"]).alias("w"))
-    return readers.decode_swaps(p.select(F.col("frame").cast("string").alias("stem"), wrap("frame", "w").alias("content"))).drop("error")
+    return readers.decode_swaps(p.select(F.col("frame").cast("string").alias("stem"), wrap("frame", "w").alias("content"))).select("stem", "status", "minted", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("parents", "weights")])
 
 
 @query("lut_lines", "SELECT -1 AS k, 'LUT_3D_SIZE 4' AS value UNION ALL SELECT (b * 4 + g) * 4 + r, printf('%.6f %.6f %.6f', r / 3.0::DOUBLE, g / 6.0::DOUBLE, b / 12.0::DOUBLE) FROM generate_series(0, 3) x(r), generate_series(0, 3) y(g), generate_series(0, 3) z(b)")
