@@ -6,15 +6,16 @@ a document of smaller id, or earlier in the same one). Positions:
 1. Whole copies: of documents with equal texts all but the first go whole.
 2. Anchors: the least hash of the 24-byte strings in a 100-byte window is its
    anchor, so equal windows have equal anchors. Neighbouring windows with one
-   anchor form a run of at most ``RUN`` windows. Runs whose anchor occurs once
-   cannot repeat; the others, with their bytes, are dealt into shards by
-   anchor, so equal windows always meet in a shard, whichever document they
-   come from.
+   anchor form a run of at most ``RUN`` windows. A run whose anchor stands at
+   one place in all documents cannot repeat; the others, with their bytes, are
+   dealt into shards by anchor, so equal windows always meet in a shard,
+   whichever document they come from.
 3. Per shard, a suffix array is refined as by Larsson and Sadakane: suffixes
    sorted by 8 bytes, then groups that are still open by the ranks 8, 16 and
    32 bytes further on; the ranks of a window's first 64 and last 64 bytes give
    the windows in order of their 100 bytes. Kasai's scan then finds the common
-   prefix of neighbours in that order, in one lane a run: the prefix of a
+   prefix of neighbours in that order, in one lane a run, where their first 64
+   bytes have one rank (shorter prefixes are not wanted): the prefix of a
    window is at least that of the window before it, less one. Windows are equal
    where it reaches 100 bytes. Runs lie in document order, so the first window
    of a class is the earliest.
@@ -48,7 +49,7 @@ LENGTH = 100
 GRAM = 24
 RUN = LENGTH - GRAM + 1
 HOT = 1000
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 FAN = 64
 #: Where null ids stand in the order of documents.
 LAST_ID = (1 << 63) - 1
@@ -61,46 +62,50 @@ def packed(data: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1))).view(">u8").ravel().astype(np.uint64)
 
 
-def least_values(values: np.ndarray, width: int) -> np.ndarray:
-    """The least value of every window of ``width`` values."""
-    best, size = values, 1
+def least_positions(values: np.ndarray, width: int) -> np.ndarray:
+    """For every window of ``width`` values, the position of its leftmost least value."""
+    at, best, size = np.arange(len(values), dtype=np.int32), values, 1
     while size < width:
         step = min(size, width - size)
-        best = np.minimum(best[: len(best) - step], best[step:])
+        n = len(at) - step
+        left = best[:n] <= best[step : step + n]
+        at, best = np.where(left, at[:n], at[step : step + n]), np.where(left, best[:n], best[step : step + n])
         size += step
-    return best
+    return at
 
 
 def anchor_runs(raws: list[bytes], length: int = LENGTH, gram: int = GRAM):
-    """Arrays text, anchor hash, first window, number of windows: the runs of all texts."""
+    """Arrays text, anchor hash, first window, number of windows, places of the anchor: the runs of all texts."""
     sizes = np.array([len(r) for r in raws], np.int64)
     data = np.frombuffer(b"".join(raws), np.uint8)
     none = np.empty(0, np.int64)
     if len(data) < length:
-        return none, none.view(np.uint64), none, none
+        return none, none.view(np.uint64), none, none, none
     k = mix(packed(data))
     n = len(data) - gram + 1
     h = np.zeros(n, np.uint64)
     for j in range(0, gram, 8):
         h = (h + k[j : j + n]) * M1
     h = mix(h)
-    least = least_values(h, length - gram + 1)
+    at = least_positions(h, length - gram + 1)
     ends = np.cumsum(sizes)
-    text = np.repeat(np.arange(len(raws)), sizes)[: len(least)]
-    inside = np.flatnonzero(np.arange(len(least)) + length <= ends[text])
+    text = np.repeat(np.arange(len(raws)), sizes)[: len(at)]
+    inside = np.flatnonzero(np.arange(len(at)) + length <= ends[text])
     if not len(inside):
-        return none, none.view(np.uint64), none, none
-    least, text = least[inside], text[inside]
+        return none, none.view(np.uint64), none, none, none
+    at, text = at[inside], text[inside]
+    least = h[at]
     new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])]))
     n = np.diff(np.append(new, len(least)))
     parts = -(-n // RUN)  # a long run, of a periodic text, is cut
     within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     new, n = np.repeat(new, parts) + within * RUN, np.minimum(RUN, np.repeat(n, parts) - within * RUN)
-    return text[new], least[new], inside[new] - (ends - sizes)[text[new]], n
+    moves = np.cumsum(np.concatenate([[0], at[1:] != at[:-1]]))
+    return text[new], least[new], inside[new] - (ends - sizes)[text[new]], n, moves[new + n - 1] - moves[new] + 1
 
 
-def window_order(data: np.ndarray, windows: np.ndarray, length: int = LENGTH, beyond: np.ndarray | None = None) -> np.ndarray:
-    """The window starts in order of their ``length`` bytes, equal ones as they come.
+def window_order(data: np.ndarray, windows: np.ndarray, length: int = LENGTH, beyond: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The window starts in order of their ``length`` bytes, equal ones as they come; and the rank of each one's first 64 bytes.
 
     The refined suffix array sorts by 64 bytes; length is 64 to 128. beyond:
     how far each position lies behind the last window start of its segment;
@@ -133,13 +138,18 @@ def window_order(data: np.ndarray, windows: np.ndarray, length: int = LENGTH, be
         suffix, both = suffix[by], both[by]
         order[place] = suffix
         open_ = settle(place, suffix, np.concatenate([[True], both[1:] != both[:-1]]) if len(both) else np.empty(0, bool))
-    return np.argsort(rank[windows] * (n + 2) + rank[windows + length - 64] + 1, kind="stable")
+    return np.argsort(rank[windows] * (n + 2) + rank[windows + length - 64] + 1, kind="stable"), rank[windows]
 
 
-def common_prefixes(data: np.ndarray, windows: np.ndarray, seg: np.ndarray, order: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For every place in ``order``, the common prefix (``length`` at most) with the place before; Kasai's scan, one lane a segment.
+#: Numbers of 1, 2, ... 8 bytes begin here.
+BYTE_BOUNDS = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
 
-    windows: starts, consecutive inside a segment; seg: the segment of each.
+
+def common_prefixes(data: np.ndarray, windows: np.ndarray, seg: np.ndarray, order: np.ndarray, rank: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For every place in ``order``, the common prefix (``length`` at most) with the place before; 0 if under 64 bytes.
+
+    Kasai's scan, one lane a segment. windows: starts, consecutive inside a
+    segment; seg: the segment of each; rank: equal for equal first 64 bytes.
     """
     n = len(windows)
     key = np.append(packed(data), np.zeros(length + 8, np.uint64))
@@ -147,39 +157,34 @@ def common_prefixes(data: np.ndarray, windows: np.ndarray, seg: np.ndarray, orde
     place[order] = np.arange(n)
     before = np.where(place > 0, order[place - 1], -1)  # whom each window is compared with
     follows = np.append(seg[1:] == seg[:-1], False)  # the next window starts one byte further on
-    head = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])) if n else np.empty(0, np.int64)
-    size = np.diff(np.append(head, n))
-    prefix, known = np.zeros(n, np.int64), np.zeros(len(head), np.int64)
-    for step in range(int(size.max(initial=0))):
-        lane = np.flatnonzero(size > step)
-        at = head[lane] + step
-        other = before[at]
-        if step:  # the pair before, one byte further on, holds for all windows between its two
+    within = np.arange(n) - np.maximum.accumulate(np.where(np.append(True, ~follows[:-1]), np.arange(n), 0)) if n else np.empty(0, np.int64)
+    near = np.flatnonzero((before >= 0) & (rank[before] == rank))
+    near = near[np.argsort(within[near], kind="stable")]
+    cuts = np.searchsorted(within[near], np.arange(int(within.max(initial=-1)) + 2))
+    prefix = np.zeros(n, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        at = near[a:b]
+        have = np.full(len(at), 64)
+        if within[at[0]] if b > a else False:  # the pair before, one byte further on, holds for all windows between its two
             last = before[at - 1]
-            sound = (last >= 0) & follows[last]
-            sound[sound] &= place[last[sound] + 1] < place[at[sound]]
-            have = np.where(sound, np.maximum(known[lane] - 1, 0), 0)
-        else:
-            have = np.zeros(len(lane), np.int64)
-        open_ = np.flatnonzero(other >= 0)
+            sound = (prefix[at - 1] > 65) & follows[last]
+            sound[sound] = place[last[sound] + 1] < place[at[sound]]
+            have[sound] = prefix[at[sound] - 1] - 1
+        mine, theirs = windows[at], windows[before[at]]
+        open_ = np.arange(len(at))
         while len(open_):
-            a, b = windows[at[open_]] + have[open_], windows[other[open_]] + have[open_]
-            differ = key[a] ^ key[b]
-            # whole bytes that agree, from the front
-            same = np.zeros(len(open_), np.int64)
-            for byte in range(8):
-                same += (same == byte) & ((differ >> np.uint64(56 - 8 * byte)) & np.uint64(255) == 0)
-            have[open_] += same
-            open_ = open_[(same == 8) & (have[open_] < length)]
-        known[lane] = have = np.minimum(have, length)
-        prefix[at] = have
+            h = have[open_]
+            same = 8 - np.searchsorted(BYTE_BOUNDS, key[mine[open_] + h] ^ key[theirs[open_] + h], "right")
+            have[open_] = h + same
+            open_ = open_[(same == 8) & (h + 8 < length)]
+        prefix[at] = np.minimum(have, length)
     return prefix[order]
 
 
 def later_windows(data: np.ndarray, windows: np.ndarray, seg: np.ndarray, beyond: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which windows have an equal one before them, and the first window of each class in order of its bytes."""
-    order = window_order(data, windows, LENGTH, beyond)
-    new = common_prefixes(data, windows, seg, order) < LENGTH
+    order, rank = window_order(data, windows, LENGTH, beyond)
+    new = common_prefixes(data, windows, seg, order, rank) < LENGTH
     later = np.ones(len(windows), bool)
     later[order[new]] = False
     return later, order[new]
@@ -285,18 +290,18 @@ def _raw(batch) -> list[bytes]:
 
 
 def find_runs(rows: DataFrame) -> DataFrame:
-    """rows: doc_id, key, text. Rows doc_id, key, anchor, start, n."""
+    """rows: doc_id, key, text. Rows doc_id, key, anchor, start, n, places."""
 
     def run(batches):
         for batch in batches:
             for piece in text_slices(batch, "text", 2 << 20):
-                text, anchor, start, n = anchor_runs(_raw(piece))
+                text, anchor, start, n, places = anchor_runs(_raw(piece))
                 at = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id").take(at), piece.column("key").take(at), pa.array(anchor.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    ["doc_id", "key", "anchor", "start", "n"])
+                    [piece.column("doc_id").take(at), piece.column("key").take(at), pa.array(anchor.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(places.astype(np.int32))],
+                    ["doc_id", "key", "anchor", "start", "n", "places"])
 
-    return rows.mapInArrow(run, "doc_id long, key long, anchor long, start int, n int")
+    return rows.mapInArrow(run, "doc_id long, key long, anchor long, start int, n int, places int")
 
 
 def cut_segments(rows: DataFrame) -> DataFrame:
@@ -358,7 +363,7 @@ def repeated_intervals(firsts: DataFrame) -> DataFrame:
     """firsts: doc_id, key, text, distinct texts only. Byte intervals (INTERVALS) that occur earlier."""
     runs = stored(find_runs(firsts), "suffix-runs")
     pieces = F.when(F.col("m") > HOT, F.ceil(F.col("m") / max(1, HOT // 2))).otherwise(1).cast("int")
-    often = stored(runs.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor", pieces.alias("pieces")), "suffix-anchors")
+    often = stored(runs.groupBy("anchor").agg(F.count("*").alias("m"), F.sum("places").alias("places")).filter("places > 1").select("anchor", pieces.alias("pieces")), "suffix-anchors")
     most = often.agg(F.max("pieces")).first()[0] or 1
     by_doc = stored(runs.join(often, "anchor").groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "start", "n", "pieces")).alias("runs")), "suffix-flags")
     discard(runs, often)
@@ -415,3 +420,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op7_suffix_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h, sha256(coalesce(text, '')) AS key FROM documents),
+o AS (SELECT row_number() OVER (ORDER BY coalesce(doc_id, 9223372036854775807), substr(key, 1, 15), rid) AS place, doc_id, h, len(h) // 2 AS n FROM d),
+c AS (SELECT place, n, k, substr(h, 4000 * k + 1, 4198) AS h FROM o, LATERAL (SELECT unnest(generate_series(0, n // 2000)) AS k)),
+w AS (SELECT place, k * 2000 + i AS i, md5(substr(h, 2 * i + 1, 200)) AS s FROM c, LATERAL (SELECT unnest(generate_series(0, least(1999, n - 100 - k * 2000))) AS i)),
+x AS (SELECT place, i, row_number() OVER (PARTITION BY s ORDER BY place, i) AS m FROM w),
+y AS (SELECT place, i, CASE WHEN i <= 100 + lag(i) OVER (PARTITION BY place ORDER BY i) THEN 0 ELSE 1 END AS new FROM x WHERE m > 1),
+z AS (SELECT place, i, sum(new) OVER (PARTITION BY place ORDER BY i) AS run FROM y),
+r AS (SELECT place, run, min(i) AS a, max(i) + 100 AS b FROM z GROUP BY place, run),
+q AS (SELECT place, run, a, b, coalesce(lag(b) OVER (PARTITION BY place ORDER BY run), 0) AS before FROM r),
+t AS (SELECT place, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY run) AS kept FROM q JOIN o USING (place) GROUP BY place)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM o LEFT JOIN t USING (place)
+"""
