@@ -68,10 +68,14 @@ def discard(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df.stored_at)
 
 
-def release(spark: SparkSession, *keep: DataFrame) -> None:
-    """Delete every stored table of this process but ``keep``, once the results that read them are written."""
-    kept = {df.stored_at for df in keep}
-    for path in _STORED - kept:
+def written() -> frozenset[str]:
+    """Paths of the stored tables of this process that nothing has deleted yet."""
+    return frozenset(_STORED)
+
+
+def release(spark: SparkSession, *keep: DataFrame, before: frozenset[str] = frozenset()) -> None:
+    """Delete the stored tables of this process but ``keep`` and those written ``before``, once the results that read them are written."""
+    for path in _STORED - before - {df.stored_at for df in keep}:
         _delete(spark, path)
 
 
