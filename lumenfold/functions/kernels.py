@@ -116,6 +116,43 @@ def threshold_dither(px: np.ndarray, c: np.ndarray, mask: np.ndarray) -> np.ndar
     return np.where(share > (2 * mask.astype(np.int64) + 1) * 128, second, first)
 
 
+def blue_noise(side: int, seed: int = 11, sigma: float = 1.5) -> np.ndarray:
+    """A (side, side) mask of thresholds 0 to 255 whose levels are spread evenly, by voids and clusters on a torus."""
+    n = side * side
+    d = np.minimum(np.arange(side), side - np.arange(side))
+    bump = np.exp(-(d[:, None] ** 2 + d[None, :] ** 2) / (2 * sigma * sigma))
+    glow = lambda at: np.roll(bump, (at // side, at % side), (0, 1)).ravel()
+    rank, on, energy = np.empty(n, np.int64), np.zeros(n, bool), np.zeros(n)
+
+    def flip(at: int) -> None:
+        nonlocal energy
+        energy = energy + (-glow(at) if on[at] else glow(at))
+        on[at] = not on[at]
+
+    tightest = lambda: int(np.where(on, energy, -np.inf).argmax())
+    emptiest = lambda: int(np.where(on, np.inf, energy).argmin())
+    for at in np.argsort(splitmix64(seed, n), kind="stable")[: max(1, n // 10)]:
+        flip(int(at))
+    while True:  # move the tightest point to the largest void until it stays
+        a = tightest()
+        flip(a)
+        b = emptiest()
+        flip(b)
+        if a == b:
+            break
+    start, base, light = int(on.sum()), on.copy(), energy.copy()
+    for k in range(start - 1, -1, -1):
+        a = tightest()
+        flip(a)
+        rank[a] = k
+    on, energy = base, light
+    for k in range(start, n):
+        b = emptiest()
+        flip(b)
+        rank[b] = k
+    return (rank * 256 // n).reshape(side, side)
+
+
 def median_cut(px: np.ndarray, levels: int) -> np.ndarray:
     """Leaf number of each colour in a perfect binary tree: widest axis, sorted by (value, index), halves."""
     leaf, order = np.zeros(len(px), np.int64), np.arange(len(px))

@@ -39,14 +39,19 @@ def quantize_frames(pixels: DataFrame, k: int, lloyd: int = 0, least: int = 0, k
 
 
 def dither_frames(pixels: DataFrame, k: int, side: int, mode: str = "floyd-steinberg", key: str = "frame") -> DataFrame:
-    """frame, idx, slot of every pixel; a frame has rows of ``side`` pixels, as many as it needs, the last may be short."""
+    """frame, idx, slot of every pixel; a frame has rows of ``side`` pixels, as many as it needs, the last may be short.
+
+    mode: floyd-steinberg, atkinson, or threshold (a tile of blue noise).
+    """
+    noise = kernels.blue_noise(16) if mode == "threshold" else None
 
     def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx", ignore_index=True)
         px = _points(pdf)
         c, _ = kernels.quantize(px, min(k, len(px)))
         if mode == "threshold":
-            mask = (kernels.splitmix64(11, len(px)) >> np.uint64(56)).astype(np.int64)
+            i = np.arange(len(px))
+            mask = noise[i // side % len(noise), i % side % len(noise)]
             slot = kernels.threshold_dither(px, c, mask)
         else:
             slot = kernels.diffuse_rows(px, c, side, kernels.FLOYD_STEINBERG if mode == "floyd-steinberg" else kernels.ATKINSON)
@@ -63,14 +68,15 @@ def median_cut_frames(pixels: DataFrame, levels: int, key: str = "frame") -> Dat
     return pixels.groupBy(key).applyInPandas(run, f"{key} {pixels.schema[key].dataType.simpleString()}, idx long, leaf int")
 
 
-def cluster_large(pixels: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
-    """Lloyd steps over a table of any size. seeds: slot, l, a, b (at most 256). Truncated means; an empty slot stays."""
+def cluster_large(pixels: DataFrame, seeds: DataFrame, rounds: int, weight: str | None = None) -> DataFrame:
+    """Lloyd steps over a table of any size. seeds: slot, l, a, b (at most 256). Truncated (weighted) means; an empty slot stays."""
+    w = F.lit(1) if weight is None else F.col(weight)
     spark = pixels.sparkSession
     points = pixels.withColumn("g", F.lit(0))
     c = [tuple(r) for r in seeds.select("slot", *LANES).orderBy("slot").collect()]  # at most 256 rows
     for _ in range(rounds):
         table = spark.createDataFrame([(0, *r) for r in c], "g int, slot int, l long, a long, b long")
-        means = nearest(points, table, ("g",)).groupBy("slot").agg(*[trunc_div(F.sum(x), F.count("*")).alias(x) for x in LANES]).collect()
+        means = nearest(points, table, ("g",)).groupBy("slot").agg(*[trunc_div(F.sum(F.col(x) * w), F.sum(w)).alias(x) for x in LANES]).collect()
         new = {r["slot"]: tuple(r) for r in means}
         c = [new.get(r[0], r) for r in c]
     return spark.createDataFrame(c, "slot int, l long, a long, b long")

@@ -51,12 +51,13 @@ def median_cut(spark, d):
     return frames.median_cut_frames(pixels(spark, d), 4)
 
 
-def _rounds_sql(rounds: int) -> str:
-    sql = f"WITH {PIXELS_SQL}, c0 AS (SELECT idx::INTEGER AS slot, l, a, b FROM pixels ORDER BY idx LIMIT 8)"
-    mean = lambda c: f"CASE WHEN sum({c}) < 0 THEN -((-sum({c})) // count(*)) ELSE sum({c}) // count(*) END::BIGINT AS {c}"
+def _rounds_sql(rounds: int, start: str = f"WITH {PIXELS_SQL}, c0 AS (SELECT idx::INTEGER AS slot, l, a, b FROM pixels ORDER BY idx LIMIT 8)", points: str = "pixels", w: str = "1") -> str:
+    sql = start
+    mean = lambda c: f"CASE WHEN sum({c} * {w}) < 0 THEN -((-sum({c} * {w})) // sum({w})) ELSE sum({c} * {w}) // sum({w}) END::BIGINT AS {c}"
+    extra = "" if w == "1" else f", p.{w}"
     for k in range(rounds):
         d2 = " + ".join(f"(p.{c} - q.{c}) * (p.{c} - q.{c})" for c in "lab")
-        sql += f", n{k} AS (SELECT p.idx, p.l, p.a, p.b, arg_min(q.slot, ({d2}, q.slot)) AS slot FROM pixels p, c{k} q GROUP BY ALL)"
+        sql += f", n{k} AS (SELECT p.idx, p.l, p.a, p.b{extra}, arg_min(q.slot, ({d2}, q.slot)) AS slot FROM {points} p, c{k} q GROUP BY ALL)"
         sql += f", m{k} AS (SELECT slot, {', '.join(mean(c) for c in 'lab')} FROM n{k} GROUP BY slot)"
         sql += f", c{k + 1} AS (SELECT c.slot, coalesce(m.l, c.l) AS l, coalesce(m.a, c.a) AS a, coalesce(m.b, c.b) AS b FROM c{k} c LEFT JOIN m{k} m USING (slot))"
     return f"{sql} SELECT * FROM c{rounds}"
@@ -69,6 +70,16 @@ def kmeans_rounds(spark, d):
     return frames.cluster_large(px, px.orderBy("idx").limit(8).select(F.col("idx").cast("int").alias("slot"), "l", "a", "b"), 3)
 
 
+POOLED_SQL = f"WITH {PALETTE_SQL}, pool AS (SELECT frame * 256 + slot AS idx, l, a, b, 1 + slot * slot % 7 AS weight FROM palette), c0 AS (SELECT idx::INTEGER AS slot, l, a, b FROM pool ORDER BY idx LIMIT 8)"
+
+
+@query("weighted_collapse", _rounds_sql(2, POOLED_SQL, "pool", "weight"))
+def weighted_collapse(spark, d):
+    """One palette of eight from all palettes' colours by their weights: two Lloyd steps of weighted means."""
+    p = palette(spark, d).select((F.col("frame").cast("long") * 256 + F.col("slot")).alias("idx"), "l", "a", "b", (1 + F.col("slot") * F.col("slot") % 7).alias("weight"))
+    return frames.cluster_large(p, p.orderBy("idx").limit(8).select(F.col("idx").cast("int").alias("slot"), "l", "a", "b"), 2, "weight")
+
+
 @query("sinkhorn")
 def sinkhorn(spark, d):
     p = palette(spark, d).select("frame", F.array(*[F.col(c) / 65536.0 for c in "lab"]).alias("x"))

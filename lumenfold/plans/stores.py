@@ -73,6 +73,17 @@ def gif_codec(spark, d):
     return px.join(gifs.select("stem", "palette"), "stem").select("stem", "slot", "n", "first", F.array_join(F.element_at("palette", F.col("slot") + 1).cast("array<string>"), ",").alias("colour"))
 
 
+@query("shared_gif_codec", f"{PP}, f AS (SELECT DISTINCT frame FROM palette), c AS (SELECT frame, (frame * 3 + i) % 16 AS slot, count(*) AS n FROM f, generate_series(0, 63) t(i) GROUP BY ALL) SELECT frame::INTEGER AS t, slot::INTEGER AS slot, n, (slot * 16) || ',' || (255 - slot) || ',0' AS colour FROM c")
+def shared_gif_codec(spark, d):
+    """The frames as one animation under one global table of colours, assembled and decoded."""
+    f = palette(spark, d).select("frame").distinct()
+    colours = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda s: F.array(s * 16, 255 - s, F.lit(0)))
+    frames = f.select(F.lit("all").alias("capture"), F.col("frame").cast("int").alias("t"), colours.alias("palette"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((F.col("frame") * 3 + i) % 16).cast("int")).alias("indices"))
+    gifs = readers.decode_gifs(readers.assemble_gifs(frames, 8, 5, shared=True).select(F.col("capture").alias("stem"), F.col("gif").alias("content")))
+    px = readers.gif_pixels(gifs).groupBy("t", "slot").agg(F.count("*").alias("n"))
+    return px.join(gifs.select("t", "palette"), "t").select("t", "slot", "n", F.array_join(F.element_at("palette", F.col("slot") + 1).cast("array<string>"), ",").alias("colour"))
+
+
 @query("volume_codec", f"{PP}, f AS (SELECT DISTINCT frame FROM palette) SELECT frame::VARCHAR AS stem, t::INTEGER AS t, (16 * (frame * 1000 + t * 100 + 37.5))::BIGINT AS l, (16 * (frame * 1000 + t * 100 + 38.5))::BIGINT AS a, max(frame * 1000 + t * 100 + y * 20 + x * 5 + 2)::INTEGER AS b FROM f, generate_series(0, 1) p(t), generate_series(0, 3) q(y), generate_series(0, 3) r(x) GROUP BY ALL")
 def volume_codec(spark, d):
     """A volume array for every frame, read voxel by voxel."""

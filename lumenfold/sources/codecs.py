@@ -341,19 +341,32 @@ def _blocks(data: bytes) -> bytes:
     return b"".join(bytes([len(data[i : i + 255])]) + data[i : i + 255] for i in range(0, len(data), 255)) + b"\x00"
 
 
-def write_gif(side: int, frames, delay_cs: int, comment: str = "", extra: bytes = b"") -> bytes:
-    """An animation of (palette, indices) frames, each with a local table of colours; it loops for ever."""
-    out = [b"GIF89a", struct.pack("<HHBBB", side, side, 0x70, 0, 0), b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00"]
+def _table(palette) -> tuple[int, bytes]:
+    """Bits of an index and the colour table of a palette, padded with black."""
+    if not 1 <= len(palette) <= 256:
+        raise BadFormat(f"palette of {len(palette)}")
+    bits = max(2, (len(palette) - 1).bit_length())
+    return bits, b"".join(bytes(c) for c in palette).ljust(3 << bits, b"\x00")
+
+
+def write_gif(side: int, frames, delay_cs: int, comment: str = "", extra: bytes = b"", shared=None) -> bytes:
+    """An animation of (palette, indices) frames that loops for ever.
+
+    Each frame has a local table of colours; with ``shared``, a palette, that
+    is the one global table, and the palettes of frames are not looked at.
+    """
+    head, first = (0x70, b"") if shared is None else (0xF0 | (_table(shared)[0] - 1), _table(shared)[1])
+    out = [b"GIF89a", struct.pack("<HHBBB", side, side, head, 0, 0), first, b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00"]
     if comment:
         out.append(b"\x21\xfe" + _blocks(comment.encode()))
     out.append(extra)
     for palette, indices in frames:
-        if len(indices) != side * side or not 1 <= len(palette) <= 256 or max(indices) >= len(palette):
+        colours = palette if shared is None else shared
+        if len(indices) != side * side or max(indices) >= len(colours):
             raise BadFormat("frame shape")
-        bits = max(2, (len(palette) - 1).bit_length())
-        table = b"".join(bytes(c) for c in palette).ljust(3 << bits, b"\x00")
+        bits, table = _table(colours)
         out.append(b"\x21\xf9\x04\x04" + struct.pack("<H", delay_cs) + b"\x00\x00")
-        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, side, side, 0x80 | (bits - 1)) + table)
+        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, side, side, 0x80 | (bits - 1) if shared is None else 0) + (table if shared is None else b""))
         out.append(bytes([bits]) + _blocks(lzw_pack(indices, bits)))
     return b"".join([*out, b"\x3b"])
 

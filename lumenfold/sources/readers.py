@@ -139,12 +139,15 @@ def write_manifest(spark: SparkSession, path: str, captures: dict[str, list[str]
     spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/corpus_manifest.json")
 
 
-def assemble_gifs(frames: DataFrame, side: int, delay_cs: int) -> DataFrame:
-    """frames: capture, t, palette (array<array<int>>), indices. capture and its animation as bytes."""
+def assemble_gifs(frames: DataFrame, side: int, delay_cs: int, shared: bool = False) -> DataFrame:
+    """frames: capture, t, palette (array<array<int>>), indices. capture and its animation as bytes.
+
+    shared: the palette of the first frame is the one table of all.
+    """
 
     def make(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        data = codecs.write_gif(side, [([[int(v) for v in c] for c in p], [int(i) for i in ix]) for p, ix in zip(pdf["palette"], pdf["indices"])], delay_cs)
+        data = codecs.write_gif(side, [([[int(v) for v in c] for c in p], [int(i) for i in ix]) for p, ix in zip(pdf["palette"], pdf["indices"])], delay_cs, shared=[[int(v) for v in c] for c in pdf["palette"].iloc[0]] if shared else None)
         return pd.DataFrame({"capture": [key[0]], "gif": [data]})
 
     kind = frames.schema["capture"].dataType.simpleString()

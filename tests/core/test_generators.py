@@ -137,3 +137,12 @@ def test_psd_metric():
     low, loss = kernels.psd_metric(a, p, n)
     plain = np.maximum(0, ((a - p) ** 2).sum(1) - ((a - n) ** 2).sum(1) + 0.1).mean()
     assert (np.triu(low, 1) == 0).all() and loss < 0.5 * plain and abs(low[0, 0]) < abs(low[1, 1])
+
+
+def test_blue_noise():
+    mask = kernels.blue_noise(16)
+    assert sorted(mask.ravel().tolist()) == list(range(256)) and (mask == kernels.blue_noise(16)).all()
+    spectrum = np.abs(np.fft.fft2(mask - mask.mean())) ** 2
+    f = np.minimum(np.arange(16), 16 - np.arange(16))
+    low = f[:, None] ** 2 + f[None, :] ** 2 <= 9
+    assert spectrum[low].mean() < 0.2 * spectrum[~low].mean()
