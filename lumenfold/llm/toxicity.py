@@ -92,8 +92,8 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
                 total += v
                 best = max(best, v)
     near = sum(1 for i in hits if not SECOND_PERSON.isdisjoint(words[max(0, i - 5) : i + 6]))
-    capitals = size - len(raw.translate(None, UPPERCASE))
-    marks = size - len(raw.translate(None, PUNCTUATION))
+    capitals = len(raw) - len(raw.translate(None, UPPERCASE))
+    marks = len(raw) - len(raw.translate(None, PUNCTUATION))
     odd = odd_hits = 0
     for m in OBFUSCATED.finditer(raw):
         odd += 1
