@@ -18,9 +18,9 @@ _STORED: set[str] = set()
 #: Largest table that is broadcast, by its rows times their size; beyond it joins shuffle.
 MAX_BROADCAST_BYTES = 32 << 20
 #: Largest Arrow batch sent to a Python worker, unless one row is larger.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Row group of a stored table: a writer holds one in memory.
-ROW_GROUP_BYTES = 16 << 20
+ROW_GROUP_BYTES = 8 << 20
 #: Rows of a slice: numpy kernels pack the row number into 16 bits.
 SLICE_ROWS = 65_535
 

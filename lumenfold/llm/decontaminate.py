@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 1. :func:`build_index` tokenises all documents once and stores the posting
-   lists: one row for a slice of documents (about ``SLICE_BYTES`` of text),
+   lists: one row for a slice of documents (about ``INDEX_BYTES`` of text),
    with the sorted hashes of its terms (64 bits), the length of each posting
    list and the positions, ascending. The index is partitioned by document, so
    nothing is shuffled, a frequent word fills no partition, and the memory of a
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import fits_broadcast, row_and, row_columns, small_batches, stored, table, text_slices
-from lumenfold.llm.jaccard_join import SLICE_BYTES, word_hashes
+from lumenfold.llm.jaccard_join import word_hashes
 
 WINDOW = 13
 NEAR_TERMS = 11
@@ -47,10 +47,12 @@ SLACK = 2
 BLOCK_BYTES = 8 << 20
 #: A document is contaminated if hit words are at least one in this many.
 HIT_SHARE = 20
+#: Text of one row of the index.
+INDEX_BYTES = 1 << 18
 #: Free positions between two documents of a slice, more than any match can span.
 GAP = 64
 #: Candidates of one step of the intersection.
-STEP = 1 << 18
+STEP = 1 << 16
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,7 +63,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def post(batches):
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for piece in text_slices(batch, "text", SLICE_BYTES):
+            for piece in text_slices(batch, "text", INDEX_BYTES):
                 words, counts = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in piece.column("text").to_pylist()])
                 positions = np.arange(len(words)) + np.repeat(np.arange(len(counts)) * GAP, counts)
                 order = np.argsort(words, kind="stable")

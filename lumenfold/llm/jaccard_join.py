@@ -31,7 +31,6 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +43,8 @@ RECALL = 0.9999
 #: Largest chance of comparing a pair of half the threshold's similarity.
 FALSE_SHARE = 0.25
 BLOCK = 512
+#: n-grams of one matrix product.
+SLAB = 4096
 #: A node with more comparisons than this has them dealt over several tasks, each with a copy of its set.
 STAR = 1000
 #: Buckets of more nodes than this are compared inside tasks, block by block.
@@ -270,12 +271,12 @@ def near_matrix(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thr
         back = np.full(len(sets), -1)
         back[side] = np.arange(len(side))
         places.append(back)
-    for at in range(0, len(grams), 8192):  # a slab at a time bounds the memory
-        inside = (col >= at) & (col < at + 8192)
+    for at in range(0, len(grams), SLAB):  # a slab at a time bounds the memory
+        inside = (col >= at) & (col < at + SLAB)
         dense = []
         for side, back in zip((left, right), places):
             r, c = back[row[inside]], col[inside] - at
-            m = np.zeros((len(side), 8192), np.float32)
+            m = np.zeros((len(side), SLAB), np.float32)
             m[r[r >= 0], c[r >= 0]] = 1
             dense.append(m)
         both += dense[0] @ dense[1].T
@@ -290,24 +291,30 @@ def _blocks(nodes: DataFrame, group: str) -> DataFrame:
     return spread.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
 
 
+def _sides(key: tuple, tab: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The sets of a pair of blocks, and the rows of its left and its right side."""
+    block = tab.column("block").to_numpy()
+    return [unpack(s) for s in tab.column("ngrams").to_pylist()], *(np.flatnonzero(block == b.as_py()) for b in key[1:])
+
+
 def link_counts(labels: DataFrame, sets: DataFrame, copies: DataFrame, threshold: float) -> DataFrame:
     """node, links: documents of other nodes of its component at or above the threshold."""
     spread = _blocks(labels.join(copies, "node").join(sets, "node"), "comp")
 
-    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = (np.flatnonzero(pdf["block"].to_numpy() == b) for b in key[1:])
-        near = near_matrix([unpack(s) for s in pdf["ngrams"]], left, right, threshold)
-        weight = pdf["copies"].to_numpy()
-        total = np.zeros(len(pdf), np.int64)
-        if key[1] == key[2]:
+    def count(key: tuple, tab: pa.Table) -> pa.Table:
+        own, left, right = _sides(key, tab)
+        near = near_matrix(own, left, right, threshold)
+        weight = tab.column("copies").to_numpy()
+        total = np.zeros(len(tab), np.int64)
+        if key[1].as_py() == key[2].as_py():
             np.fill_diagonal(near, False)
             total[left] += near @ weight[right]
         else:
             total[left] += near @ weight[right]
             total[right] += near.T @ weight[left]
-        return pd.DataFrame({"node": pdf["node"], "links": total})
+        return pa.table({"node": tab.column("node"), "links": pa.array(total)})
 
-    counted = spread.groupBy("comp", "i", "j").applyInPandas(count, "node binary, links long")
+    counted = spread.groupBy("comp", "i", "j").applyInArrow(count, "node binary, links long")
     return counted.groupBy("node").agg(F.sum("links").alias("links"))
 
 
@@ -318,18 +325,18 @@ def links_across(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     """
     spread = _blocks(open_.join(sets, "node"), "bucket")
 
-    def find(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = (np.flatnonzero(pdf["block"].to_numpy() == b) for b in key[1:])
-        comp = pd.factorize(pdf["comp"])[0]
-        near = near_matrix([unpack(s) for s in pdf["ngrams"]], left, right, threshold)
+    def find(key: tuple, tab: pa.Table) -> pa.Table:
+        own, left, right = _sides(key, tab)
+        comp = tab.column("comp").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        near = near_matrix(own, left, right, threshold)
         x, y = np.nonzero(near & (comp[left][:, None] != comp[right][None, :]))
         x, y = left[x], right[y]
         low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
-        one = np.unique(low * len(pdf) + high, return_index=True)[1]
-        node = pdf["node"].to_numpy()
-        return pd.DataFrame({"a": node[x[one]], "b": node[y[one]]})
+        one = np.unique(low * len(tab) + high, return_index=True)[1]
+        node = tab.column("node")
+        return pa.table({"a": node.take(pa.array(x[one])), "b": node.take(pa.array(y[one]))})
 
-    return spread.groupBy("bucket", "i", "j").applyInPandas(find, "a binary, b binary")
+    return spread.groupBy("bucket", "i", "j").applyInArrow(find, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, count_links: bool = True) -> DataFrame:
