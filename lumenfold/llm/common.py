@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 
 import numpy as np
@@ -86,6 +87,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, size: int = BATCH_BYTES):
+    """Arrow batches of at most ``size`` bytes for what is written inside; afterwards the session's own setting holds again."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, f"{size}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def row_and(df: DataFrame, *columns: Column) -> DataFrame:
     """The whole row as struct column ``_row`` beside other columns, so that no name can clash."""
     return df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *columns)

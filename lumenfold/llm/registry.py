@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import ann, decontaminate, jaccard_join, licenses, mixing, pii, sharding, suffix_dedup, toxicity, url_filter
+from lumenfold.llm import ann, decontaminate, jaccard_join, lexical_search, licenses, mixing, pii, sharding, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ann": ann.op8_ann,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_mix": mixing.op10_mix,
+    "op13_lexical": lexical_search.op13_lexical,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op7_suffix_dedup": suffix_dedup.SQL,
     "op9_decontaminate": decontaminate.SQL,
     "op10_mix": mixing.SQL,
+    "op13_lexical": lexical_search.SQL,
 }
