@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import ann, decontaminate, jaccard_join, lexical_search, licenses, mixing, pii, sharding, suffix_dedup, toxicity, url_filter
+from lumenfold.llm import ann, chat_format, decontaminate, jaccard_join, lexical_search, licenses, mixing, pii, prefix_trie, sharding, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_ann": ann.op8_ann,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_mix": mixing.op10_mix,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_chat": chat_format.op12_chat,
     "op13_lexical": lexical_search.op13_lexical,
 }
 
@@ -24,5 +26,7 @@ ORACLES = {
     "op7_suffix_dedup": suffix_dedup.SQL,
     "op9_decontaminate": decontaminate.SQL,
     "op10_mix": mixing.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
+    "op12_chat": chat_format.SQL,
     "op13_lexical": lexical_search.SQL,
 }
