@@ -3,7 +3,8 @@
 A byte is removed if a 100-byte string that covers it also starts earlier (in
 a document of smaller id, or earlier in the same one). Positions:
 
-1. Whole copies: of documents with equal texts all but the first go whole.
+1. Whole copies: of documents with equal texts (by SHA-256, all of it) all but
+   the first go whole.
 2. Anchors: the least hash of the 24-byte strings in a 100-byte window is its
    anchor, so equal windows have equal anchors. Neighbouring windows with one
    anchor form a run of at most ``RUN`` windows. A run whose anchor stands at
@@ -45,6 +46,8 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import discard, fits_broadcast, small_batches, stored, table, text_slices
 from lumenfold.llm.jaccard_join import M1, mix
 
+#: Hex digits of the text's hash that tell rows of one id apart and put them in order; copies are decided by all of it.
+KEY_DIGITS = 15
 LENGTH = 100
 GRAM = 24
 RUN = LENGTH - GRAM + 1
@@ -394,12 +397,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise TypeError(f"{id_col} must be an integer column")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long").alias("key"), text.alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("_sha"))
+    rows = rows.select("doc_id", F.coalesce(F.conv(F.substring("_sha", 1, KEY_DIGITS), 16, 10).cast("long"), F.lit(0)).alias("key"), "text", F.unhex("_sha").alias("digest"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("head")
-    known = stored(rows.groupBy("key").agg(F.count("*").alias("m"), first).filter("m > 1").select(F.col("key").alias("_key"), F.col("head.doc_id").alias("_head")), "suffix-copies")
-    few = F.broadcast(known) if fits_broadcast(known.count(), 48) else known
-    copy = F.col("_key").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("_head"))
-    marked = rows.join(few, F.col("key") == F.col("_key"), "left").select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("at"), "key", "text", copy.alias("copy"))
+    known = stored(rows.groupBy("digest").agg(F.count("*").alias("m"), first).filter("m > 1").select(F.col("digest").alias("_digest"), F.col("head.doc_id").alias("_head")), "suffix-copies")
+    few = F.broadcast(known) if fits_broadcast(known.count(), 80) else known
+    copy = F.col("_digest").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("_head"))
+    marked = rows.join(few, F.col("digest") == F.col("_digest"), "left").select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("at"), "key", "text", copy.alias("copy"))
     cuts = repeated_intervals(marked.filter("NOT copy").select(F.col("at").alias("doc_id"), "key", "text"))
     by_doc = stored(cuts.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")), "suffix-cuts")
     renamed = by_doc.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "cuts")

@@ -99,7 +99,7 @@ def test_op6(spark, rows):
     for (i, t), terms in zip(texts(rows), brute_terms(texts(rows))):
         spans = brute_pii(t)
         base = [f"{k}:{a}:{b}" for k, s in spans.items() for a, b in s]
-        want.append(str((i, *[len(s) for s in spans.values()], hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(base + [f"term:{a}:{b}" for a, b in terms]))))
+        want.append(str((i, *[len(s) for s in spans.values()], hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(base + [f"term:{a}:{b}" for a, b, _ in terms]))))
     got = df.collect()
     assert sorted(str(tuple(r)[:7]) for r in got) == sorted(want)
     assert sum("term:" in r["spans"] for r in got) > 0
