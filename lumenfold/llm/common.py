@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import json
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,8 @@ from lumenfold.storage import new_path
 
 #: Characters that separate words, as a Java and RE2 character class body.
 SEPARATORS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
-#: Tables that :func:`stored` wrote and nothing has deleted yet.
-_STORED: set[str] = set()
+#: Paths of the tables that :func:`stored` wrote in the innermost :class:`Scope`, or outside all of them, and nothing has deleted yet. Threads have their own.
+_TABLES: ContextVar[set[str]] = ContextVar("lumenfold-tables")
 
 #: Largest table that is broadcast, by its rows times their size; beyond it joins shuffle.
 MAX_BROADCAST_BYTES = 32 << 20
@@ -52,15 +53,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
-    _STORED.add(path)
+    _own_tables().add(path)
     return out
 
 
+def _own_tables() -> set[str]:
+    try:
+        return _TABLES.get()
+    except LookupError:
+        _TABLES.set(set())
+        return _TABLES.get()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-    _STORED.discard(path)
+    _own_tables().discard(path)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -69,15 +78,34 @@ def discard(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df.stored_at)
 
 
-def written() -> frozenset[str]:
-    """Paths of the stored tables of this process that nothing has deleted yet."""
-    return frozenset(_STORED)
+def release(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete the stored tables of this scope (this thread, outside all scopes) but ``keep``, once the results that read them are written."""
+    for path in _own_tables() - {df.stored_at for df in keep}:
+        _delete(spark, path)
 
 
-def release(spark: SparkSession, *keep: DataFrame, before: frozenset[str] = frozenset()) -> None:
-    """Delete the stored tables of this process but ``keep`` and those written ``before``, once the results that read them are written."""
-    for path in _STORED - before - {df.stored_at for df in keep}:
-        _delete(spark, path)
+class Scope:
+    """Owns the tables that are stored inside it, whatever other callers store or release meanwhile.
+
+    What is not released inside belongs to the surrounding scope afterwards.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> Scope:
+        self.outer, self.tables = _own_tables(), set()
+        self.token = _TABLES.set(self.tables)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _TABLES.reset(self.token)
+        self.outer |= self.tables
+
+    def release(self, *keep: DataFrame) -> None:
+        for path in self.tables - {df.stored_at for df in keep}:
+            _delete(self.spark, path)
+            self.tables.discard(path)
 
 
 def small_batches(spark: SparkSession) -> None:

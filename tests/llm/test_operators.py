@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.llm import ann, decontaminate, jaccard_join, licenses, mixing, pii, sharding, suffix_dedup, toxicity, url_filter
-from lumenfold.llm.common import words_bytes
+from lumenfold.llm.common import release, words_bytes
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -765,6 +765,36 @@ def test_mix(spark, docs, empty):
     assert mixing.resample(df).count() == sum(r["copies"] for r in got)
 
 
+def test_inclusion_frequencies(spark):
+    """Over many seeds a document is taken as often as its size says, within a source and across sizes."""
+    rows = [(i, " ".join(["w"] * (1 + i % 4 * 20)), "s0" if i % 3 else "s1") for i in range(400)] + [(None, "w " * k, "s1") for k in (5, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seeds, taken = 60, Counter()
+    for seed in range(seeds):
+        for r in mixing.mix_documents(df, seed=f"t{seed}").filter("source = 's0'").collect():
+            taken[r["size"]] += r["copies"] / seeds
+        release(spark)
+    number = Counter(1 + i % 4 * 20 for i in range(400) if i % 3)
+    target = next(r["target"] for r in mixing.mix_documents(df).filter("source = 's0'").collect())
+    free = lambda c: {s: min(3.0, c / math.sqrt(s)) for s in number}
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(number[s] * s * v for s, v in free(c).items()) < target else (low, c)
+    for s, want in free(low).items():
+        assert abs(taken[s] / number[s] - want) < 0.06, (s, taken[s] / number[s], want)
+    assert taken[1] / number[1] > taken[61] / number[61] + 0.3
+    ids = df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert mixing.resample(ids).count() == sum(r["copies"] for r in mixing.mix_documents(ids).collect())
+
+
+def test_sources_are_numbered_in_ranges(spark):
+    names = [f"s{i:04d}" for i in range(500)] + [None, "", "\U0001f600", "é", "z"]
+    sizes = spark.createDataFrame([(n, 1 + len(n or "")) for n in names], "source string, source_size long").repartition(6)
+    want = {n: k for k, n in enumerate(sorted((n for n in names if n is not None), key=lambda n: n.encode()))} | {None: len(names) - 1}
+    assert {r["source"]: r["turn"] for r in mixing.numbered_sources(sizes).collect()} == want
+
+
 def test_targets_with_a_small_source(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 0)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}

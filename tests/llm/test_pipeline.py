@@ -1,5 +1,6 @@
 """Every stage of the pipeline against a brute-force version, on a small corpus with odd rows."""
 
+import threading
 import zlib
 from collections import Counter
 
@@ -8,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from lumenfold.llm import mixing, toxicity
-from lumenfold.llm.common import release, stored
+from lumenfold.llm.common import Scope, release, stored
 from lumenfold.llm.registry import ORACLES, QUERIES
 from tests.llm.test_operators import brute_classes, syllables, words
 
@@ -129,6 +130,31 @@ def test_run(spark, corpus):
     release(spark)
 
 
+def test_scopes_keep_to_their_own_tables(spark):
+    outside = stored(spark.range(3), "outside")
+    with Scope(spark) as scope:
+        first, second = stored(spark.range(5), "first"), stored(spark.range(7), "second")
+        seen = []
+
+        def other():  # another caller, another thread
+            own = stored(spark.range(11), "other")
+            release(spark, own)
+            seen.append(own)
+
+        caller = threading.Thread(target=other)
+        caller.start()
+        caller.join()
+        scope.release(second)
+        assert outside.count() == 3 and second.count() == 7 and seen[0].count() == 11
+        with pytest.raises(Exception):
+            first.count()
+    release(spark, outside)  # what the scope has left is the caller's
+    assert outside.count() == 3 and seen[0].count() == 11
+    with pytest.raises(Exception):
+        second.count()
+    release(spark)
+
+
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
