@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.llm import decontaminate, jaccard_join, mixing, sharding, toxicity
-from lumenfold.llm.common import release, stored, table, written
+from lumenfold.llm.common import Scope, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = table(spark, sf_dir, "documents"), written()
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        release(spark, docs, before=before)  # what the stage and those before it have written
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    with Scope(spark) as tables:
+        for name, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            tables.release(docs)  # what the stage and those before it have written
+        return STAGES[-1][1](spark, docs, sf_dir)
