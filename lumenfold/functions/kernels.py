@@ -358,6 +358,17 @@ def hash_words(words) -> int:
     return fnv1a64(b"".join(int(w).to_bytes(8, "little", signed=True) for w in words))
 
 
+def scaled_plan(x, y, p, q, epsilon: float, rounds: int) -> np.ndarray:
+    """The entropic plan by scaling the kernel's columns, then its rows, a fixed number of times; what the kernel does not reach stays 0."""
+    kernel = np.exp(-((x[:, None, :] - y[None, :, :]) ** 2).sum(2) / epsilon)
+    u, v = np.ones(len(x)), np.ones(len(y))
+    share = lambda want, have: np.divide(want, have, out=np.zeros(len(want)), where=have != 0)
+    for _ in range(rounds):
+        v = share(q, u @ kernel)
+        u = share(p, kernel @ v)
+    return u[:, None] * kernel * v[None, :]
+
+
 def cyclic_descriptor(frames, epsilon: float = 0.05, rounds: int = 30) -> list[float]:
     """Sixteen numbers of a loop of palettes (points, weights) that no rotation of the loop and no order of slots changes.
 
@@ -373,14 +384,14 @@ def cyclic_descriptor(frames, epsilon: float = 0.05, rounds: int = 30) -> list[f
         plain.append(-float((p[p > 0] * np.log(p[p > 0])).sum()))
         mean = p @ x
         det = np.linalg.det(((x - mean) * p[:, None]).T @ (x - mean))
-        colour.append(0.5 * math.log(max((2 * math.pi * math.e) ** 3 * det, 1e-300)))
+        colour.append(0.5 * math.log((2 * math.pi * math.e) ** 3 * max(det, 1e-12)))
         y, v = frames[(t + 1) % len(frames)]
         y, q = np.asarray(y, float), np.asarray(v, float) / np.sum(v)
-        plan = sinkhorn_plan(x, y, p, q, epsilon, rounds)
+        plan = scaled_plan(x, y, p, q, epsilon, rounds)
         costs.append(float((plan * ((x[:, None, :] - y[None, :, :]) ** 2).sum(2)).sum()))
         plans.append(-float((plan[plan > 0] * np.log(plan[plan > 0])).sum()))
         step = plan / np.maximum(plan.sum(1, keepdims=True), 1e-300)
-        around = step if around is None else around @ step
+        around = step if around is None else step @ around
     spectrum = lambda s: np.abs(np.fft.fft(s))[1:] ** 2
 
     def entropy(s):

@@ -79,6 +79,11 @@ def policy_delta(now: DataFrame, later: DataFrame, keys, value: str = "slot") ->
     return j.filter("old <> new")
 
 
+def policy_apply(now: DataFrame, delta: DataFrame, keys, value: str = "slot") -> DataFrame:
+    """The value of every position after a delta (``keys``, new): positions without one keep theirs."""
+    return now.join(delta.select(*keys, "new"), list(keys), "left").select(*keys, F.coalesce("new", value).alias(value))
+
+
 def cluster_stats(assigned: DataFrame, keys) -> DataFrame:
     """Per slot: count, truncated mean and integer standard deviation of each lane, in two passes."""
     means = assigned.groupBy(*keys).agg(F.count("*").alias("n"), *[trunc_div(F.sum(c), F.count("*")).alias(f"mean_{c}") for c in LANES])

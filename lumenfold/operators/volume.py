@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.arith import trunc_div
-from lumenfold.functions.lift import lift_pair, lift_quad
+from lumenfold.functions.lift import lift_pair, lift_quad, unlift_pair, unlift_quad
 
 AXES = ("t", "y", "x")
 
@@ -75,3 +75,38 @@ def neighbourhood(plane: DataFrame, keys, value: str, radius: int) -> DataFrame:
     got = plane.select(*keys, F.explode(sent).alias("s")).select(*keys, "s.y", "s.x", "s.k", "s.v")
     lanes = [F.coalesce(F.max(F.when(F.col("k") == k, F.col("v"))), F.lit(0)) for k in range(n * n)]
     return got.groupBy(*keys, "y", "x").agg(F.array(*lanes).alias("window"), F.max(F.when(F.col("k") == n * n // 2, 1)).alias("_own")).filter("_own = 1").drop("_own")
+
+
+def voxel_reduce(cube: DataFrame, levels: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """cube: t, y, x, v. Substrate (t, y, x, v), spatial bands and temporal bands of so many reversible levels.
+
+    Every frame is lifted in 2 x 2 blocks first, level by level; then each place
+    of what is left is lifted in pairs along time, an odd last frame being
+    carried. Spatial bands: level, f, y, x, g, b, t (f is the frame); temporal
+    bands: level, node, y, x, high.
+    """
+    low, spatial = cube.select(F.col("t").alias("f"), "y", "x", "v"), None
+    for level in range(levels):
+        lifted = lift_level(low, ["f"], "v")
+        own = lifted.select(F.lit(level).alias("level"), "f", "y", "x", "g", "b", "t")
+        spatial = own if spatial is None else spatial.unionByName(own)
+        low = lifted.select("f", "y", "x", F.col("dc").alias("v"))
+    along = haar_levels(low, ["y", "x"], "f", "v", levels)
+    last = along.filter(F.col("level") == levels - 1).select(F.col("node").alias("t"), "y", "x", F.col("low").alias("v"))
+    return last, spatial, along.filter("high IS NOT NULL").select("level", "node", "y", "x", "high")
+
+
+def voxel_expand(substrate: DataFrame, spatial: DataFrame, temporal: DataFrame, levels: int) -> DataFrame:
+    """The cube (t, y, x, v) that :func:`voxel_reduce` reduced."""
+    low = substrate.select(F.col("t").alias("node"), "y", "x", "v")
+    for level in reversed(range(levels)):
+        pair = low.join(temporal.filter(F.col("level") == level).drop("level"), ["node", "y", "x"], "left")
+        first, second = unlift_pair("v", "high")
+        two = F.when(F.col("high").isNull(), F.array("v")).otherwise(F.array(first, second))  # a carried frame stands alone
+        low = pair.select(F.posexplode(two).alias("k", "v"), "node", "y", "x").select((F.col("node") * 2 + F.col("k")).alias("node"), "y", "x", "v")
+    low = low.withColumnRenamed("node", "f")
+    for level in reversed(range(levels)):
+        cells = low.join(spatial.filter(F.col("level") == level).drop("level"), ["f", "y", "x"])
+        four = F.array(*unlift_quad("v", "g", "b", "t"))
+        low = cells.select("f", "y", "x", F.posexplode(four).alias("k", "v")).select("f", (F.col("y") * 2 + F.shiftright("k", 1)).alias("y"), (F.col("x") * 2 + F.col("k") % 2).alias("x"), "v")
+    return low.select(F.col("f").alias("t"), "y", "x", "v")

@@ -209,16 +209,9 @@ def sigma_pairs(spark, d):
     return p.select("frame", "slot", "sign", (F.col("l") + 100 * F.col("slot")).alias("l"), (F.col("sign") * (F.col("a") + 50)).alias("a"), (F.col("sign") * (F.col("b") - 50)).alias("b"))
 
 
-@query("grid_layout", "WITH c AS (SELECT p_partkey AS idx, p_size AS x, p_retailprice AS y FROM part WHERE p_partkey <= 196), k AS (SELECT *, ((row_number() OVER (ORDER BY x, idx) - 1) // 14)::INTEGER AS col FROM c) SELECT idx, col, (row_number() OVER (PARTITION BY col ORDER BY y, idx) - 1)::INTEGER AS row FROM k")
-def grid_layout(spark, d):
-    """The grid's 14 x 14 colours: a fixed small set, ordered in one window."""
-    c = table(spark, d, "part").filter("p_partkey <= 196").select(F.col("p_partkey").alias("idx"), F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"))
-    return assign.grid_layout(c, F.col("x"), F.col("y"), 14).select("idx", "col", "row")
-
-
 @query("grid_layout_blocks", "WITH c AS (SELECT p_partkey AS idx, p_partkey // 256 AS block, p_size AS x, p_retailprice AS y FROM part), k AS (SELECT *, ((row_number() OVER (PARTITION BY block ORDER BY x, idx) - 1) // 16)::INTEGER AS col FROM c) SELECT idx, block, col, (row_number() OVER (PARTITION BY block, col ORDER BY y, idx) - 1)::INTEGER AS row FROM k")
 def grid_layout_blocks(spark, d):
-    """All parts, one 16 x 16 grid for each block of 256; ``grid_layout`` lays out one grid by its SQL."""
+    """All parts, one 16 x 16 grid for each block of 256."""
     c = table(spark, d, "part").select(F.col("p_partkey").alias("idx"), arith.floor_div(F.col("p_partkey"), 256).alias("block"), F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"))
     return assign.grid_layout(c, F.col("x"), F.col("y"), 16, ["block"]).select("idx", "block", "col", "row")
 

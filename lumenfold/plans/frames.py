@@ -118,28 +118,6 @@ def hash_chain(spark, d):
     return frames.chain_hashes(t, "conv_id", "turn", "n")
 
 
-#: SQL of the burst's generator: products of 64-bit words as sums of halves.
-MIX = "(({a} % 4294967296) * ({b} % 4294967296) + ((({a} // 4294967296) * ({b} % 4294967296) + ({a} % 4294967296) * ({b} // 4294967296)) % 4294967296) * 4294967296) % 18446744073709551616"
-
-
-def _mul(a: str, b: int) -> str:
-    return MIX.format(a=f"({a})::HUGEINT", b=f"({b})::HUGEINT")
-
-
-GRAIN_SQL = (
-    f"i AS (SELECT p::HUGEINT AS p, xor({int(kernels.splitmix64(7, 1)[0])}::UBIGINT, ({_mul('p', 0x9E3779B97F4A7C15)})::UBIGINT) AS z FROM generate_series(0, 262143) g(p)), "
-    f"j AS (SELECT p, ({_mul('xor(z, z >> 30)', 0xBF58476D1CE4E5B9)})::UBIGINT AS z FROM i), "
-    "k AS (SELECT p::BIGINT AS p, (z >> 58)::BIGINT AS grain FROM j)"
-)
-
-
-@query("synthetic_burst", f"WITH {GRAIN_SQL}, v AS (SELECT p // 4096 AS t, abs((p // 4096 * 8) % 256 - 128) + p % 64 + p // 64 % 64 + grain AS v FROM k) SELECT t::INTEGER AS t, count(*) AS n, sum(v)::BIGINT AS total, max(v) AS high, sum(v * v)::BIGINT AS squares FROM v GROUP BY t")
-def synthetic_burst(spark, d):
-    """Size, sum, maximum and sum of squares of every frame of a synthetic burst of 64 frames."""
-    b = frames.synthetic_burst(spark, 7, 64, 64)
-    return b.groupBy("t").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.max("v").alias("high"), F.sum(F.col("v") * F.col("v")).alias("squares"))
-
-
 W = "PARTITION BY burst ORDER BY ts, tick_id"
 NUMBERED = f"WITH {TICKS_SQL}, o AS (SELECT *, row_number() OVER ({W}) - 1 AS i FROM ticks)"
 

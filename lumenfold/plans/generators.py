@@ -9,7 +9,7 @@ from lumenfold.functions import kernels, signatures
 from lumenfold.functions.arith import trunc_div
 from lumenfold.operators import frames
 from lumenfold.plans.catalog import query
-from lumenfold.plans.inputs import palette, pixels, table
+from lumenfold.plans.inputs import PALETTE_SQL, palette, pixels, table
 
 KINDS = ("gradient", "blob", "edge", "waves", "mixed")
 
@@ -50,14 +50,14 @@ def zipf_populations(spark, d):
 
 @query("tile_stream")
 def tile_stream(spark, d):
-    """Slices of an endless stream, each made from its number alone: sums of its four frames."""
+    """Slices of an endless stream, one for each part, made from its number alone: sums of its four frames."""
 
     def make(batches):
         for pdf in batches:
-            rows = [(int(n), t, int(f.sum())) for n in pdf["id"] for t, f in enumerate(kernels.tile_slice(5, int(n), 4, 16))]
+            rows = [(int(n), t, int(f.sum())) for n in pdf["p_partkey"] for t, f in enumerate(kernels.tile_slice(5, int(n), 4, 16))]
             yield type(pdf)(rows, columns=["tile", "t", "total"])
 
-    return spark.range(0, 256, 1, 8).mapInPandas(make, "tile long, t int, total long")
+    return table(spark, d, "part").select("p_partkey").mapInPandas(make, "tile long, t int, total long")
 
 
 @query("user_clusters")
@@ -88,7 +88,37 @@ def free_barycenter(spark, d):
     return frames.per_group(palette(spark, d), "frame", "frame long, k int, l double, a double, b double", make)
 
 
-@query("cyclic_descriptor")
+def descriptor_sql(rounds: int, epsilon: float) -> str:
+    """The sixteen numbers of every frame's loop, the scaling written out round by round."""
+    sql = f"""WITH {PALETTE_SQL}, x AS (SELECT frame AS g, slot // 4 AS t, slot % 4 AS i, l / 65536.0::DOUBLE AS l, a / 65536.0::DOUBLE AS a, b / 65536.0::DOUBLE AS b, (slot % 4 + 1)::DOUBLE AS w FROM palette),
+    p AS MATERIALIZED (SELECT *, w / sum(w) OVER (PARTITION BY g, t) AS p FROM x),
+    mean AS (SELECT g, t, sum(p * l) AS l, sum(p * a) AS a, sum(p * b) AS b, -sum(p * ln(p)) AS plain FROM p GROUP BY g, t),
+    cov AS (SELECT p.g, p.t, any_value(plain) AS plain, sum(p * (p.l - m.l) * (p.l - m.l)) AS ll, sum(p * (p.l - m.l) * (p.a - m.a)) AS la, sum(p * (p.l - m.l) * (p.b - m.b)) AS lb, sum(p * (p.a - m.a) * (p.a - m.a)) AS aa, sum(p * (p.a - m.a) * (p.b - m.b)) AS ab, sum(p * (p.b - m.b) * (p.b - m.b)) AS bb FROM p JOIN mean m ON m.g = p.g AND m.t = p.t GROUP BY p.g, p.t),
+    c AS MATERIALIZED (SELECT p.g, p.t, p.i, q.i AS k, p.p AS pa, q.p AS pb, (p.l - q.l) * (p.l - q.l) + (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) AS cost FROM p JOIN p q ON q.g = p.g AND q.t = (p.t + 1) % 4),
+    e AS MATERIALIZED (SELECT *, exp(-cost / {epsilon}) AS kk FROM c), u0 AS (SELECT g, t, i, 1.0::DOUBLE AS u FROM p)"""
+    for r in range(rounds):
+        sql += f", v{r} AS MATERIALIZED (SELECT e.g, e.t, k, any_value(pb) / sum(u * kk) AS v FROM e JOIN u{r} s ON s.g = e.g AND s.t = e.t AND s.i = e.i GROUP BY e.g, e.t, k)"
+        sql += f", u{r + 1} AS MATERIALIZED (SELECT e.g, e.t, i, any_value(pa) / sum(v * kk) AS u FROM e JOIN v{r} s ON s.g = e.g AND s.t = e.t AND s.k = e.k GROUP BY e.g, e.t, i)"
+    product = lambda left, m: f"SELECT s.g, s.i, m.k, sum(s.m * m.m) AS m FROM {left} s JOIN {m} m ON m.g = s.g AND m.i = s.k GROUP BY s.g, s.i, m.k"
+    power = lambda name: f"SELECT g, k, pow(sum({name} * cos(2 * pi() * k * t / 4)), 2) + pow(sum({name} * sin(2 * pi() * k * t / 4)), 2) AS a FROM s, (VALUES (1), (2), (3)) f(k) GROUP BY g, k"
+    sql += f""", plan AS MATERIALIZED (SELECT e.g, e.t, e.i, e.k, cost, u * kk * v AS m FROM e JOIN u{rounds} x ON x.g = e.g AND x.t = e.t AND x.i = e.i JOIN v{rounds - 1} y ON y.g = e.g AND y.t = e.t AND y.k = e.k),
+    ways AS (SELECT g, t, sum(m * cost) AS cost, -sum(CASE WHEN m > 0 THEN m * ln(m) ELSE 0 END) AS ent FROM plan GROUP BY g, t),
+    s AS MATERIALIZED (SELECT cov.g, cov.t, plain, 0.5 * ln(pow(2 * pi() * exp(1.0::DOUBLE), 3) * greatest(ll * (aa * bb - ab * ab) - la * (la * bb - ab * lb) + lb * (la * ab - aa * lb), 1e-12::DOUBLE)) AS colour, cost, ent FROM cov JOIN ways USING (g, t)),
+    row AS MATERIALIZED (SELECT g, t, i, k, m / sum(m) OVER (PARTITION BY g, t, i) AS m FROM plan),
+    r0 AS (SELECT * FROM row WHERE t = 0), r1 AS (SELECT * FROM row WHERE t = 1), r2 AS (SELECT * FROM row WHERE t = 2), r3 AS (SELECT * FROM row WHERE t = 3),
+    h1 AS MATERIALIZED ({product('r1', 'r0')}), h2 AS MATERIALIZED ({product('r2', 'h1')}), h3 AS ({product('r3', 'h2')}),
+    hol AS (SELECT g, 1 - sum(m) / 4 AS h FROM h3 WHERE i = k GROUP BY g),
+    fp AS ({power('plain')}), fc AS ({power('colour')}), ft AS ({power('cost')}),
+    ent AS (SELECT w, g, CASE WHEN sum(a) <= 1e-12 THEN 0 ELSE -sum(CASE WHEN a > 0 THEN a / tot * ln(a / tot) ELSE 0 END) END AS h, CASE WHEN sum(a) <= 1e-12 THEN 0 ELSE 0.5 * ln(2 * pi() * exp(1.0::DOUBLE)) + sum(ln(greatest(a, 1e-12::DOUBLE))) / 6 END AS rate
+        FROM (SELECT *, sum(a) OVER (PARTITION BY w, g) AS tot FROM (SELECT 7 AS w, * FROM fp UNION ALL SELECT 8, * FROM fc UNION ALL SELECT 9, * FROM ft)) GROUP BY w, g)
+    SELECT g AS frame, k::INTEGER AS k, round(v, 6) AS v FROM (
+        SELECT g, 0 AS k, avg(plain) AS v FROM s GROUP BY g UNION ALL SELECT g, 1, stddev_pop(plain) FROM s GROUP BY g UNION ALL SELECT g, 2, avg(colour) FROM s GROUP BY g UNION ALL SELECT g, 3, stddev_pop(colour) FROM s GROUP BY g
+        UNION ALL SELECT g, 4, sum(cost) FROM s GROUP BY g UNION ALL SELECT g, 5, avg(cost) FROM s GROUP BY g UNION ALL SELECT g, 6, avg(ent) FROM s GROUP BY g UNION ALL SELECT g, w, h FROM ent UNION ALL SELECT g, 10, rate FROM ent WHERE w = 7
+        UNION ALL SELECT g, 11, h FROM hol UNION ALL SELECT g, 11 + k, CASE WHEN sum(a) OVER (PARTITION BY g) > 1e-12 THEN a / sum(a) OVER (PARTITION BY g) ELSE 0 END FROM fp UNION ALL SELECT g, 15, 0 FROM hol)"""
+    return sql
+
+
+@query("cyclic_descriptor", descriptor_sql(30, 0.05))
 def cyclic_descriptor(spark, d):
     """Sixteen invariants of the loop of every frame's palette, cut in four palettes of four."""
 

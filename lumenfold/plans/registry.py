@@ -6,7 +6,7 @@ import importlib
 
 from lumenfold.plans.catalog import ORACLES, QUERIES
 
-MODULES = ("signal", "hist", "colors", "ledger", "frames", "volumes", "models", "lattice", "measures", "generators", "stores", "refinements")
+MODULES = ("signal", "hist", "colors", "ledger", "frames", "volumes", "models", "lattice", "measures", "generators", "stores", "refinements", "exports", "rounds", "pictures", "margins")
 
 for _name in MODULES:
     importlib.import_module(f"lumenfold.plans.{_name}")

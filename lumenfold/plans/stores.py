@@ -13,6 +13,7 @@ from lumenfold.functions.lift import SUBSTRATE_BOUND, in_bound
 from lumenfold.operators import assign
 from lumenfold.plans.catalog import query
 from lumenfold.plans.inputs import PALETTE_SQL, PIXELS_SQL, TICKS_SQL, palette, pixels, table, ticks
+from lumenfold.plans.lattice import BYTES_SQL, _bytes
 from lumenfold.sources import codecs, readers
 from lumenfold.storage import new_path
 
@@ -133,11 +134,16 @@ def swap_codec(spark, d):
     return readers.decode_swaps(p.select(F.col("frame").cast("string").alias("stem"), wrap("frame", "w").alias("content"))).select("stem", "status", "minted", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("parents", "weights")])
 
 
-@query("lut_lines", "SELECT -1 AS k, 'LUT_3D_SIZE 4' AS value UNION ALL SELECT (b * 4 + g) * 4 + r, printf('%.6f %.6f %.6f', r / 3.0::DOUBLE, g / 6.0::DOUBLE, b / 12.0::DOUBLE) FROM generate_series(0, 3) x(r), generate_series(0, 3) y(g), generate_series(0, 3) z(b)")
+LUT_SQL = "c AS (SELECT r // 64 AS r, g // 64 AS g, b // 64 AS b, avg(r) / 255.0 AS x, avg(g) / 255.0 AS y, avg(b) / 255.0 AS z FROM bytes GROUP BY ALL)"
+
+
+@query("lut_lines", f"WITH {BYTES_SQL}, {LUT_SQL} SELECT -1 AS k, 'LUT_3D_SIZE 4' AS value UNION ALL SELECT (b * 4 + g) * 4 + r, printf('%.6f %.6f %.6f', coalesce(x, r / 3.0), coalesce(y, g / 3.0), coalesce(z, b / 3.0)) FROM generate_series(0, 3) p(r) CROSS JOIN generate_series(0, 3) q(g) CROSS JOIN generate_series(0, 3) s(b) LEFT JOIN c USING (r, g, b)")
 def lut_lines(spark, d):
-    """The lines of a small colour table, red fastest, with their places."""
+    """The lines of a small colour table, red fastest, with their places: each cell's mean colour of all parts, its own corner where there is none."""
     grid = spark.range(64).select((F.col("id") % 4).alias("r"), (trunc_div("id", 4) % 4).alias("g"), trunc_div("id", 16).alias("b"))
-    lines = readers.cube_lut_lines(grid.select("*", (F.col("r") / 3.0).alias("out_r"), (F.col("g") / 6.0).alias("out_g"), (F.col("b") / 12.0).alias("out_b")), 4)
+    cells = _bytes(spark, d).groupBy(*[trunc_div(c, 64).cast("long").alias(c) for c in "rgb"]).agg(*[(F.avg(c) / 255.0).alias(f"_{c}") for c in "rgb"])
+    filled = grid.join(cells, ["r", "g", "b"], "left").select("r", "g", "b", *[F.coalesce(f"_{c}", F.col(c) / 3.0).alias(f"out_{c}") for c in "rgb"])
+    lines = readers.cube_lut_lines(filled, 4)
     return lines.coalesce(1).select((F.monotonically_increasing_id() - 1).alias("k"), "value")
 
 
