@@ -11,7 +11,8 @@ a document of smaller id, or earlier in the same one). Positions:
    one place in all documents cannot repeat; the others, with their bytes, are
    dealt into shards by anchor, so equal windows always meet in a shard,
    whichever document they come from.
-3. Per shard, a suffix array is refined as by Larsson and Sadakane: suffixes
+3. Per shard, of segments with equal bytes all but the first repeat whole. Over
+   the others a suffix array is refined as by Larsson and Sadakane: suffixes
    sorted by 8 bytes, then groups that are still open by the ranks 8, 16 and
    32 bytes further on; the ranks of a window's first 64 and last 64 bytes give
    the windows in order of their 100 bytes. Kasai's scan then finds the common
@@ -235,6 +236,12 @@ def scan_shard(key: tuple, tab: pa.Table) -> pa.Table:
     """Intervals of the shard; of a piece of a hot anchor also its first windows, range by range, in order of their bytes."""
     pieces = tab.column("pieces")[0].as_py()
     doc_id, doc_key, start, n, segments = _read(tab)
+    # all windows of a segment whose bytes stand earlier as a segment occur earlier: only the first of each goes on
+    place = {}
+    alike = np.fromiter((place.setdefault(s, i) for i, s in enumerate(segments)), np.int64, len(segments))
+    own = alike == np.arange(len(alike))
+    again = {"doc_id": doc_id[~own], "key": doc_key[~own], "start": start[~own].astype(np.int32), "stop": (start + n - 1 + LENGTH)[~own].astype(np.int32)}
+    doc_id, doc_key, start, n, segments = doc_id[own], doc_key[own], start[own], n[own], list(place)
     data = np.frombuffer(b"".join(segments), np.uint8)
     sizes = np.array([len(s) for s in segments], np.int64)
     offset = np.cumsum(sizes) - sizes
@@ -244,6 +251,7 @@ def scan_shard(key: tuple, tab: pa.Table) -> pa.Table:
     beyond = np.arange(len(data)) - np.repeat(offset + n - 1, sizes)
     later, first = later_windows(data, where, seg, beyond)
     out = _intervals(doc_id, doc_key, start[seg] + within, later, seg)
+    out = {c: np.concatenate([np.asarray(out[c], again[c].dtype), again[c]]) for c in again}
     if key[1].as_py() < 0:
         return _found(out)
     k, at = packed(data), where[first]
