@@ -158,7 +158,7 @@ IDLE_MS = 129_600_000
 
 @query(
     "timed_captures",
-    f"""WITH {TICKS_SQL}, t AS (SELECT burst, epoch_ms(ts) AS ms, tick_id, v, lag(epoch_ms(ts)) OVER w AS before FROM ticks WINDOW w AS (PARTITION BY burst ORDER BY epoch_ms(ts), tick_id)),
+    f"""WITH {TICKS_SQL}, t AS (SELECT burst, epoch_us(ts) // 1000 AS ms, tick_id, v, lag(epoch_us(ts) // 1000) OVER w AS before FROM ticks WINDOW w AS (PARTITION BY burst ORDER BY epoch_us(ts) // 1000, tick_id)),
     s AS (SELECT *, sum(CASE WHEN ms - before > {IDLE_MS} THEN 1 ELSE 0 END) OVER (PARTITION BY burst ORDER BY ms, tick_id) AS run FROM t),
     c AS (SELECT *, (row_number() OVER (PARTITION BY burst, run ORDER BY ms, tick_id) - 1) // 64 AS part, (row_number() OVER (PARTITION BY burst, run ORDER BY ms, tick_id) - 1) % 64 % 16 AS p FROM s),
     o AS (SELECT *, CASE WHEN p < 8 THEN 0 WHEN p < 13 THEN 1 ELSE 2 END AS k, p NOT IN (0, 1, 8, 9, 13, 14) AS own FROM c),
@@ -169,5 +169,5 @@ IDLE_MS = 129_600_000
 )
 def timed_captures(spark, d):
     """Routed sums of every capture of the stream that has ended, by count, by a gap, or by a timer."""
-    captures.state_store(spark)
-    return run_to_table(captures.routed_captures(_stream(spark, d), idle_ms=IDLE_MS), "captures")
+    with captures.state_store(spark):
+        return run_to_table(captures.routed_captures(_stream(spark, d), idle_ms=IDLE_MS), "captures")

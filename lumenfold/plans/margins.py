@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenfold.functions.arith import to_q16, trunc_div
+from lumenfold.functions.arith import trunc_div
 from lumenfold.operators import pools, volume
 from lumenfold.plans.catalog import query
 from lumenfold.plans.inputs import PIXELS_SQL, pixels, table
@@ -44,7 +44,7 @@ def _cells(spark, d):
     """frame, idx, floor, basis, target, theta and cell: the floor moved by the fitted multiple of its basis."""
     i = F.col("idx")
     basis = (i % 4) * (1 + i % 3)
-    c = pixels(spark, d).select("frame", "idx", F.col("l").alias("floor"), basis.alias("basis"), (F.col("l") + 3 * basis + F.floor(F.col("a") / 64)).alias("target"))
+    c = pixels(spark, d).select("frame", "idx", F.col("l").alias("floor"), basis.alias("basis"), (F.col("l") + 3 * basis + trunc_div("a", 64)).alias("target"))
     squares = F.sum(F.col("basis") * F.col("basis"))
     theta = F.when(squares > 0, F.sum((F.col("target") - F.col("floor")) * F.col("basis")).cast("double") / squares).otherwise(0.0)
     fitted = c.groupBy("frame").agg(theta.alias("theta"))

@@ -67,10 +67,10 @@ def transport_plan(spark, d):
 @query("stream_ownership", f"{NUMBERED}, {PLAN_SQL} SELECT burst, scale, count(*) FILTER (WHERE owned) AS owned, count(*) FILTER (WHERE NOT owned) AS skipped, coalesce(sum(v) FILTER (WHERE owned), 0)::BIGINT AS total FROM o JOIN plan ON i % 16 = phase GROUP BY ALL")
 def stream_ownership(spark, d):
     """Ticks of a stream, numbered by state and joined with the static plan of dwells: what each scale owns and skips."""
-    captures.state_store(spark)
     plan = spark.createDataFrame(PLAN, "phase int, scale int, owned boolean")  # 16 rows
-    owned = captures.numbered_ticks(_stream(spark, d), len(PLAN)).join(F.broadcast(plan), "phase")
-    j = run_to_table(owned.select("burst", "scale", "owned", "v"), "ownership")
+    with captures.state_store(spark):
+        owned = captures.numbered_ticks(_stream(spark, d), len(PLAN)).join(F.broadcast(plan), "phase")
+        j = run_to_table(owned.select("burst", "scale", "owned", "v"), "ownership")
     return j.groupBy("burst", "scale").agg(F.count_if("owned").alias("owned"), F.count_if(~F.col("owned")).alias("skipped"), F.coalesce(F.sum(F.when(F.col("owned"), F.col("v"))), F.lit(0)).alias("total"))
 
 

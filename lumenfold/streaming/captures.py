@@ -1,7 +1,7 @@
 """Routed sums and drops of captures, with state that ends: by count, by a timer, or by its time to live.
 
-``transformWithState`` needs the RocksDB state store: :func:`state_store` sets
-it for the session's next queries.
+``transformWithState`` needs the RocksDB state store: start and read such
+queries inside :func:`state_store`.
 
 A capture of a burst ends in one of three ways, whatever the micro-batches:
 
@@ -18,10 +18,10 @@ micro-batch are folded by (ts, tick_id).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampNTZType
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lumenfold.streaming.ticks import BURST_TICKS, PLAN
@@ -35,9 +35,16 @@ DROPS = "burst long, ticks long, s0 long, s1 long, s2 long"
 DROPS_STATE = "ticks long, s0 long, s1 long, s2 long"
 
 
-def state_store(spark: SparkSession) -> None:
-    """The state store that timers and state of several variables need."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+@contextmanager
+def state_store(spark: SparkSession):
+    """The state store that timers and state of several variables need, for queries started inside; afterwards the session's own holds again."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 class RoutedCaptures(StatefulProcessor):
@@ -89,9 +96,8 @@ class RoutedCaptures(StatefulProcessor):
 
 def routed_captures(ticks: DataFrame, delay: str = "0 seconds", **kw) -> DataFrame:
     """ticks: burst, ts, tick_id, v, streaming. One row (SUMS) for each capture that has ended."""
-    plain = isinstance(ticks.schema["ts"].dataType, TimestampNTZType)
-    ms = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")) if plain else F.unix_millis("ts")
-    rows = ticks.withColumn("ms", ms).withWatermark("ts", delay)
+    at = F.col("ts").cast("timestamp")  # a watermark needs one
+    rows = ticks.withColumn("ts", at).withColumn("ms", F.unix_millis("ts")).withWatermark("ts", delay)
     return rows.groupBy("burst").transformWithState(RoutedCaptures(**kw), SUMS, "Append", "EventTime")
 
 

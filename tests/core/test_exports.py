@@ -290,7 +290,11 @@ def feed(spark, path, rows):
 
 
 def capture_run(spark, path, **kw):
-    captures.state_store(spark)
+    with captures.state_store(spark):
+        return capture_rows(spark, path, **kw)
+
+
+def capture_rows(spark, path, **kw):
     ticks = spark.readStream.schema(TICKS).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     q = captures.routed_captures(ticks, **kw).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -313,7 +317,6 @@ def test_captures_end_and_leave_no_state(spark, tmp_path):
 
 
 def test_drops_live_for_a_while(spark, tmp_path):
-    captures.state_store(spark)
     path = str(tmp_path)
 
     def run(rows, wanted):
@@ -321,7 +324,9 @@ def test_drops_live_for_a_while(spark, tmp_path):
         ticks = spark.readStream.schema(TICKS).parquet(f"{path}/in")
         out = []
         # processing time goes on without data, so such a query ends when it is stopped
-        q = captures.living_drops(ticks, 1500).writeStream.outputMode("update").foreachBatch(lambda df, n: out.extend(tuple(r) for r in df.collect())).option("checkpointLocation", f"{path}/log").trigger(processingTime="1 second").start()
+        q = captures.living_drops(ticks, 1500).writeStream.outputMode("update").foreachBatch(lambda df, n: out.extend(tuple(r) for r in df.collect())).option("checkpointLocation", f"{path}/log").trigger(processingTime="1 second")
+        with captures.state_store(spark):
+            q = q.start()
         until = time.time() + 60
         while len(out) < wanted and q.isActive and time.time() < until:
             time.sleep(0.2)

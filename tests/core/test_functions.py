@@ -184,6 +184,20 @@ def test_graph_on_cycles(spark):
     assert set(label.values()) == {0, 100} and label[40] == 0
 
 
+def test_closure_against_brute_force(spark):
+    rng = random.Random(5)
+    pairs = [(i, i + 1) for i in range(21)] + [(rng.randrange(100, 130), rng.randrange(100, 130)) for _ in range(35)] + [(200, 200)]
+    reach = {a: {b for x, b in pairs if x == a} for a, _ in pairs}
+    while True:
+        more = {a: bs | {c for b in bs for c in reach.get(b, ())} for a, bs in reach.items()}
+        if more == reach:
+            break
+        reach = more
+    got = [tuple(r) for r in graph.closure(spark.createDataFrame(pairs, "child long, parent long")).collect()]
+    assert sorted(got) == sorted((a, b) for a, bs in reach.items() for b in bs)
+    assert graph.closure(spark.createDataFrame([], "child long, parent long")).count() == 0
+
+
 def test_board_keeps_its_ledger():
     rng = random.Random(8)
     b, poured = games.Board(), 0
