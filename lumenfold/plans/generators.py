@@ -106,7 +106,7 @@ def descriptor_sql(rounds: int, epsilon: float) -> str:
     s AS MATERIALIZED (SELECT cov.g, cov.t, plain, 0.5 * ln(pow(2 * pi() * exp(1.0::DOUBLE), 3) * greatest(ll * (aa * bb - ab * ab) - la * (la * bb - ab * lb) + lb * (la * ab - aa * lb), 1e-12::DOUBLE)) AS colour, cost, ent FROM cov JOIN ways USING (g, t)),
     row AS MATERIALIZED (SELECT g, t, i, k, m / sum(m) OVER (PARTITION BY g, t, i) AS m FROM plan),
     r0 AS (SELECT * FROM row WHERE t = 0), r1 AS (SELECT * FROM row WHERE t = 1), r2 AS (SELECT * FROM row WHERE t = 2), r3 AS (SELECT * FROM row WHERE t = 3),
-    h1 AS MATERIALIZED ({product('r1', 'r0')}), h2 AS MATERIALIZED ({product('r2', 'h1')}), h3 AS ({product('r3', 'h2')}),
+    h1 AS MATERIALIZED ({product('r0', 'r1')}), h2 AS MATERIALIZED ({product('h1', 'r2')}), h3 AS ({product('h2', 'r3')}),
     hol AS (SELECT g, 1 - sum(m) / 4 AS h FROM h3 WHERE i = k GROUP BY g),
     fp AS ({power('plain')}), fc AS ({power('colour')}), ft AS ({power('cost')}),
     ent AS (SELECT w, g, CASE WHEN sum(a) <= 1e-12 THEN 0 ELSE -sum(CASE WHEN a > 0 THEN a / tot * ln(a / tot) ELSE 0 END) END AS h, CASE WHEN sum(a) <= 1e-12 THEN 0 ELSE 0.5 * ln(2 * pi() * exp(1.0::DOUBLE)) + sum(ln(greatest(a, 1e-12::DOUBLE))) / 6 END AS rate

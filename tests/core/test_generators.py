@@ -54,7 +54,7 @@ def test_scenes_are_reproducible_and_differ():
 
 def test_tiles_do_not_depend_on_each_other(spark):
     got = {(r["tile"], r["t"]): r["total"] for r in QUERIES["tile_stream"](spark, DATA).collect()}
-    assert len(got) == 800 and all(got[n, t] == kernels.tile_slice(5, n, 4, 16)[t].sum() for n in (1, 100, 200) for t in range(4))
+    assert len(got) == 800 and all(got[n, t] == kernels.tile_slice(5, n, 4, 16)[t].sum() for n in (0, 100, 199) for t in range(4))
 
 
 def test_transport_plan_and_barycenter():
