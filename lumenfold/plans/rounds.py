@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators import clusters, evolution, meta, transport
 from lumenfold.operators.sequence import numbered
-from lumenfold.plans.catalog import query
+from lumenfold.plans.catalog import ORACLES, query
 from lumenfold.plans.frames import NUMBERED, _stream
 from lumenfold.plans.inputs import PALETTE_SQL, PIXELS_SQL, TICKS_SQL, palette, pixels, ticks
 from lumenfold.plans.signal import PLAN, PLAN_SQL
@@ -36,6 +36,10 @@ def palette_sql(k: int, lloyd: int, points: str = PIXELS_SQL) -> str:
     return f"{sql}, a AS ({near.format(c=f'c{lloyd}')}) SELECT a.frame, a.idx, a.slot, c.l AS cl, c.a AS ca, c.b AS cb FROM a JOIN c{lloyd} c USING (frame, slot)"
 
 
+#: The one-frame form of the same rule, which :mod:`lumenfold.plans.frames` registers.
+ORACLES["quantize_frame"] = palette_sql(16, 2)
+
+
 @query("quantize_large", palette_sql(12, 2))
 def quantize_large(spark, d):
     """A palette of twelve for every frame, by rounds over the table of all pixels, and every pixel's slot."""
