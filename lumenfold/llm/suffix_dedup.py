@@ -21,10 +21,14 @@ a document of smaller id, or earlier in the same one). Positions:
    window is at least that of the window before it, less one. Windows are equal
    where it reaches 100 bytes. Runs lie in document order, so the first window
    of a class is the earliest.
-4. An anchor with more than ``HOT`` runs is dealt into pieces. The sorted lists
+4. The runs of an anchor with more than ``HOT`` runs are cut again, by the least
+   hash of the ``FINE``-byte strings in a window: what stands at one place goes
+   no further, as before, and the rest is dealt by both anchors. A fine anchor
+   that still has more than ``HOT`` runs is dealt into pieces. The sorted lists
    of first windows of its pieces are merged by binary search, comparing bytes,
    ``FAN`` pieces at a time, each in as many ranges (by a hash of the window) as
-   the anchor has pieces.
+   the anchor has pieces. A fine run has at most ``LENGTH - FINE + 1`` windows,
+   so the lists, which hold each window's bytes, stay near the texts in size.
 
 Shards and ranges have bounded size, no text leaves its row but the runs with
 a repeated anchor, and every step that groups by a value counts it first.
@@ -53,6 +57,7 @@ LENGTH = 100
 GRAM = 24
 RUN = LENGTH - GRAM + 1
 HOT = 1000
+FINE = 88
 SHARD_BYTES = 2 << 20
 FAN = 64
 #: Where null ids stand in the order of documents.
@@ -334,6 +339,26 @@ def cut_segments(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key long, anchor long, start int, n int, pieces int, bytes binary")
 
 
+def fine_segments(segments: DataFrame) -> DataFrame:
+    """segments: doc_id, key, anchor, start, n, bytes. Their runs by anchor and fine anchor, with their bytes and the places of the fine anchor."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 1 << 13):
+                part = batch.slice(at, 1 << 13)
+                raws = part.column("bytes").to_pylist()
+                text, fine, first, n, places = anchor_runs(raws, gram=FINE)
+                anchor = mix(part.column("anchor").to_numpy().view(np.uint64)[text] * M1 + fine)
+                got = [raws[t][s : s + m + LENGTH - 1] for t, s, m in zip(text.tolist(), first.tolist(), n.tolist())]
+                start = part.column("start").to_numpy()[text] + first
+                row = pa.array(text)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(row), part.column("key").take(row), pa.array(anchor.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(places.astype(np.int32)), pa.array(got, pa.binary())],
+                    ["doc_id", "key", "anchor", "start", "n", "places", "bytes"])
+
+    return segments.select("doc_id", "key", "anchor", "start", "n", "bytes").mapInArrow(run, "doc_id long, key long, anchor long, start int, n int, places int, bytes binary")
+
+
 def strip(rows: DataFrame) -> DataFrame:
     """rows: doc_id, key, copy (boolean), text, cuts (array<struct<start, stop>>). What is left of each text."""
 
@@ -370,31 +395,57 @@ def strip(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """:func:`stored`, after which the shuffles that made the table are deleted, so that those of one step do not stay beside the next one's."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(key, before)
+
+
+def repeated_anchors(runs: DataFrame, name: str) -> DataFrame:
+    """anchor, m (its runs) and pieces, of anchors that stand at two places or more. runs: anchor, places."""
+    pieces = F.when(F.col("m") > HOT, F.ceil(F.col("m") / max(1, HOT // 2))).otherwise(1).cast("int")
+    return _kept(runs.groupBy("anchor").agg(F.count("*").alias("m"), F.sum("places").alias("places")).filter("places > 1").select("anchor", "m", pieces.alias("pieces")), name)
+
+
 def repeated_intervals(firsts: DataFrame) -> DataFrame:
     """firsts: doc_id, key, text, distinct texts only. Byte intervals (INTERVALS) that occur earlier."""
-    runs = stored(find_runs(firsts), "suffix-runs")
-    pieces = F.when(F.col("m") > HOT, F.ceil(F.col("m") / max(1, HOT // 2))).otherwise(1).cast("int")
-    often = stored(runs.groupBy("anchor").agg(F.count("*").alias("m"), F.sum("places").alias("places")).filter("places > 1").select("anchor", pieces.alias("pieces")), "suffix-anchors")
-    most = often.agg(F.max("pieces")).first()[0] or 1
-    by_doc = stored(runs.join(often, "anchor").groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "start", "n", "pieces")).alias("runs")), "suffix-flags")
-    discard(runs, often)
-    n_runs = by_doc.agg(F.sum(F.size("runs"))).first()[0] or 0
+    runs = _kept(find_runs(firsts), "suffix-runs")
+    often = repeated_anchors(runs, "suffix-anchors")
+    by_doc = _kept(runs.join(often, "anchor").groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "start", "n", "pieces")).alias("runs")), "suffix-flags")
+    discard(runs)
     flags = by_doc.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "runs")
     with_runs = firsts.join(flags, (F.col("key") == F.col("_k")) & (F.col("doc_id") == F.col("_d"))).select("doc_id", "key", "text", "runs")
+    cut = _kept(cut_segments(with_runs), "suffix-segments")
+    discard(by_doc)
+    segments, sums = cut, often.agg(F.sum(F.when(F.col("pieces") == 1, F.col("m"))).alias("n"), F.max("pieces").alias("most")).first()
+    n_runs, most = sums["n"] or 0, sums["most"] or 1
+    if most > 1:  # hot anchors: what they share with a fine anchor, if that stands at two places
+        fine = fine_segments(cut.filter("pieces > 1"))
+        twice = repeated_anchors(fine.select("anchor", "places"), "suffix-fine-anchors")
+        sums = twice.agg(F.count("*").alias("rows"), F.sum("m").alias("n"), F.max("pieces").alias("most")).first()
+        n_runs, most = n_runs + (sums["n"] or 0), sums["most"] or 1
+        few = F.broadcast(twice) if fits_broadcast(sums["rows"], 64) else twice
+        own = fine.drop("places").join(few, "anchor").select("doc_id", "key", "anchor", "start", "n", "pieces", "bytes")
+        segments = cut.filter("pieces = 1").unionByName(own)
     shards = max(1, n_runs * 140 // SHARD_BYTES)
     # a hot anchor is a shard of its own, in pieces; piece -1 means that it is whole
     hot = F.col("pieces") > 1
     part = F.pmod(F.xxhash64("doc_id", "key", F.floor(F.col("start") / 4096)), F.col("pieces"))
-    segments = cut_segments(with_runs).select(
+    dealt = segments.select(
         "doc_id", "key", "start", "n", "bytes", "pieces",
         F.when(hot, F.col("anchor")).otherwise(F.pmod("anchor", F.lit(shards))).alias("shard"), F.when(hot, part).otherwise(-1).cast("long").alias("piece"),
     )
-    found = stored(segments.groupBy("shard", "piece").applyInArrow(scan_shard, FOUND), "suffix-found")
-    discard(by_doc)
+    found = _kept(dealt.groupBy("shard", "piece").applyInArrow(scan_shard, FOUND), "suffix-found")
+    discard(cut, often)
     whole, lists = found.filter("range IS NULL").select("doc_id", "key", "start", "stop"), found.filter("range IS NOT NULL").select("range", "piece", "firsts")
     while most > 1:
         most = -(-most // FAN)
-        found = stored(lists.withColumn("piece", F.floor(F.col("piece") / FAN)).groupBy("range", "piece").applyInArrow(merge_lists, FOUND), "suffix-merged")
+        found = _kept(lists.withColumn("piece", F.floor(F.col("piece") / FAN)).groupBy("range", "piece").applyInArrow(merge_lists, FOUND), "suffix-merged")
         whole, lists = whole.union(found.filter("range IS NULL").select("doc_id", "key", "start", "stop")), found.filter("range IS NOT NULL").select("range", "piece", "firsts")
     return whole
 
@@ -408,12 +459,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("_sha"))
     rows = rows.select("doc_id", F.coalesce(F.conv(F.substring("_sha", 1, KEY_DIGITS), 16, 10).cast("long"), F.lit(0)).alias("key"), "text", F.unhex("_sha").alias("digest"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("head")
-    known = stored(rows.groupBy("digest").agg(F.count("*").alias("m"), first).filter("m > 1").select(F.col("digest").alias("_digest"), F.col("head.doc_id").alias("_head")), "suffix-copies")
+    known = _kept(rows.groupBy("digest").agg(F.count("*").alias("m"), first).filter("m > 1").select(F.col("digest").alias("_digest"), F.col("head.doc_id").alias("_head")), "suffix-copies")
     few = F.broadcast(known) if fits_broadcast(known.count(), 80) else known
     copy = F.col("_digest").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("_head"))
     marked = rows.join(few, F.col("digest") == F.col("_digest"), "left").select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("at"), "key", "text", copy.alias("copy"))
     cuts = repeated_intervals(marked.filter("NOT copy").select(F.col("at").alias("doc_id"), "key", "text"))
-    by_doc = stored(cuts.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")), "suffix-cuts")
+    by_doc = _kept(cuts.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")), "suffix-cuts")
     renamed = by_doc.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "cuts")
     ready = marked.join(renamed, (F.col("key") == F.col("_k")) & (F.col("at") == F.col("_d")) & ~F.col("copy"), "left")
     none = F.array().cast("array<struct<start:int,stop:int>>")

@@ -581,6 +581,25 @@ def test_suffix_low_entropy(spark, monkeypatch):
     assert sorted(str(tuple(r)) for r in suffix_dedup.remove_repeats(docs).collect()) == brute_repeats(rows)
 
 
+def test_suffix_lists_of_a_hot_anchor_stay_small(spark, monkeypatch):
+    """A phrase under 100 bytes in many contexts: its runs meet by what they share, so no list holds every window of them."""
+    sizes, real = [], suffix_dedup.stored
+
+    def spy(df, name):
+        out = real(df, name)
+        if "firsts" in out.columns:
+            sizes.append(out.agg(F.coalesce(F.sum(F.octet_length("firsts")), F.lit(0))).first()[0])
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 10)
+    monkeypatch.setattr(suffix_dedup, "stored", spy)
+    phrase = syllables(9, 40)[:80]
+    rows = [(i, f"{syllables(100 + i % 90, 40)} {phrase} {syllables(900 + i, 40)}") for i in range(150)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute_repeats(rows)
+    assert sizes and sum(sizes) < sum(len(t) for _, t in rows)
+
+
 def test_suffix_long_constant_text(spark):
     """5 MB of one letter: runs of bounded length in pieces."""
     got = suffix_dedup.remove_repeats(spark.createDataFrame([(1, "a" * 5_000_000)], "doc_id long, text string")).first()
