@@ -203,6 +203,14 @@ def splitmix64(seed: int, n: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def splitmix64_first(seeds: np.ndarray) -> np.ndarray:
+    """The first output of the generator for each seed."""
+    z = seeds + np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
 def fnv1a64(data: bytes) -> int:
     h = 0xCBF29CE484222325
     for b in data:
@@ -337,23 +345,43 @@ def scene(seed: int, kind: str, frames: int, side: int) -> np.ndarray:
 
 
 def tile_slice(seed: int, tile: int, frames: int, side: int) -> np.ndarray:
-    """(frames, side, side) values of one slice of an endless stream, from its own number alone.
+    """(frames, side, side) values of one slice of an endless stream, from its own number alone."""
+    return tile_slices(seed, np.array([tile]), frames, side)[0]
+
+
+def tile_slices(seed: int, tiles: np.ndarray, frames: int, side: int) -> np.ndarray:
+    """(tiles, frames, side, side) values of slices of an endless stream, each from its own number alone.
 
     A block's tile is chosen by the colours of its four edges, which its
-    neighbours compute alike, so slices fit without being made in order.
+    neighbours compute alike, so slices fit without being made in order. There
+    are sixteen tiles.
     """
-    edge = lambda *at: int(splitmix64(seed ^ (hash_words(at) & 0xFFFFFFFF), 1)[0] & np.uint64(1))
     blocks = 4
     size = side // blocks
-    out = np.empty((frames, side, side), np.int64)
+    at = np.arange(blocks, dtype=np.int64)
+    words = np.broadcast_arrays(np.asarray(tiles, np.int64)[:, None, None, None], at[:, None, None], at[:, None], np.arange(2))
+    hashed = fnv1a64_words(words) & np.uint64(0xFFFFFFFF)
+    edge = (splitmix64_first(np.uint64(seed) ^ hashed) & np.uint64(1)).astype(np.int64)
+    top, left = edge[..., 0], edge[..., 1]
+    n = top + 2 * left + 4 * np.roll(top, -1, 1) + 8 * np.roll(left, -1, 2)
+    grain = np.stack([(splitmix64(seed + k, frames * size * size) >> np.uint64(56)).astype(np.int64).reshape(frames, size, size) + k * 256 for k in range(16)])
+    out = np.zeros((len(n), frames, side, side), np.int64)
     for by in range(blocks):
         for bx in range(blocks):
-            n = edge(tile, by, bx, 0) + 2 * edge(tile, by, bx, 1) + 4 * edge(tile, (by + 1) % blocks, bx, 0) + 8 * edge(tile, by, (bx + 1) % blocks, 1)
-            grain = (splitmix64(seed + n, frames * size * size) >> np.uint64(56)).astype(np.int64).reshape(frames, size, size)
-            out[:, by * size : (by + 1) * size, bx * size : (bx + 1) * size] = grain + n * 256
+            out[:, :, by * size : (by + 1) * size, bx * size : (bx + 1) * size] = grain[n[:, by, bx]]
     return out
 
 
+def fnv1a64_words(words) -> np.ndarray:
+    """:func:`hash_words` of arrays, element by element."""
+    h = np.uint64(0xCBF29CE484222325)
+    for w in words:
+        w = w.astype(np.int64).view(np.uint64)
+        for shift in range(0, 64, 8):
+            h = (h ^ (w >> np.uint64(shift) & np.uint64(0xFF))) * np.uint64(0x100000001B3)
+    return h
+
+
 def hash_words(words) -> int:
     return fnv1a64(b"".join(int(w).to_bytes(8, "little", signed=True) for w in words))
 

@@ -54,10 +54,13 @@ def tile_stream(spark, d):
 
     def make(batches):
         for pdf in batches:
-            rows = [(int(n), t, int(f.sum())) for n in pdf["p_partkey"] for t, f in enumerate(kernels.tile_slice(5, int(n), 4, 16))]
-            yield type(pdf)(rows, columns=["tile", "t", "total"])
+            for at in range(0, len(pdf), 512):
+                tiles = pdf["p_partkey"].to_numpy()[at : at + 512]
+                totals = kernels.tile_slices(5, tiles, 4, 16).sum((2, 3))
+                yield type(pdf)({"tile": np.repeat(tiles, 4), "t": np.tile(np.arange(4, dtype=np.int32), len(tiles)), "total": totals.ravel()})
 
-    return table(spark, d, "part").select("p_partkey").mapInPandas(make, "tile long, t int, total long")
+    parts = table(spark, d, "part").select("p_partkey")
+    return parts.repartition("p_partkey").mapInPandas(make, "tile long, t int, total long")
 
 
 @query("user_clusters")

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import time
 import zlib
 
 import numpy as np
@@ -57,6 +58,27 @@ def test_tiles_do_not_depend_on_each_other(spark):
     assert len(got) == 800 and all(got[n, t] == kernels.tile_slice(5, n, 4, 16)[t].sum() for n in (0, 100, 199) for t in range(4))
 
 
+def test_tiles_are_made_many_at_once():
+    """The vectorised kernel equals the plain loop, edge by edge, at a cost far under a millisecond a tile."""
+
+    def plain(seed, tile, frames, side):
+        edge = lambda *at: int(kernels.splitmix64(seed ^ (kernels.hash_words(at) & 0xFFFFFFFF), 1)[0] & np.uint64(1))
+        size, out = side // 4, np.zeros((frames, side, side), np.int64)
+        for by, bx in itertools.product(range(4), range(4)):
+            n = edge(tile, by, bx, 0) + 2 * edge(tile, by, bx, 1) + 4 * edge(tile, (by + 1) % 4, bx, 0) + 8 * edge(tile, by, (bx + 1) % 4, 1)
+            grain = (kernels.splitmix64(seed + n, frames * size * size) >> np.uint64(56)).astype(np.int64).reshape(frames, size, size)
+            out[:, by * size : (by + 1) * size, bx * size : (bx + 1) * size] = grain + n * 256
+        return out
+
+    tiles = np.array([0, 1, 7, 255, 256, 1_200_000, 2**40 + 3, -5, 2**63 - 1])
+    for seed, frames, side in ((5, 4, 16), (9, 2, 8)):
+        assert (kernels.tile_slices(seed, tiles, frames, side) == np.stack([plain(seed, int(n), frames, side) for n in tiles])).all()
+    began = time.process_time()
+    for at in range(0, 20_000, 500):
+        kernels.tile_slices(5, np.arange(at, at + 500), 4, 16)
+    assert time.process_time() - began < 4
+
+
 def test_transport_plan_and_barycenter():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(5, 3)), rng.normal(size=(7, 3))
