@@ -62,10 +62,29 @@ def replay(ops: DataFrame, group: tuple[str, ...] = (), limit: int = 10_000) ->
         return scratch.result(out)
 
 
+#: Holdings that one task of :func:`grantable` joins.
+TASK_ROWS = 1 << 20
+
+
 def grantable(children: DataFrame, holdings: DataFrame) -> DataFrame:
     """Pairs (who, child) where ``who`` holds every parent of the child.
 
-    children: child, parents (at least one); holdings: who, gene.
+    children: child, parents (at least one); holdings: who, gene. Holders of a
+    child's first parent meet what they hold of its others; only those that
+    match are counted, in partitions whose number grows with the holdings.
     """
-    parts = children.select("child", F.explode(F.array_distinct("parents")).alias("gene"), F.size(F.array_distinct("parents")).alias("_need"))
-    return holdings.select("who", "gene").distinct().join(parts, "gene").groupBy("who", "child").agg(F.count("*").alias("_have"), F.max("_need").alias("_need")).filter("_have = _need").select("who", "child")
+    spark, key = holdings.sparkSession, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    with Scratch(spark, "grantable") as scratch:
+        held = scratch.write(holdings.select("who", "gene"))
+        spark.conf.set(key, str(max(int(before), held.count() // TASK_ROWS + 1)))
+        try:
+            own = children.select("child", F.array_distinct("parents").alias("parents"))
+            first = own.select("child", F.element_at("parents", 1).alias("gene"), F.expr("slice(parents, 2, size(parents))").alias("rest")).filter("gene IS NOT NULL")
+            met = held.join(first, "gene").select("who", "child", "rest")
+            alone = met.filter("size(rest) = 0").select("who", "child").distinct()
+            rest = met.filter("size(rest) > 0").select("who", "child", F.size("rest").alias("_need"), F.explode("rest").alias("gene"))
+            both = rest.join(held, ["who", "gene"], "left_semi").groupBy("who", "child").agg(F.countDistinct("gene").alias("_have"), F.max("_need").alias("_need"))
+            return scratch.result(both.filter("_have = _need").select("who", "child").unionByName(alone))
+        finally:
+            spark.conf.set(key, before)

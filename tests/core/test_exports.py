@@ -236,6 +236,17 @@ def test_grantable(spark):
     assert sorted(tuple(r) for r in mints.grantable(children, holdings).collect()) == [("x", 10), ("x", 11), ("y", 11)]
 
 
+def test_grantable_in_many_partitions(spark, monkeypatch):
+    """One to three parents, nulls, repeated holdings and a child listed twice, in more partitions than the session's."""
+    monkeypatch.setattr(mints, "TASK_ROWS", 16)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    children = [(c, [c % 7, c % 5, c % 3][: 1 + c % 3]) for c in range(60)] + [(60, [None]), (61, [1, None]), (7, [0, 2])]
+    holdings = [(w, g) for w in range(20) for g in range(7) if (w * 5 + g * 3) % 4] * 2 + [(3, None)]
+    got = mints.grantable(spark.createDataFrame(children, "child long, parents array<long>"), spark.createDataFrame(holdings, "who long, gene long")).collect()
+    want = {(w, c) for w in range(20) for c, parents in children if all(p is not None and (w, p) in holdings for p in parents)}
+    assert sorted(tuple(r) for r in got) == sorted(want) and spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
 # pools
 
 
