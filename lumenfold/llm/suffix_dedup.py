@@ -21,14 +21,19 @@ a document of smaller id, or earlier in the same one). Positions:
    window is at least that of the window before it, less one. Windows are equal
    where it reaches 100 bytes. Runs lie in document order, so the first window
    of a class is the earliest.
-4. The runs of an anchor with more than ``HOT`` runs are cut again, by the least
-   hash of the ``FINE``-byte strings in a window: what stands at one place goes
-   no further, as before, and the rest is dealt by both anchors. A fine anchor
-   that still has more than ``HOT`` runs is dealt into pieces. The sorted lists
-   of first windows of its pieces are merged by binary search, comparing bytes,
-   ``FAN`` pieces at a time, each in as many ranges (by a hash of the window) as
-   the anchor has pieces. A fine run has at most ``LENGTH - FINE + 1`` windows,
-   so the lists, which hold each window's bytes, stay near the texts in size.
+4. Of the runs of an anchor with more than ``HOT`` runs, those with equal bytes
+   stand for one, as in 3, whatever their number. The others are cut in two, by
+   how far the anchor lies behind the start of a window: all windows with fewer
+   than 40 bytes before it hold the same 61 bytes around it, and so do those
+   with 40 or more. These bytes are a longer anchor: what stands at one place
+   goes no further, as before, and what is still hot is cut in two again, by 81
+   and by 91 bytes (``BLOCKS``). So a step makes two rows of a run, and only of
+   one whose longer anchor is hot. An anchor of 91 bytes that is still hot is
+   dealt into pieces. The sorted lists of first windows of its pieces are merged
+   by binary search, comparing bytes, ``FAN`` pieces at a time, each in as many
+   ranges (by a hash of the window) as the anchor has pieces. Its runs have at
+   most 10 windows, so the lists, which hold each window's bytes, stay near the
+   texts in size.
 
 Shards and ranges have bounded size, no text leaves its row but the runs with
 a repeated anchor, and every step that groups by a value counts it first.
@@ -57,7 +62,8 @@ LENGTH = 100
 GRAM = 24
 RUN = LENGTH - GRAM + 1
 HOT = 1000
-FINE = 88
+#: Windows whose anchors lie at so many neighbouring places share a longer anchor; each divides the one before.
+BLOCKS = (40, 20, 10)
 SHARD_BYTES = 2 << 20
 FAN = 64
 #: Where null ids stand in the order of documents.
@@ -83,8 +89,13 @@ def least_positions(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def anchor_runs(raws: list[bytes], length: int = LENGTH, gram: int = GRAM):
-    """Arrays text, anchor hash, first window, number of windows, places of the anchor: the runs of all texts."""
+def anchor_runs(raws: list[bytes], length: int = LENGTH, gram: int = GRAM, block: int | None = None):
+    """Arrays text, anchor hash, first window, number of windows, places of the anchor: the runs of all texts.
+
+    block: the anchor is the ``length - block + 1`` bytes that all windows share
+    which have the same least string and the start of it in the same block of
+    so many places.
+    """
     sizes = np.array([len(r) for r in raws], np.int64)
     data = np.frombuffer(b"".join(raws), np.uint8)
     none = np.empty(0, np.int64)
@@ -104,6 +115,12 @@ def anchor_runs(raws: list[bytes], length: int = LENGTH, gram: int = GRAM):
         return none, none.view(np.uint64), none, none, none
     at, text = at[inside], text[inside]
     least = h[at]
+    if block:
+        part, size = (at - inside) // block, length - block + 1
+        at, least = at - part * block, least + part.astype(np.uint64)
+        for j in [*range(0, size - 8, 8), size - 8]:
+            least = (least + k[at + j]) * M1
+        least = mix(least)
     new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])]))
     n = np.diff(np.append(new, len(least)))
     parts = -(-n // RUN)  # a long run, of a periodic text, is cut
@@ -339,24 +356,41 @@ def cut_segments(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key long, anchor long, start int, n int, pieces int, bytes binary")
 
 
-def fine_segments(segments: DataFrame) -> DataFrame:
-    """segments: doc_id, key, anchor, start, n, bytes. Their runs by anchor and fine anchor, with their bytes and the places of the fine anchor."""
+SEGMENTS = ["doc_id", "key", "anchor", "start", "n", "pieces", "bytes"]
+
+
+def marked_copies(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """segments: doc_id, key, start, n, bytes. The same with copy: whether its bytes (by SHA-256, all of it) stand earlier as a segment; and the stored table of those that do."""
+    rows = segments.select("doc_id", "key", "start", "n", "bytes", F.unhex(F.sha2("bytes", 256)).alias("digest"))
+    first = F.min(F.struct("doc_id", "key", "start")).alias("_head")
+    known = _kept(rows.groupBy(F.col("digest").alias("_digest")).agg(F.count("*").alias("m"), first).filter("m > 1").drop("m"), "suffix-equal")
+    few = F.broadcast(known) if fits_broadcast(known.count(), 120) else known
+    copy = F.col("_digest").isNotNull() & (F.struct("doc_id", "key", "start") != F.col("_head"))
+    return rows.join(few, F.col("digest") == F.col("_digest"), "left").select("doc_id", "key", "start", "n", "bytes", F.coalesce(copy, F.lit(False)).alias("copy")), known
+
+
+def split_segments(segments: DataFrame, block: int) -> DataFrame:
+    """segments: doc_id, key, start, n, bytes, copy. Copies without their bytes; of others the runs by a longer anchor, with its places and their bytes."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, len(batch), 1 << 13):
                 part = batch.slice(at, 1 << 13)
-                raws = part.column("bytes").to_pylist()
-                text, fine, first, n, places = anchor_runs(raws, gram=FINE)
-                anchor = mix(part.column("anchor").to_numpy().view(np.uint64)[text] * M1 + fine)
+                copy = part.column("copy").to_numpy(zero_copy_only=False)
+                gone, own = part.filter(pa.array(copy)), part.filter(pa.array(~copy))
+                raws = own.column("bytes").to_pylist()
+                text, anchor, first, n, places = anchor_runs(raws, block=block)
                 got = [raws[t][s : s + m + LENGTH - 1] for t, s, m in zip(text.tolist(), first.tolist(), n.tolist())]
-                start = part.column("start").to_numpy()[text] + first
-                row = pa.array(text)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(row), part.column("key").take(row), pa.array(anchor.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(places.astype(np.int32)), pa.array(got, pa.binary())],
-                    ["doc_id", "key", "anchor", "start", "n", "places", "bytes"])
+                row, none = pa.array(text), len(gone)
+                start = own.column("start").to_numpy()[text] + first
+                columns = [
+                    [gone.column("doc_id"), own.column("doc_id").take(row)], [gone.column("key"), own.column("key").take(row)],
+                    [pa.nulls(none, pa.int64()), pa.array(anchor.view(np.int64))], [gone.column("start"), pa.array(start.astype(np.int32))],
+                    [gone.column("n"), pa.array(n.astype(np.int32))], [pa.nulls(none, pa.int32()), pa.array(places.astype(np.int32))], [pa.nulls(none, pa.binary()), pa.array(got, pa.binary())],
+                ]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["doc_id", "key", "anchor", "start", "n", "places", "bytes"])
 
-    return segments.select("doc_id", "key", "anchor", "start", "n", "bytes").mapInArrow(run, "doc_id long, key long, anchor long, start int, n int, places int, bytes binary")
+    return segments.mapInArrow(run, "doc_id long, key long, anchor long, start int, n int, places int, bytes binary")
 
 
 def strip(rows: DataFrame) -> DataFrame:
@@ -422,26 +456,39 @@ def repeated_intervals(firsts: DataFrame) -> DataFrame:
     with_runs = firsts.join(flags, (F.col("key") == F.col("_k")) & (F.col("doc_id") == F.col("_d"))).select("doc_id", "key", "text", "runs")
     cut = _kept(cut_segments(with_runs), "suffix-segments")
     discard(by_doc)
-    segments, sums = cut, often.agg(F.sum(F.when(F.col("pieces") == 1, F.col("m"))).alias("n"), F.max("pieces").alias("most")).first()
+    totals = (F.count("*").alias("rows"), F.sum(F.when(F.col("pieces") == 1, F.col("m"))).alias("n"), F.max("pieces").alias("most"))
+    sums = often.agg(*totals).first()
     n_runs, most = sums["n"] or 0, sums["most"] or 1
-    if most > 1:  # hot anchors: what they share with a fine anchor, if that stands at two places
-        fine = fine_segments(cut.filter("pieces > 1"))
-        twice = repeated_anchors(fine.select("anchor", "places"), "suffix-fine-anchors")
-        sums = twice.agg(F.count("*").alias("rows"), F.sum("m").alias("n"), F.max("pieces").alias("most")).first()
+    segments, hot, copies, used = cut.filter("pieces = 1").select(SEGMENTS), cut.filter("pieces > 1"), [], [cut, often]
+    for block in BLOCKS:
+        if most == 1:
+            break
+        rows, known = marked_copies(hot)
+        part = _kept(split_segments(rows, block), "suffix-split")
+        copies.append(part.filter("bytes IS NULL").select("doc_id", "key", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("stop")))
+        part_runs = part.filter("bytes IS NOT NULL")
+        twice = repeated_anchors(part_runs, "suffix-split-anchors")
+        sums = twice.agg(*totals).first()
         n_runs, most = n_runs + (sums["n"] or 0), sums["most"] or 1
         few = F.broadcast(twice) if fits_broadcast(sums["rows"], 64) else twice
-        own = fine.drop("places").join(few, "anchor").select("doc_id", "key", "anchor", "start", "n", "pieces", "bytes")
-        segments = cut.filter("pieces = 1").unionByName(own)
+        again = part_runs.join(few, "anchor").select(SEGMENTS)
+        segments, hot = segments.union(again.filter("pieces = 1")), again.filter("pieces > 1")
+        used += [known, part, twice]
+    if most > 1:
+        segments = segments.union(hot)
     shards = max(1, n_runs * 140 // SHARD_BYTES)
     # a hot anchor is a shard of its own, in pieces; piece -1 means that it is whole
-    hot = F.col("pieces") > 1
-    part = F.pmod(F.xxhash64("doc_id", "key", F.floor(F.col("start") / 4096)), F.col("pieces"))
+    dear = F.col("pieces") > 1
+    piece = F.pmod(F.xxhash64("doc_id", "key", F.floor(F.col("start") / 4096)), F.col("pieces"))
     dealt = segments.select(
         "doc_id", "key", "start", "n", "bytes", "pieces",
-        F.when(hot, F.col("anchor")).otherwise(F.pmod("anchor", F.lit(shards))).alias("shard"), F.when(hot, part).otherwise(-1).cast("long").alias("piece"),
+        F.when(dear, F.col("anchor")).otherwise(F.pmod("anchor", F.lit(shards))).alias("shard"), F.when(dear, piece).otherwise(-1).cast("long").alias("piece"),
     )
-    found = _kept(dealt.groupBy("shard", "piece").applyInArrow(scan_shard, FOUND), "suffix-found")
-    discard(cut, often)
+    scanned = dealt.groupBy("shard", "piece").applyInArrow(scan_shard, FOUND)
+    for rows in copies:
+        scanned = scanned.unionByName(rows, allowMissingColumns=True)
+    found = _kept(scanned, "suffix-found")
+    discard(*used)
     whole, lists = found.filter("range IS NULL").select("doc_id", "key", "start", "stop"), found.filter("range IS NOT NULL").select("range", "piece", "firsts")
     while most > 1:
         most = -(-most // FAN)

@@ -620,6 +620,68 @@ def test_suffix_lists_of_a_hot_anchor_stay_small(spark, monkeypatch):
     assert sizes and sum(sizes) < sum(len(t) for _, t in rows)
 
 
+def test_suffix_hot_runs_are_not_multiplied(spark, monkeypatch):
+    """A copied passage in many documents and a phrase in many contexts: a run of a hot anchor makes two rows at most, a copy of one makes one."""
+    docs = [(i, f"{syllables(1000 + i, 30)} {syllables(5, 150)} {syllables(3000 + i, 30)}") for i in range(200)]
+    docs += [(500 + i, f"{syllables(5000 + i, 30)} {syllables(9, 40)[:60]} {syllables(7000 + i, 30)}") for i in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    made, real = [], type(df).mapInArrow
+
+    def spy(self, func, schema, *more):
+        out = real(self, func, schema, *more)
+        if "places" in out.columns and "bytes" in out.columns:
+            copies = self.filter("copy").count() if "copy" in self.columns else 0
+            made.append((self.count() - copies, copies, out.count()))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    monkeypatch.setattr(type(df), "mapInArrow", spy)
+    got = suffix_dedup.remove_repeats(df).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute_repeats(docs)
+    assert made and all(rows <= 2 * own + copies for own, copies, rows in made)
+    assert made[0][1] > 1000 and sum(rows for *_, rows in made) < 2 * sum(made[0][:2])
+
+
+def test_suffix_hot_runs_that_differ(spark, monkeypatch):
+    """Windows that repeat inside runs which all differ: anchors stay hot to the last and are merged from pieces."""
+    pieces, real = [], suffix_dedup.stored
+
+    def spy(df, name):
+        out = real(df, name)
+        if name == "suffix-merged":
+            pieces.append(out.filter("range IS NOT NULL").count())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    monkeypatch.setattr(suffix_dedup, "FAN", 3)
+    monkeypatch.setattr(suffix_dedup, "stored", spy)
+    common = syllables(4, 60)[:104]
+    rows = [(i, f"{syllables(1000 + i, 20)}{i % 7}{common}{chr(97 + i % 23)}{syllables(3000 + i, 20)}") for i in range(120)]
+    rows += [(i % 9, syllables(4, 60)[: 97 + i % 8] + "é" * (i % 5)) for i in range(40)] + [(3, rows[0][1]), (3, rows[0][1]), (None, rows[5][1])]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute_repeats(rows)
+    assert len(pieces) > 1 and pieces[0] > 0
+
+
+@pytest.mark.parametrize("block", suffix_dedup.BLOCKS)
+def test_suffix_longer_anchors(block):
+    """Equal windows have equal longer anchors, every window is in one run, and a run of one place is cut in two at most."""
+    rng = np.random.default_rng(block)
+    raws = [bytes(rng.integers(97, 99, 400).astype(np.uint8)), b"ab" * 200, b"x" * 99, b"a" * 177, syllables(3, 90).encode()]
+    raws += [raws[0][50:300], b"q" + raws[4][:300], b""]
+    text, anchor, first, n, _ = suffix_dedup.anchor_runs(raws, block=block)
+    known, seen = {}, []
+    for t, a, s, m in zip(text.tolist(), anchor.tolist(), first.tolist(), n.tolist()):
+        for w in range(s, s + m):
+            seen.append((t, w))
+            assert known.setdefault(raws[t][w : w + 100], a) == a
+    assert sorted(seen) == [(t, w) for t, r in enumerate(raws) for w in range(len(r) - 99)]
+    text, _, first, n, places = suffix_dedup.anchor_runs(raws)
+    alone = [raws[t][s : s + m + 99] for t, s, m, p in zip(text.tolist(), first.tolist(), n.tolist(), places.tolist()) if p == 1]
+    parts = np.bincount(suffix_dedup.anchor_runs(alone, block=block)[0])
+    assert len(alone) > 20 and parts.max() <= -(-77 // block)
+
+
 def test_suffix_long_constant_text(spark):
     """5 MB of one letter: runs of bounded length in pieces."""
     got = suffix_dedup.remove_repeats(spark.createDataFrame([(1, "a" * 5_000_000)], "doc_id long, text string")).first()
